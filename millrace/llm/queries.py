@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import DIGEST_DDL, digest, remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), finish=digest, finish_ddl=DIGEST_DDL)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -54,4 +60,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_repeats, op3_quality_rules, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
