@@ -23,6 +23,12 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), finish=digest, finish_ddl=DIGEST_DDL)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -60,4 +66,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op3_quality_rules, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_repeats, op2_near_vectors, op3_quality_rules, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
