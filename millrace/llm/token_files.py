@@ -12,6 +12,7 @@ and checksum; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -20,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +29,10 @@ from pyspark.sql import types as T
 from ..operators.durable import ensure_checkpoint_dir, materialise
 from .batches import sliced
 
-#: Outside these characters word boundaries are left to the library itself.
-_UNUSUAL = re.compile("[^\t\n\r -~¡-ɏ]")
-#: Marks the word that begins a text; such a character makes a text unusual, so no word has it.
-_FIRST = "\x01"
-#: Stands for a line feed at the beginning of a word.
-_LINE = "\x02"
+#: White space after a space or line feed, and characters for which word boundaries are left to the library itself.
+_UNUSUAL = "[ \n][ \n\t\r]|[^\t\n\r -~¡-ɏ]"
+#: Marks the word that begins a text, and stands for a line feed at the beginning of a word; both are unusual in a text.
+_FIRST, _LINE = "\x01", "\x02"
 
 
 class _Numbers(dict):
@@ -52,62 +52,92 @@ class WordEncoder:
 
     The tokenizer cuts a text by a fixed pattern and encodes each part on its own. It always
     cuts before a space or line feed between two characters that are not white space, so the
-    ids of a text are those of its words, each with the space or line feed before it. Words are split off here, the
-    library encodes those not met before. Texts with unusual characters, with the text of an
-    added token, or with white space after a space or line feed go to the library whole. ``most_words``
-    bounds the memory for words already met.
+    ids of a text are those of its words, each with the space or line feed before it. Words
+    are split off here, the library encodes those not met before, many of them as one text:
+    a token that begins with a space or line feed begins a word. Texts with unusual
+    characters, with the text of an added token, or with white space after a space or line
+    feed go to the library whole. ``most_words`` bounds the memory for words already met.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
         self.most_words = most_words
-        self.whole = [*(x + y for x in " \n" for y in " \n\t\r"), *(x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        self._forget()
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = "|".join([_UNUSUAL, *added])
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.begins[number] = token[0] in "ĠĊ"
+        self.numbers = _Numbers()
+        self.uses, self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
+        """Keep the words used most, at most half of those allowed and none used once only."""
+        words = list(self.numbers)
+        kept = np.argsort(-self.uses, kind="stable")[: self.most_words // 2]
+        kept = np.sort(kept[self.uses[kept] > 1])
         self.numbers = _Numbers()
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, words: list[str]) -> None:
-        fresh = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(fresh), np.int32, int(lengths.sum()))])
-
-    def __call__(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        self.numbers.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        lengths = self.lengths[kept].astype(np.int64)
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.starts[kept] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        self.uses, self.starts, self.lengths = self.uses[kept] // 2, ends - lengths, self.lengths[kept]
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of words that begin with their space or line feed."""
+        texts = ["".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+        heads = np.flatnonzero(self.begins[ids])
+        if len(heads) != len(words) or (len(heads) and heads[0]):
+            raise ValueError("the tokenizer does not cut before every word")
+        return np.diff(np.append(heads, len(ids))), ids
+
+    def _learn(self, fresh: list[str]) -> None:
+        # Words that begin a text or end in white space are encoded one by one.
+        alone = [not x or x[0] == _FIRST or x[-1] in "\t\r" or x == _LINE for x in fresh]
+        many = [" " + x if x[0] != _LINE else "\n" + x[1:] for x, a in zip(fresh, alone) if not a]
+        single = [x[1:] if x[:1] == _FIRST else "\n" + x[1:] if x[:1] == _LINE else " " + x for x, a in zip(fresh, alone) if a]
+        lengths, ids = self._encoded(many)
+        own = [x.ids for x in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+        own_lengths = np.fromiter(map(len, own), np.int64, len(own))
+        every = np.concatenate([lengths, own_lengths])
+        ends = np.cumsum(every) + len(self.flat)
+        order = np.argsort(np.array(alone), kind="stable")  # where each word of ``many + single`` stood
+        placed = np.empty((2, len(fresh)), np.int64)
+        placed[:, order] = ends - every, every
+        self.starts, self.lengths = np.concatenate([self.starts, placed[0]]), np.concatenate([self.lengths, placed[1].astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(own), np.int32, int(own_lengths.sum()))])
+
+    def __call__(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts, one after the other."""
         if len(self.numbers) > self.most_words:
             self._forget()
-        numbers, chosen, counts, whole = self.numbers, [], [], {}
-        number = numbers.__getitem__
-        for k, text in enumerate(texts):
-            before = len(chosen)
-            if any(x in text for x in self.whole) or _UNUSUAL.search(text):
-                whole[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
-            elif text:
-                first, *rest = text.replace("\n", " " + _LINE).split(" ")
-                chosen.append(number(_FIRST + first))
-                chosen.extend(map(number, rest))
-            counts.append(len(chosen) - before)
-        if numbers.fresh:
-            self._learn([x[1:] if x[:1] == _FIRST else "\n" + x[1:] if x[:1] == _LINE else " " + x for x in numbers.fresh])
-            numbers.fresh = []
-        chosen = np.array(chosen, np.int64)
+        unusual = pc.match_substring_regex(texts, self.unusual)
+        whole = {k: self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()}
+        plain = pc.binary_join_element_wise(_FIRST, pc.if_else(unusual, "", texts), "")
+        words = pc.split_pattern(pc.replace_substring(plain, "\n", " " + _LINE), " ")
+        coded = words.flatten().dictionary_encode()
+        known = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        if self.numbers.fresh:
+            self._learn(self.numbers.fresh)
+            self.numbers.fresh = []
+        chosen = known[coded.indices.to_numpy()]
+        self.uses += np.bincount(chosen, minlength=len(self.uses))
         lengths = self.lengths[chosen]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         ids = self.flat[np.repeat(self.starts[chosen] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        edges = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
         parts, offsets = [], [0]
         tail = np.array([] if end_id is None else [end_id], np.int32)
         for k in range(len(texts)):
             own = np.array(whole[k], np.int32) if k in whole else ids[edges[k] : edges[k + 1]]
             parts += [own, tail]
             offsets.append(offsets[-1] + len(own) + len(tail))
-        return np.array(offsets, np.int32), np.concatenate(parts).astype(np.int32)
+        return np.array(offsets, np.int32), np.concatenate(parts).astype(np.int32, copy=False)
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -127,7 +157,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = encoder(tokenizer)
         for batch in sliced(batches, text_column):
-            offsets, ids = loaded([x or "" for x in batch.column(text_column).to_pylist()], end_id)
+            offsets, ids = loaded(batch.column(text_column).fill_null(""), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=schema.names)
 
     return docs.select(F.col(id_column), F.col(text_column).cast("string").alias(text_column)).mapInArrow(run, schema)
