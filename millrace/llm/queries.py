@@ -35,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_texts import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -72,4 +78,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op2_near_vectors, op3_quality_rules, op5_html_text, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_repeats, op2_near_vectors, op3_quality_rules, op4_near_texts, op5_html_text, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
