@@ -51,35 +51,43 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float) -> DataF
     return levelled.select("skey", "source_size", F.when(F.col("level").isNull() | (F.col("level") >= F.col("limit")), full).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """``id, size, source_size, target, taken`` of every row, then the columns in ``keep``.
 
     ``weights`` are dealt to the sources in the order of their names, repeating. The total
     budget is ``share`` times all words. ``taken`` is the document's words that the mix has,
-    0, 1 or 2 times its size.
+    0, 1 or 2 times its size. Sums and the cut are found on narrow rows; the columns in
+    ``keep`` take part in the last pass only, and are shuffled once.
     """
     rows = docs.count()
     digits = max(1, round(math.log(max(rows, 16), 16) / 2))
     bins = 16 ** (digits + 1)
     source = F.col(source_column).cast("string")
-    base = docs.select(
-        F.col(id_column).alias("__id"),
-        *(F.col(c).alias(f"__keep_{c}") for c in keep),
-        words(F.col(text_column)).alias("size"),
-        F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("hash"),
-    ).withColumn("range", F.substring("hash", 1, digits))
-    base = materialise(base)
+
+    def based(columns: Sequence[str]) -> DataFrame:
+        return docs.select(
+            F.col(id_column).alias("__id"),
+            *(F.col(c).alias(f"__keep_{c}") for c in columns),
+            words(F.col(text_column)).alias("size"),
+            F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("hash"),
+        ).withColumn("range", F.substring("hash", 1, digits))
+
+    base = materialise(based(()))
     ranges = base.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
-    ranges = materialise(ranges.withColumn("before", F.sum("range_size").over(Window.partitionBy("skey").orderBy("range")) - F.col("range_size")))
+    ranges = ranges.withColumn("before", F.sum("range_size").over(Window.partitionBy("skey").orderBy("range")) - F.col("range_size"))
+    ranges = materialise(ranges)
     goals = targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, share)
-    placed = base.join(ranges.join(goals, "skey").select("skey", "range", "before", "source_size", "target"), ["skey", "range"])
+    ranges = materialise(ranges.join(goals, "skey").select("skey", "range", "range_size", "before", "source_size", "target"))
     inside = Window.partitionBy("skey", "range").orderBy("hash", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = materialise(placed.withColumn("queued", F.col("before") + F.sum("size").over(inside)))
+
+    def placed_in(frame: DataFrame) -> DataFrame:
+        return frame.join(ranges.drop("range_size"), ["skey", "range"]).withColumn("queued", F.col("before") + F.sum("size").over(inside))
 
     def finish(turn: int) -> Column:
         return F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("queued") + turn * F.col("source_size")) / F.col("target"))
 
+    placed = materialise(placed_in(base))
     entries = placed.select("skey", "hash", "__id", "size", F.explode(F.array(*(finish(t) for t in range(PASSES)))).alias("finish")).where("finish is not null")
     entries = entries.withColumn("bin", F.floor(F.col("finish") * bins))
     budget = share * (ranges.agg(F.sum("range_size")).first()[0] or 0)
@@ -97,7 +105,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
         at = finish(turn)
         if cut is None:
             return at.isNotNull().cast("long")
-        tie = F.struct(F.col("skey"), F.col("hash"), F.coalesce(F.col("__id").cast("string"), F.lit(""))) < F.struct(F.lit(cut["skey"]), F.lit(cut["hash"]), F.lit("" if cut["__id"] is None else str(cut["__id"])))
+        # One hash stands for one id, so that the id decides nothing between different hashes.
+        tie = F.struct(F.col("skey"), F.col("hash")) < F.struct(F.lit(cut["skey"]), F.lit(cut["hash"]))
         return F.coalesce((at < cut["finish"]) | ((at == cut["finish"]) & tie), F.lit(False)).cast("long")
 
-    return placed.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * (taken(0) + taken(1))).alias("taken"), *(F.col(f"__keep_{c}").alias(c) for c in keep))
+    out = placed_in(based(keep)) if keep else placed
+    return out.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * (taken(0) + taken(1))).alias("taken"), *(F.col(f"__keep_{c}").alias(f"{KEPT}{c}") for c in keep))
+
+
+#: Prefix of kept columns in what ``mix`` returns, so that they clash with none of its own.
+KEPT = "kept_"
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    out = mix(docs, keep=docs.columns, **options).where("taken > 0")
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))))
+    return out.select(*(F.col(f"{KEPT}{c}").alias(c) for c in docs.columns))

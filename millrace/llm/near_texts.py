@@ -306,3 +306,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     named = materialise(heads.join(components, heads["head"] == components["node"], "left").select("k0", "k1", F.coalesce("component", "head").alias("component")))
     out = signed.join(named, ["k0", "k1"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does, with all their columns.
+
+    Of rows that repeat an id the least stays; rows without an id all stay.
+    """
+    judged = near_duplicates(docs, id_column, text_column, width, percent)
+    gone = judged.where(~F.col("kept")).select(id_column).distinct()
+    others = [c for c in docs.columns if c != id_column]
+    stay = docs.where(F.col(id_column).isNotNull()).join(gone, id_column, "left_anti").groupBy(id_column).agg(F.min(F.struct(*others)).alias("__least"))
+    stay = stay.select(*(F.col(id_column) if c == id_column else F.col("__least")[c].alias(c) for c in docs.columns))
+    return stay.unionByName(docs.where(F.col(id_column).isNull()))

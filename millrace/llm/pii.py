@@ -192,3 +192,15 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sink(texts, spans)], names=schema.names)
 
     return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def redacted_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with every span replaced by its kind; a length column follows the text."""
+    others = tuple(c for c in docs.columns if c not in (id_column, text_column))
+    out = find_pii(docs, id_column, text_column, redact_sink, REDACTED, others)
+    columns = {c: F.col(c) for c in docs.columns} | {text_column: F.col("redacted").alias(text_column)}
+    if length_column in docs.columns:
+        # Only where spans changed the text does its length change.
+        kind = docs.schema[length_column].dataType
+        columns[length_column] = F.when(F.col("redacted").isNull(), F.col(length_column)).otherwise(F.length("redacted")).cast(kind).alias(length_column)
+    return out.select(*(columns[c] for c in docs.columns))

@@ -118,27 +118,55 @@ def accepted_cutoffs(holdout: DataFrame, cutoffs: Mapping[str, Sequence[float]]
     return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in cutoffs))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", keep: Sequence[str] = (), cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` of every row of ``docs``, then the columns in ``keep``.
-
-    The counts, a few numbers a row, are materialised, since both the holdout and the verdicts
-    read them. The cutoffs are broadcast: strata are at most ``1 / LEAST_STRATUM`` and one.
-    """
+def counted_and_measured(docs: DataFrame, id_column: str, text_column: str, stratum_column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``measured`` with ``stratum``, ``base_failed`` and the measures; one pass, no shuffle."""
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_column).cast("string")), F.lit("null"))
     counted = measured(docs.withColumn("__stratum", stratum), id_column, text_column, (*keep, "__stratum")).withColumnRenamed("__keep___stratum", "stratum")
-    counted = materialise(counted.withColumns({"base_failed": base_failed(), **measures()}))
+    return counted.withColumns({"base_failed": base_failed(), **measures()})
+
+
+def _pooled(frame: DataFrame, large: DataFrame) -> DataFrame:
+    """Strata that are not ``large`` become one. The table is broadcast: it has at most ``1 / LEAST_STRATUM`` rows."""
+    joined = frame.join(F.broadcast(large), frame["stratum"] == large["large"], "left")
+    return joined.withColumn("stratum", F.coalesce("large", F.lit("rest"))).drop("large")
+
+
+def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The strata that stand alone, and every stratum's cutoffs; both bounded by ``1 / LEAST_STRATUM`` rows and one."""
     good = labels.select(F.col(id_column).alias("__id"), F.col("quality")).where("__id is not null and quality is not null").groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
     holdout = counted.where(~F.col("base_failed")).join(good, "__id", "left_semi").select("stratum", *cutoffs)
     sizes = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     large = materialise(sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("all"))), F.col("n") >= F.lit(LEAST_STRATUM) * F.col("all")).select(F.col("stratum").alias("large")))
+    return large, materialise(accepted_cutoffs(_pooled(holdout, large), cutoffs, tolerated, failure))
 
-    def pooled(frame: DataFrame) -> DataFrame:
-        joined = frame.join(F.broadcast(large), frame["stratum"] == large["large"], "left")
-        return joined.withColumn("stratum", F.coalesce("large", F.lit("rest"))).drop("large")
 
-    chosen = materialise(accepted_cutoffs(pooled(holdout), cutoffs, tolerated, failure))
-    judged = pooled(counted).join(F.broadcast(chosen), "stratum", "left")
+def verdicts(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:
+    """Adds ``kept`` to ``counted``."""
+    large, chosen = fitted
+    judged = _pooled(counted, large).join(F.broadcast(chosen), "stratum", "left")
     beyond = F.lit(False)
     for m in cutoffs:
         beyond = beyond | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return judged.select(F.col("__id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"), *(F.col(f"__keep_{c}").alias(c) for c in keep), *cutoffs)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~beyond)
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
+    """Counts, ``base_failed`` and ``kept`` of every row of ``docs``, then the measures.
+
+    The counts, a few numbers a row, are materialised: holdout and verdicts both read them.
+    """
+    counted = materialise(counted_and_measured(docs, id_column, text_column, stratum_column))
+    judged = verdicts(counted, fit(counted, labels, cutoffs, tolerated, failure, id_column), cutoffs)
+    return judged.select(F.col("__id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *cutoffs)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The counts are made twice, for the cutoffs and for the verdicts, so that no text is
+    shuffled or stored.
+    """
+    fitted = fit(materialise(counted_and_measured(docs, id_column, text_column, stratum_column)), labels, cutoffs, tolerated, failure, id_column)
+    # The row number is there to be read by the filter: no filter moves below it, into the counts.
+    counted = counted_and_measured(docs, id_column, text_column, stratum_column, docs.columns).withColumn("__row", F.monotonically_increasing_id())
+    return verdicts(counted, fitted, cutoffs).where("kept and __row >= 0").select(*(F.col(f"__keep_{c}").alias(c) for c in docs.columns))
