@@ -49,7 +49,8 @@ def load(spark: SparkSession, pattern: str, columns: Sequence[str] | None = None
         if kind in ("parquet", "orc"):
             frame = getattr(spark.read, kind)(*own)
         else:
-            lines = own if kind == "json" else unpacked_lines(spark, own, kind)
+            # The JSON reader takes lines from files or from an RDD of strings only.
+            lines = own if kind == "json" else unpacked_lines(spark, own, kind).rdd.map(lambda row: row[0])
             frame = (spark.read.schema(schema) if schema is not None else spark.read).json(lines)
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
     if out is None:

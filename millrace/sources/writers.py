@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +61,28 @@ def write_token_cache(tokens: DataFrame, path: str, ids: str = "ids", metadata:
     return spark.read.parquet(f"{path}/ledger")
 
 
-def write_binary(frame: DataFrame, path: str, column: str) -> str:
-    """The values of a binary column one after the other, a file a partition, through the session's file system.
+def write_binary(frame: DataFrame, path: str, column: str) -> list[str]:
+    """The values of a binary column one after the other without framing, a file a partition; returns the names.
 
-    Each partition becomes one binary record, written as a file of raw bytes by the text
-    writer's sibling for sequence-free output; values are not framed.
+    The engine has no writer of bare bytes, so tasks write through Arrow's file systems. Each
+    writes beside its final name and then moves, so a repeated attempt replaces whole files.
     """
-    frame.select(F.decode(column, "ISO-8859-1").alias("value")).write.mode("error").option("lineSep", "").option("encoding", "ISO-8859-1").text(path)
-    return path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(path)
+        system.create_dir(base, recursive=True)
+        name = f"{base}/part-{task.partitionId():05d}"
+        held = f"{name}.{task.attemptNumber()}.tmp"
+        with system.open_output_stream(held) as out:
+            for batch in batches:
+                for value in batch.column(0):
+                    if value.is_valid:
+                        out.write(value.as_py())
+        system.move(held, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return sorted(r[0] for r in frame.select(column).mapInArrow(run, "name string").collect())
