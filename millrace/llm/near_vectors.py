@@ -182,6 +182,7 @@ def count_links(members: DataFrame, cosine: float) -> DataFrame:
     def counted(rows: list) -> pa.RecordBatch:
         ids, chunks, low, high = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), rows[0][2], rows[0][3]
         unit = np.stack([r[4] for r in rows])
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         own = chunks == low
         if low == high:
             n = (unit @ unit.T >= cosine).sum(axis=1) - (np.einsum("ij,ij->i", unit, unit) >= cosine)
@@ -196,13 +197,14 @@ def count_links(members: DataFrame, cosine: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _units(batch.column("vector"), len(batch.column("vector")[0]))
+            vectors = batch.column("vector")  # of one length in a component, of any in a batch
+            values, edges = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
             for i, (vec, component, chunk, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "component", "chunk", "low", "high")))):
                 if at != (component, low, high):
                     if held:
                         yield counted(held)
                     held, at = [], (component, low, high)
-                held.append((vec, chunk, low, high, unit[i]))
+                held.append((vec, chunk, low, high, values[edges[i] : edges[i + 1]].astype(np.float64)))
         if held:
             yield counted(held)
 
