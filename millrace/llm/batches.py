@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of ``text`` (one row at least).
 
     Memory in the worker then follows the longest text, not the number of rows in a batch.

@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import materialise
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 #: Of the words of a source that a mix takes at most: each document twice.
 PASSES = 2
 
 
 def words(text: Column) -> Column:
-    """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; 0 for null. Spaces between words are counted, so that no array of words is made."""
+    single = F.trim(F.regexp_replace(text, SPACES, " "))
+    gaps = F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit("")))
+    return F.when(F.length(single) > 0, gaps + 1).otherwise(0).cast("long")
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float) -> DataFrame:

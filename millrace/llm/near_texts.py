@@ -7,13 +7,13 @@ leave the tree, small nodes are compared exhaustively, large ones branch again,
 tokens that the node's path chooses. Similar sets share a minwise token as often as they are
 similar, so a pair at the threshold is missed by all trees with a chance below 1e-6.
 
-Inside a node, sketches of the minwise tokens estimate similarity; what may reach the
-threshold is verified on the full sets of the whole texts. This takes two rounds. In the
-first each class proposes its most similar neighbours only; in the second only pairs whose
-classes the first has not joined are proposed, all of them. A group of thousands of near
-copies so costs about as many verifications, not their square. Nodes that stay large, groups
-of near copies, are cut into chunks: members outside the node's largest component visit every
-chunk, those inside it have nothing left to find among each other.
+Inside a node, sketches of the minwise tokens estimate similarity. The texts that may have a
+link there, and no others, are brought to the node and compared exactly, on the full sets of
+their whole texts; of two texts that meet in several nodes only the least node takes care.
+What leaves a node is links that join groups, fewer than its texts, and never its pairs.
+Nodes that stay large, groups of near copies, are cut into chunks. Each chunk is compared in
+itself first; then the texts outside the node's largest component meet every chunk, while
+those inside it have nothing left to find among each other.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links;
 a text with fewer words than a shingle has one shingle, the sequence of its words; a null id
@@ -40,8 +40,10 @@ from .batches import sliced
 TOKENS, TREES, BRANCHES, LEVELS = 96, 10, 2, 4
 #: A node up to this size is compared exhaustively; also the size of chunks.
 SMALL = 256
-#: Neighbours that a class proposes in the first round.
-NEAREST = 2
+#: A node's members are alike when a child keeps more than this share of them.
+SHRINKS = 0.3
+#: Ids that are broadcast at most to pick their texts, some 6 MB; beyond it all texts are shuffled to the ids.
+MOST_BROADCAST_IDS = 250_000
 #: Longer words are hashed one by one.
 LONG_WORD = 1024
 
@@ -151,7 +153,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) ->
 
 
 def _children(frame: DataFrame, branches: int) -> DataFrame:
-    """``node, id`` of the children that ``node, id, tokens`` go to; the node chooses the tokens."""
+    """``node, id, parent`` of the children that ``node, id, tokens`` go to; the node chooses the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,107 +167,183 @@ def _children(frame: DataFrame, branches: int) -> DataFrame:
                 # Two branches of a node never choose the same token.
                 chosen = ((_mix(node) >> np.uint64(8)) + np.uint64(b)) % np.uint64(TOKENS)
                 out.append(_mix(path ^ tokens[np.arange(len(node)), chosen.astype(np.int64)].astype(np.uint64)))
-            ids = pa.concat_arrays([batch.column("id")] * branches)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), ids], names=["node", "id"])
+            ids, parents = (pa.concat_arrays([batch.column(c)] * branches) for c in ("id", "node"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), ids, parents], names=["node", "id", "parent"])
 
-    return frame.select("node", "id", "tokens").mapInArrow(run, "node long, id long")
+    return frame.select("node", "id", "tokens").mapInArrow(run, "node long, id long, parent long")
 
 
 def leaves(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
-    """``node, id, size`` for the classes in company at the ends of all trees."""
+    """``node, id, size`` for the classes in company at the ends of all trees.
+
+    A large node whose largest child keeps more than ``SHRINKS`` of it is an end too: its
+    members are alike, and further tokens would not tell them apart.
+    """
     roots = classes.select("id", "tokens", F.explode(F.array(*(F.lit(t * 0x9E3779B1 + 1).cast("long") for t in range(trees)))).alias("node"))
-    rows, out = materialise(_children(roots, 1)), None
+    rows, ends = materialise(_children(roots, 1)), []
+    sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     for level in range(levels):
-        sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        sized = rows.join(sizes, "node")
-        done = sized if level == levels - 1 else sized.where(F.col("size") <= SMALL)
-        out = done if out is None else out.unionByName(done)
-        large = sizes.where(F.col("size") > SMALL)
+        small = F.col("size") <= SMALL
+        ends.append(rows.join(sizes.where(small) if level < levels - 1 else sizes, "node").select("node", "id", "size"))
+        large = sizes.where(~small)
         if level == levels - 1 or not large.take(1):
             break
-        rows = materialise(_children(rows.join(large.select("node"), "node", "left_semi").join(classes.select("id", "tokens"), "id"), branches))
-    return materialise(out.select("node", "id", "size"))
+        members = rows.join(large, "node").select("node", "id", "size")
+        children = materialise(_children(members.join(classes.select("id", "tokens"), "id"), branches))
+        counted = materialise(children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("parent")).where("size > 1"))
+        kept = counted.groupBy("parent").agg(F.max("size").alias("most"))
+        stubborn = materialise(large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > SHRINKS * F.col("size")).select("node"))
+        ends.append(members.join(stubborn, "node", "left_semi"))
+        rows = children.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "id")
+        sizes = counted.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "size")
+    out = ends[0]
+    for more in ends[1:]:
+        out = out.unionByName(more)
+    return materialise(out)
+
 
+_BYTES = {"sketch": TOKENS}
 
-def _proposed(rows: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """Pairs ``a, b`` inside groups of ``node, chunk, id, group, probe, target, sketch`` that may be similar.
 
-    Probes meet targets of another group; with ``nearest``, a probe proposes only its best.
+def _tiles(batches: Iterator[pa.RecordBatch], lists: str | None = None) -> Iterator[dict[str, np.ndarray | list]]:
+    """The columns of each tile, from batches sorted by ``node, chunk, slot``.
+
+    Fixed numbers become arrays, sketches a matrix, ``lists`` a matrix padded with -1, and
+    anything else stays a list.
     """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(partitions, "node", "chunk").sortWithinPartitions("node", "chunk", "id")
-
-    def compared(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, groups = part.column("id").to_numpy(), part.column("group").to_numpy()
-        sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
-        probe = np.flatnonzero(part.column("probe").to_numpy(zero_copy_only=False))
-        target = np.flatnonzero(part.column("target").to_numpy(zero_copy_only=False))
-        left, right = [], []
-        for at in range(0, len(probe), 128):
-            p = probe[at : at + 128]
-            same = np.zeros((len(p), len(target)), np.int16)
-            for j in range(TOKENS):
-                same += sketch[p, j, None] == sketch[None, target, j]
-            same[groups[p, None] == groups[None, target]] = -1
-            if nearest is not None and len(target) > nearest:
-                best = np.argpartition(-same, nearest - 1, axis=1)[:, :nearest]
-                row, column = np.repeat(np.arange(len(p)), nearest), best.ravel()
-                fits = same[row, column] >= least * TOKENS
-                row, column = row[fits], column[fits]
+    held: dict[str, np.ndarray | list] | None = None
+
+    def joined(a, b):
+        if isinstance(a, list):
+            return a + b
+        if a.ndim == 2 and a.shape[1] != b.shape[1]:
+            wide = max(a.shape[1], b.shape[1])
+            a, b = (np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=-1) for x in (a, b))
+        return np.concatenate([a, b])
+
+    # Few rows at a time: a batch is as large as the session has it.
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        columns: dict[str, np.ndarray | list] = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            if name in _BYTES:
+                columns[name] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _BYTES[name])
+            elif name == lists:
+                counts = np.diff(column.offsets.to_numpy())
+                wide = np.full((len(column), int(counts.max())), -1, np.int64)
+                wide[np.arange(wide.shape[1]) < counts[:, None]] = column.flatten().to_numpy()
+                columns[name] = wide
+            elif pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                columns[name] = column.cast(pa.large_binary()).to_pylist()
             else:
-                row, column = np.nonzero(same >= least * TOKENS)
-            left.append(ids[p[row]])
-            right.append(ids[target[column]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return np.minimum(a, b), np.maximum(a, b)
+                columns[name] = column.to_numpy(zero_copy_only=False)
+        keys = [columns[c] for c in ("node", "chunk", "slot")]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for begin, end in zip(edges[:-1], edges[1:]):
+            part = {n: c[begin:end] for n, c in columns.items()}
+            if held is not None and all(held[c][0] == part[c][0] for c in ("node", "chunk", "slot")):
+                held = {n: joined(held[n], part[n]) for n in part}
+                continue
+            if held is not None:
+                yield held
+            held = part
+    if held is not None:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def flush():
-            part = pa.Table.from_batches(held)
-            a, b = compared(part)
-            keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+def _dealt(rows: DataFrame) -> DataFrame:
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "node", "chunk", "slot").sortWithinPartitions("node", "chunk", "slot", "id")
 
-        at = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, chunks = batch.column("node").to_numpy(), batch.column("chunk").to_numpy()
-            cuts = np.flatnonzero((nodes[1:] != nodes[:-1]) | (chunks[1:] != chunks[:-1])) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                here = (nodes[begin], chunks[begin])
-                if here != at and held:
-                    yield flush()
-                    held = []
-                held.append(batch.slice(begin, end - begin))
-                at = here
-        if held:
-            yield flush()
 
-    return dealt.select("node", "chunk", "id", "group", "probe", "target", "sketch").mapInArrow(run, "a long, b long").distinct()
+_TILE = ("node", "chunk", "slot", "id", "group", "probe", "target")
+_TILE_DDL = "node long, chunk int, slot int, id long, group long, probe boolean, target boolean"
+
+
+def _involved(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of tiles that may have a link there, by their sketches.
+
+    A probe and a target of different groups may be linked when enough of their minwise tokens
+    agree. Two texts that meet in several nodes are looked at in the least of them only.
+    """
 
+    def found(part: dict[str, np.ndarray]) -> np.ndarray:
+        ids, groups, sketch, leaves_ = part["id"], part["group"], part["sketch"], part["leaves"]
+        probe, target = np.flatnonzero(part["probe"]), np.flatnonzero(part["target"])
+        node, hit = part["node"][0], np.zeros(len(ids), bool)
+        step = max(1, 20_000 // max(1, len(target)))
+        for at in range(0, len(probe), step):
+            p = probe[at : at + step]
+            same = (sketch[p][:, None, :] == sketch[target][None, :, :]).sum(axis=2, dtype=np.uint8)
+            row, column = np.nonzero((same >= least * TOKENS) & (groups[p, None] != groups[None, target]) & (ids[p, None] != ids[None, target]))
+            for lo in range(0, len(row), 2048):
+                one, two = p[row[lo : lo + 2048]], target[column[lo : lo + 2048]]
+                new = ~(hit[one] & hit[two])
+                one, two = one[new], two[new]
+                if len(one):
+                    shared = (leaves_[one][:, :, None] == leaves_[two][:, None, :]).any(axis=2) & (leaves_[one] != -1)
+                    first = np.where(shared, leaves_[one], np.iinfo(np.int64).max).min(axis=1) == node
+                    hit[one[first]] = hit[two[first]] = True
+        return hit
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = texts.join(wanted, "id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count = 0
+        for part in _tiles(batches, "leaves"):
+            if len(part["id"]) > 1:
+                hit = found(part)
+                if hit.any():
+                    held.append([part[c][hit] for c in _TILE])
+                    count += int(hit.sum())
+            if count > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=list(_TILE))
+                held, count = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=list(_TILE))
+
+    return _dealt(rows).select(*_TILE, "sketch", "leaves").mapInArrow(run, _TILE_DDL)
+
+
+def _linked(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of involved rows, verified on full sets; inside a tile only those that join groups."""
+
+    def found(part: dict[str, np.ndarray | list]) -> tuple[list[int], list[int]]:
+        ids, label = part["id"], part["group"].copy()
+        probe, target = np.flatnonzero(part["probe"]), np.flatnonzero(part["target"])
+        sets = [shingles(x or b"", width) for x in part["text"]]
+        target = target[[len(sets[t]) > 0 for t in target]] if len(target) else target
+        a: list[int] = []
+        b: list[int] = []
+        if not len(target):
+            return a, b
+        sizes = np.array([len(x) for x in sets])
+        known, flat = np.unique(np.concatenate([sets[t] for t in target]), return_inverse=True)
+        heads = np.cumsum(sizes[target]) - sizes[target]
+        for p in probe:
+            if (label[target] == label[p]).all():
+                continue
+            mark = np.zeros(len(known), np.int32)
+            place = np.minimum(np.searchsorted(known, sets[p]), len(known) - 1)
+            mark[place[known[place] == sets[p]]] = 1
+            both = np.add.reduceat(mark[flat], heads)
+            alike = target[100 * both >= percent * (sizes[p] + sizes[target] - both)]
+            for other in np.unique(label[alike]):
+                if other != label[p]:
+                    a.append(int(ids[p]))
+                    b.append(int(ids[alike[np.argmax(label[alike] == other)]]))
+            label[np.isin(label, label[alike])] = label[p]
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: tuple[int, np.ndarray] | None = None
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), *(batch.column(c).cast(pa.binary()).to_pylist() for c in ("x", "y"))):
-                if held is None or held[0] != a:
-                    held = (a, shingles(x, width))
-                other = shingles(y, width)
-                both = len(np.intersect1d(held[1], other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held[1]) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in _tiles(batches):
+            a, b = found(part)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    one, two = own.select(F.col("id").alias("a"), F.col("text").alias("x")), own.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    wanted = rows.select("id").distinct()
+    small = wanted.count() <= MOST_BROADCAST_IDS
+    placed = rows.join(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "id")
+    return _dealt(placed).select(*_TILE, "text").mapInArrow(run, "a long, b long")
 
 
 def links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -273,20 +351,24 @@ def links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     share = percent / 100
     least = share - 4.5 * (share * (1 - share) / TOKENS) ** 0.5
     ends = leaves(classes)
-    sketched = materialise(ends.join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int")))
-    own = F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int")
-    always = F.lit(True)
-    first = sketched.select("node", own.alias("chunk"), "id", F.col("id").alias("group"), always.alias("probe"), always.alias("target"), "sketch")
-    found = materialise(_verified(materialise(_proposed(first, least, NEAREST)), texts, width, percent))
-    joined = materialise(connected_components(found))
-    grouped = sketched.join(joined.select(F.col("node").alias("id"), F.col("component")), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    # Nodes of one component have nothing left to find; in the others its largest component does not probe.
+    lists = ends.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
+    sketched = materialise(ends.join(lists, "id").join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int")))
+    own, always = F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int"), F.lit(True)
+    first = sketched.select("node", own.alias("chunk"), F.lit(0).alias("slot"), "id", F.col("id").alias("group"), always.alias("probe"), always.alias("target"), "sketch", "leaves")
+    found = materialise(_linked(materialise(_involved(first, least)), texts, width, percent))
+    # Nodes of one chunk are settled. In the others, texts outside the largest component meet every chunk.
+    large = sketched.where("chunks > 1")
+    if not large.take(1):
+        return found
+    joined = connected_components(found).select(F.col("node").alias("id"), "component")
+    grouped = large.join(joined, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
     parts = grouped.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("node").agg(F.max(F.struct("n", "group"))["group"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = grouped.join(materialise(largest.select("node", "largest")), "node")
-    here = mixed.select("node", own.alias("chunk"), "id", "group", (F.col("group") != F.col("largest")).alias("probe"), always.alias("target"), "sketch")
-    visits = mixed.where(F.col("group") != F.col("largest")).where("chunks > 1").select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own.alias("own"), "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch").where(F.col("chunk") != F.col("own")).drop("own")
-    more = _verified(materialise(_proposed(here.unionByName(visits), least, None)), texts, width, percent)
+    largest = parts.groupBy("node").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
+    largest = materialise(largest.select("node", F.col("top.group").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / SMALL).cast("int").alias("slots")))
+    mixed = materialise(grouped.join(largest, "node"))
+    targets = mixed.select("node", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "id", "group", F.lit(False).alias("probe"), always.alias("target"), "sketch", "leaves")
+    probes = mixed.where(F.col("group") != F.col("largest")).select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot"), "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch", "leaves")
+    more = _linked(materialise(_involved(targets.unionByName(probes), least)), texts, width, percent)
     return found.unionByName(more)
 
 
@@ -298,11 +380,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     signed = materialise(signatures(docs, id_column, text_column, width))
     full = signed.where("n_shingles > 0 and id is not null")
-    heads = materialise(full.groupBy("k0", "k1").agg(F.min("id").alias("head")))
-    classes = materialise(full.join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi").select("id", "sketch", "tokens", "k0", "k1"))
-    classes = classes.join(heads.select("k0", "k1", F.col("head").alias("id")), ["k0", "k1", "id"], "left_semi").select("id", "sketch", "tokens")
+    # One row a class, of its least id; equal rows are combined before the shuffle.
+    classes = materialise(full.groupBy("k0", "k1").agg(F.min(F.struct("id", "sketch", "tokens")).alias("least")).select("k0", "k1", "least.*"))
+    heads = classes.select("k0", "k1", F.col("id").alias("head"))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    components = connected_components(links(classes, texts, width, percent))
+    components = connected_components(links(classes.select("id", "sketch", "tokens"), texts, width, percent))
     named = materialise(heads.join(components, heads["head"] == components["node"], "left").select("k0", "k1", F.coalesce("component", "head").alias("component")))
     out = signed.join(named, ["k0", "k1"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -156,7 +156,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = encoder(tokenizer)
-        for batch in sliced(batches, text_column):
+        for batch in sliced(batches, text_column, 4 << 20):
             offsets, ids = loaded(batch.column(text_column).fill_null(""), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=schema.names)
 
