@@ -130,8 +130,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """``id, n_shingles, k0, k1, sketch, tokens`` of every row: the set's size, its hash, and its minwise tokens."""
+def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, minwise: bool) -> DataFrame:
+    """``id, n_shingles, k0, k1`` of every row: the set's size and its hash; with ``minwise`` also ``sketch, tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
@@ -139,17 +139,22 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int) ->
             sets = [shingles(t or b"", width) for t in texts]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            tokens, sketches = [None] * len(sets), [None] * len(sets)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            if full:
-                found = _signatures([sets[i] for i in full])
-                low = (found & np.uint32(255)).astype(np.uint8)
-                for row, i in enumerate(full):
-                    tokens[i], sketches[i] = found[row].tobytes(), low[row].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketches, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "n_shingles", "k0", "k1", "sketch", "tokens"])
+            columns = [batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            names = ["id", "n_shingles", "k0", "k1"]
+            if minwise:
+                tokens, sketches = [None] * len(sets), [None] * len(sets)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    found = _signatures([sets[i] for i in full])
+                    low = (found & np.uint32(255)).astype(np.uint8)
+                    for row, i in enumerate(full):
+                        tokens[i], sketches[i] = found[row].tobytes(), low[row].tobytes()
+                columns += [pa.array(sketches, pa.binary()), pa.array(tokens, pa.binary())]
+                names += ["sketch", "tokens"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, n_shingles long, k0 long, k1 long, sketch binary, tokens binary")
+    return own.mapInArrow(run, "id long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
 
 
 def _children(frame: DataFrame, branches: int) -> DataFrame:
@@ -180,26 +185,27 @@ def leaves(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, lev
     members are alike, and further tokens would not tell them apart.
     """
     roots = classes.select("id", "tokens", F.explode(F.array(*(F.lit(t * 0x9E3779B1 + 1).cast("long") for t in range(trees)))).alias("node"))
-    rows, ends = materialise(_children(roots, 1)), []
+    # The children of the roots are made twice, for the sizes and for those in company: most are alone.
+    rows, ends, small = _children(roots, 1).select("node", "id"), [], F.col("size") <= SMALL
     sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     for level in range(levels):
-        small = F.col("size") <= SMALL
-        ends.append(rows.join(sizes.where(small) if level < levels - 1 else sizes, "node").select("node", "id", "size"))
+        sized = materialise(rows.join(sizes, "node").select("node", "id", "size"))
+        ends.append(sized.where(small) if level < levels - 1 else sized)
         large = sizes.where(~small)
         if level == levels - 1 or not large.take(1):
             break
-        members = rows.join(large, "node").select("node", "id", "size")
+        members = sized.where(~small)
         children = materialise(_children(members.join(classes.select("id", "tokens"), "id"), branches))
         counted = materialise(children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("parent")).where("size > 1"))
         kept = counted.groupBy("parent").agg(F.max("size").alias("most"))
         stubborn = materialise(large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > SHRINKS * F.col("size")).select("node"))
-        ends.append(members.join(stubborn, "node", "left_semi"))
+        ends.append(materialise(members.join(stubborn, "node", "left_semi")))
         rows = children.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "id")
         sizes = counted.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "size")
     out = ends[0]
     for more in ends[1:]:
         out = out.unionByName(more)
-    return materialise(out)
+    return out
 
 
 _BYTES = {"sketch": TOKENS}
@@ -352,7 +358,8 @@ def links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     least = share - 4.5 * (share * (1 - share) / TOKENS) ** 0.5
     ends = leaves(classes)
     lists = ends.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    sketched = materialise(ends.join(lists, "id").join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int")))
+    # Sketches are joined where they are compared, and nowhere stored with the nodes.
+    sketched = ends.join(lists, "id").join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int"))
     own, always = F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int"), F.lit(True)
     first = sketched.select("node", own.alias("chunk"), F.lit(0).alias("slot"), "id", F.col("id").alias("group"), always.alias("probe"), always.alias("target"), "sketch", "leaves")
     found = materialise(_linked(materialise(_involved(first, least)), texts, width, percent))
@@ -378,14 +385,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Sets are alike when ``100 * intersection >= percent * union``. The text is shuffled for
     classes with a proposed neighbour only.
     """
-    signed = materialise(signatures(docs, id_column, text_column, width))
-    full = signed.where("n_shingles > 0 and id is not null")
+    # Sets are hashed twice: once with minwise tokens, which only classes keep, once for every row's size and class.
+    full = signatures(docs, id_column, text_column, width, True).where("n_shingles > 0 and id is not null")
     # One row a class, of its least id; equal rows are combined before the shuffle.
     classes = materialise(full.groupBy("k0", "k1").agg(F.min(F.struct("id", "sketch", "tokens")).alias("least")).select("k0", "k1", "least.*"))
     heads = classes.select("k0", "k1", F.col("id").alias("head"))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     components = connected_components(links(classes.select("id", "sketch", "tokens"), texts, width, percent))
     named = materialise(heads.join(components, heads["head"] == components["node"], "left").select("k0", "k1", F.coalesce("component", "head").alias("component")))
+    signed = signatures(docs, id_column, text_column, width, False)
     out = signed.join(named, ["k0", "k1"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
