@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import char_shingles, clean_text
+from ..functions.text import clean_text
 from .components import connected_components
 from .durable import materialise
 
@@ -56,21 +62,65 @@ def permutation(j: int) -> tuple[int, int]:
     return (j * 2_654_435_761 + 1_013_904_223) % (MODULUS - 1) + 1, (j * 40_503 + 2_166_136_261) % MODULUS
 
 
-def minhash_signatures(shingles: DataFrame, identifier: str, shingle: str, permutations: int) -> DataFrame:
-    """``id, signature``: the least hash of a set under each permutation; the base hash is 28 bits of md5.
+class MinHasher:
+    """The least ``(a * h + b) mod MODULUS`` of a set of shingles under each permutation; ``h`` is 28 bits of md5.
+
+    Texts share most of their shingles: a shingle's values are computed once and kept while there is room for ``most``.
+    """
 
-    Minima are taken inside tasks first: one narrow row a document is shuffled, whatever its length.
+    def __init__(self, permutations: int, most: int = 1 << 16):
+        self.a, self.b = np.array([permutation(j) for j in range(permutations)], np.uint64).T.copy()
+        self.most, self.rows, self.table = most, {}, np.empty((most, permutations), np.uint32)
+
+    def _learn(self, fresh: list[str]) -> None:
+        at, modulus = len(self.rows), np.uint64(MODULUS)
+        self.rows.update(zip(fresh, range(at, at + len(fresh))))
+        hashes = np.fromiter((int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "big") >> 4 for x in fresh), np.uint64, len(fresh))
+        for i in range(0, len(fresh), 64):
+            # The modulus is a Mersenne prime: one fold leaves a number below twice the modulus.
+            x = hashes[i : i + 64, None] * self.a + self.b
+            x = (x & modulus) + (x >> np.uint64(31))
+            self.table[at + i : at + i + len(x)] = np.minimum(x, x - modulus)
+
+    def signature(self, shingles: set[str]) -> np.ndarray:
+        least, every = np.full(len(self.a), MODULUS, np.uint32), list(shingles)
+        for i in range(0, len(every), self.most):
+            part = every[i : i + self.most]
+            fresh = [x for x in part if x not in self.rows]
+            if len(self.rows) + len(fresh) > self.most:
+                self.rows.clear()
+                fresh = part
+            self._learn(fresh)
+            places = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
+            for j in range(0, len(places), 256):
+                np.minimum(least, self.table[places[j : j + 256]].min(axis=0), out=least)
+        return least
+
+
+def minhash_signatures(docs: DataFrame, identifier: str, cleaned: str, shingle: int, permutations: int) -> DataFrame:
+    """``id, signature``: the least hash of a text's shingles under each permutation; a map, without shuffle.
+
+    A text shorter than ``shingle`` is its own shingle; null and empty ones have no row.
     """
-    hashed = shingles.select(identifier, F.conv(F.substring(F.md5(shingle), 1, 7), 16, 10).cast("long").alias("h"))
-    least = hashed.groupBy(identifier).agg(*(F.min((F.col("h") * permutation(j)[0] + permutation(j)[1]) % MODULUS).alias(f"m{j}") for j in range(permutations)))
-    return least.select(identifier, F.array(*(f"m{j}" for j in range(permutations))).alias("signature"))
+    schema = T.StructType([docs.schema[identifier], T.StructField("signature", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHasher(permutations)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for text in part.column("__cleaned").to_pylist():
+                    shingles = {text[i : i + shingle] for i in range(max(1, len(text) - shingle + 1))}
+                    out.append(hasher.signature(shingles).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(identifier), pa.array(out, pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.select(identifier, F.col(cleaned).alias("__cleaned")).where("length(__cleaned) > 0").mapInArrow(run, schema)
 
 
-def lsh_buckets(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 5, permutations: int = 20, bands: int = 5) -> DataFrame:
+def lsh_buckets(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 5, permutations: int = 286, bands: int = 26) -> DataFrame:
     """``id, band, bucket`` for every band of the signature of a cleaned text; empty texts have none."""
     rows = permutations // bands
-    cut = docs.select(identifier, clean_text(F.col(text)).alias("cleaned")).select(identifier, F.explode(char_shingles(F.col("cleaned"), shingle)).alias("shingle"))
-    signed = minhash_signatures(cut, identifier, "shingle", permutations)
+    signed = minhash_signatures(docs.select(identifier, clean_text(F.col(text)).alias("cleaned")), identifier, "cleaned", shingle, permutations)
     banded = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.transform(F.slice("signature", b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("bucket")))
     return signed.select(identifier, F.explode(banded).alias("b")).select(identifier, F.col("b.band").cast("long").alias("band"), "b.bucket")
 

@@ -277,7 +277,7 @@ buckets AS (SELECT doc_id, band, md5(array_to_string(m[band * {rows} + 1 : band
 
 @query(f"WITH {_signature_sql()} SELECT doc_id, band, bucket FROM buckets")
 def lsh_buckets(t):
-    return dedup.lsh_buckets(t.documents)
+    return dedup.lsh_buckets(t.documents, permutations=20, bands=5)  # a setting that SQL can check
 
 
 @query(f"""WITH RECURSIVE {_signature_sql()},
@@ -288,6 +288,16 @@ reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.n
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT node AS doc_id, component, component <> node AS fuzzy_duplicate FROM comp""")
 def fuzzy_document_dedup(t):
+    return dedup.fuzzy_documents(t.documents, permutations=20, bands=5)  # a setting that SQL can check
+
+
+@query()
+def lsh_buckets_26x11(t):
+    return dedup.lsh_buckets(t.documents)
+
+
+@query()
+def fuzzy_document_dedup_26x11(t):
     return dedup.fuzzy_documents(t.documents)
 
 

@@ -36,6 +36,37 @@ def test_exact_and_fuzzy_documents(spark):
     assert fuzzy[2] == fuzzy[3] == fuzzy[5] == 1 and fuzzy[4] == 4 and fuzzy[6] == 6
 
 
+def test_lsh_buckets_match_plain_minhash(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéß😀", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 3, 40, 400, 900)] + ["abcd", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def buckets(text, permutations, bands):
+        hashes = [int(hashlib.md5(text[i : i + 5].encode()).hexdigest()[:7], 16) for i in range(max(1, len(text) - 4))]
+        least = [min((h * a + b) % dedup.MODULUS for h in hashes) for a, b in map(dedup.permutation, range(permutations))]
+        rows = permutations // bands
+        return [(band, hashlib.md5(",".join(map(str, least[band * rows : (band + 1) * rows])).encode()).hexdigest()) for band in range(bands)]
+
+    for options, setting in (({}, (286, 26)), ({"permutations": 20, "bands": 5}, (20, 5))):
+        want = sorted((i, *b) for i, t in enumerate(texts) if t for b in buckets(t, *setting))
+        assert values(dedup.lsh_buckets(docs, **options), "doc_id", "band", "bucket") == want
+
+
+def test_unrelated_prose_is_no_fuzzy_duplicate(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 6))) for _ in range(120)]
+    rows = [(i, " ".join(rng.choices(words, k=400))) for i in range(60)]
+    rows += [(60 + i, rows[i][1] + " and more") for i in range(5)]
+    got = dict(values(dedup.fuzzy_documents(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component"))
+    assert got == {i: i - 60 if i >= 60 else i for i in range(65)}
+
+
 def test_paragraph_spans_and_removal(spark):
     docs = spark.createDataFrame([(1, "ém\nb"), (2, "x\nb\ny"), (3, "b")], "doc_id long, text string")
     spans = dedup.exact_paragraphs(docs)
