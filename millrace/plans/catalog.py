@@ -203,10 +203,19 @@ def record_ids(t):
     return t.conversations.select("conv_id", "turn", text.record_id(F.when(F.col("turn") > 0, F.col("conv_id")), F.col("text")).alias("id"))
 
 
+def _word_ngrams(docs: DataFrame) -> DataFrame:
+    grams = docs.select("doc_id", F.posexplode(text.ngrams(text.words(F.col("text")), 4, stride=1)).alias("p", "gram"))
+    return grams.select("doc_id", (2 * F.col("p") + 1).cast("long").alias("pos"), "gram")
+
+
 @query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE n_chars < 400) SELECT doc_id, i::BIGINT AS pos, array_to_string(w[i:i+3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2, 2)) AS i FROM w WHERE len(w) >= 4)")
 def word_ngrams(t):
-    grams = t.documents.where("n_chars < 400").select("doc_id", F.posexplode(text.ngrams(text.words(F.col("text")), 4, stride=1)).alias("p", "gram"))
-    return grams.select("doc_id", (2 * F.col("p") + 1).cast("long").alias("pos"), "gram")
+    return _word_ngrams(t.documents.where("n_chars < 400"))  # as its SQL has it
+
+
+@query()
+def word_ngrams_all(t):
+    return _word_ngrams(t.documents)
 
 
 _LINES = """lines AS (SELECT doc_id, pos, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(line) - 1)::BIGINT AS b

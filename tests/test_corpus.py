@@ -23,6 +23,17 @@ def test_text_functions(spark):
     assert one(spark, text.normalised_extension(F.col("t")), [(" PY ",), (".md",), ("",)], "t string") == [".py", ".md", None]
 
 
+def test_word_ngrams_of_every_document(spark, tmp_path):
+    from millrace.plans import catalog
+
+    texts = ["a b c d e f g", " ".join(f"w{i}" for i in range(300)), "a b c", None]
+    rows = [(i, t, None if i == 0 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(t or "").split() for t in texts]
+    want = sorted((i, at + 1, " ".join(w[at : at + 4])) for i, w in enumerate(words) for at in range(0, len(w) - 3, 2))
+    assert values(catalog.queries()["word_ngrams_all"](spark, str(tmp_path)), "doc_id", "pos", "gram") == want
+
+
 def test_hash_vectors(spark):
     got = spark.createDataFrame([("hello",)], "t string").select(hashing.xxh3_64("t"), hashing.xxh3_128("t")).first()
     assert int(got[0]) == 10760762337991515389 and int(got[1], 16) == 241804000618833338782870102822322583576
