@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .durable import materialise
 from .relational import prefix_sums
 
 
@@ -139,6 +140,22 @@ def token_budget(docs: DataFrame, budget: int, identifier: str, size: str, seed:
     return placed.withColumn("__at", F.col("__before") + F.sum(size).over(inside) - F.col(size)).where(F.col("__at") <= budget).select(docs.columns)
 
 
+def numbered(frame: DataFrame, order: str, out: str = "idx") -> tuple[DataFrame, int]:
+    """``frame`` with dense numbers from 0 by ``order``, and the number of its rows.
+
+    Rows are dealt by range and numbered inside tasks; a task's first number is the count of rows in the tasks before.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = frame.repartitionByRange(order).sortWithinPartitions(order).withColumns({"__task": F.shiftright(place, 33), "__row": place.bitwiseAND((1 << 33) - 1)})
+    dealt = materialise(dealt)
+    firsts, n = [], 0
+    for task, count in sorted(map(tuple, dealt.groupBy("__task").count().collect())):
+        firsts.append((task, n))
+        n += count
+    first = F.broadcast(frame.sparkSession.createDataFrame(firsts, "__task long, __first long"))  # one row a task
+    return dealt.join(first, "__task").withColumn(out, F.col("__first") + F.col("__row")).drop("__task", "__row", "__first"), n
+
+
 def epochs(indexed: DataFrame, n: int, rows: int, index: str = "idx") -> DataFrame:
     """``rows`` rows that run through ``n`` indexed ones again and again, with ``position`` and ``epoch``."""
     positions = indexed.sparkSession.range(rows).select(F.col("id").alias("position"), (F.col("id") % n).alias(index), F.floor(F.col("id") / n).alias("epoch"))

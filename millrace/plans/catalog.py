@@ -496,13 +496,14 @@ def token_budget(t):
 
 @query("SELECT p.range AS position, p.range % 1000 AS idx, p.range // 1000 AS epoch, n_chars FROM range(2500) p JOIN documents ON doc_id = p.range % 1000")
 def epoch_wrap(t):
-    indexed = t.documents.select(F.col("doc_id").alias("idx"), "n_chars")
-    return training.epochs(indexed, 1000, 2500)
+    indexed, n = training.numbered(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return training.epochs(indexed.drop("doc_id"), n, 5 * n // 2)
 
 
 @query("SELECT doc_id AS idx FROM documents WHERE doc_id < 250")
 def simulated_epoch(t):
-    return training.simulated_epoch(t.documents.select(F.col("doc_id").alias("idx")), 1000, 1, 4)
+    indexed, n = training.numbered(t.documents.select("doc_id"), "doc_id")
+    return training.simulated_epoch(indexed.select("idx"), n, 1, 4)
 
 
 @query("SELECT event_id, user_id, round(CASE WHEN count(*) OVER w > 1 THEN value - (sum(value) OVER w - value) / (count(*) OVER w - 1) ELSE 0 END, 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")

@@ -124,6 +124,16 @@ def test_packs_and_chunks(spark):
     assert values(training.sequence_chunks(tokens, 3), "chunk", "ids") == [(0, [1, 2, 3]), (1, [4, 5, 6])]
 
 
+def test_epochs_follow_the_table(spark, tmp_path):
+    from millrace.plans import catalog
+
+    ids = [3 * i - 50 for i in range(1400)]
+    spark.createDataFrame([(i, i % 90) for i in ids], "doc_id long, n_chars int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name, *columns: values(catalog.queries()[name](spark, str(tmp_path)), *columns)
+    assert run("simulated_epoch", "idx") == [(i,) for i in range(350)]
+    assert run("epoch_wrap", "position", "idx", "epoch", "n_chars") == [(p, p % 1400, p // 1400, ids[p % 1400] % 90) for p in range(3500)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_permutations_are_bijective(spark, n):
     rows = spark.range(n)
