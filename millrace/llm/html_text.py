@@ -58,22 +58,27 @@ LOW = 0.1
 
 
 class _Node:
-    __slots__ = ("tag", "path", "dropped", "article", "marked", "block", "children")
+    __slots__ = ("tag", "path", "dropped", "article", "marked", "block", "begin", "children")
 
-    def __init__(self, tag, path, dropped, article, marked, block):
-        self.tag, self.path, self.dropped, self.article, self.marked, self.block, self.children = tag, path, dropped, article, marked, block, []
+    def __init__(self, tag, path, dropped, article, marked, block, begin):
+        self.tag, self.path, self.dropped, self.article, self.marked, self.block, self.begin, self.children = tag, path, dropped, article, marked, block, begin, []
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def walk(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = None) -> str:
-    """The page's text without branches in ``low``; ``seen`` counts its nodes' contents and presentations."""
+def walk(html: str, low: frozenset[int] = frozenset(), seen: Counter | None = None, found: list[tuple[int, str, int]] | None = None) -> str:
+    """The page's text without the branches that begin at an offset in ``low``.
+
+    ``seen`` counts its nodes' contents and presentations; ``found`` gets each node's offset, path and content.
+    """
     blocks: list[tuple[str, bool]] = []
     sums = [0]  # running sums of the hashes of blocks
     buffer: list[str] = []
-    stack, opened, any_article, at, end = [_Node("", "", False, False, False, 0)], Counter(), False, 0, len(html)
+    stack, opened, any_article, at, end = [_Node("", "", False, False, False, 0, 0)], Counter(), False, 0, len(html)
+
+    judged = seen is not None or found is not None
 
     def flush() -> None:
         if buffer:
@@ -81,15 +86,19 @@ def walk(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
             buffer.clear()
             if text:
                 blocks.append((text, stack[-1].article))
-                if seen is not None:
+                if judged:
                     sums.append((sums[-1] + _hash(text)) & 0xFFFFFFFFFFFFFFFF)
 
     def close() -> None:
         node = stack.pop()
         opened[node.tag] -= 1
-        if seen is not None and not node.dropped and (node.marked or not node.article) and node.path:
-            seen[0, node.path, (sums[-1] - sums[node.block]) & 0x7FFFFFFFFFFFFFFF] += 1
-            seen[1, node.path, _hash(" ".join(node.children)) >> 1] += 1
+        if judged and not node.dropped and (node.marked or not node.article) and node.path:
+            content = (sums[-1] - sums[node.block]) & 0x7FFFFFFFFFFFFFFF
+            if seen is not None:
+                seen[0, node.path, content] += 1
+                seen[1, node.path, _hash(" ".join(node.children)) >> 1] += 1
+            if found is not None:
+                found.append((node.begin, node.path, content))
 
     while at < end:
         match = _TOKEN.search(html, at)
@@ -135,10 +144,10 @@ def walk(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
         above = stack[-1]
         path = above.path if len(stack) > DEEPEST else f"{above.path}/{tag}.{words}" if words else f"{above.path}/{tag}"
         above.children.append(tag)
-        dropped = above.dropped or unwanted or path in low
+        dropped = above.dropped or unwanted or begin in low
         article = above.article or (tag in ARTICLE and not dropped)
         any_article = any_article or article
-        stack.append(_Node(tag, path, dropped, article, above.marked or (article and bool(words) and tag not in ARTICLE), len(sums) - 1))
+        stack.append(_Node(tag, path, dropped, article, above.marked or (article and bool(words) and tag not in ARTICLE), len(sums) - 1, begin))
         opened[tag] += 1
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
@@ -149,8 +158,17 @@ def walk(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
     return " ".join(text for text, inside in blocks if inside or not any_article)
 
 
+def without_repeated(html: str, low: dict[str, frozenset[int]]) -> str:
+    """The page's text without branches whose content is one of those that ``low`` has for their path."""
+    found: list[tuple[int, str, int]] = []
+    whole = walk(html, found=found)
+    drop = frozenset(begin for begin, path, content in found if path in low and content in low[path])
+    # A page that would lose everything is a repeated page, not a template.
+    return (walk(html, drop) if drop else "") or whole
+
+
 def _low_nodes(own: DataFrame, least_seen: int, low: float) -> DataFrame:
-    """``host, paths``: the nodes of low importance of each host that has any."""
+    """``host, low``: the nodes of low importance of each host that has any, each with the contents that it repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
@@ -164,8 +182,9 @@ def _low_nodes(own: DataFrame, least_seen: int, low: float) -> DataFrame:
 
     values = own.select("host", "html").mapInArrow(run, "host string, kind int, path string, value long, n long").groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     share = F.when(F.sum("n") > 1, (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")) / F.ln(F.sum("n"))).otherwise(1.0)
-    nodes = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), share.alias("share")).groupBy("host", "path").agg(F.max("seen").alias("seen"), F.avg("share").alias("importance"))
-    return nodes.where(~F.col("path").isin("/html", "/html/body") & (F.col("seen") >= least_seen) & (F.col("importance") < low)).groupBy("host").agg(F.collect_list("path").alias("paths"))
+    nodes = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), share.alias("share"), F.collect_list(F.when((F.col("kind") == 0) & (F.col("n") > 1), F.col("value"))).alias("contents"))
+    nodes = nodes.groupBy("host", "path").agg(F.max("seen").alias("seen"), F.avg("share").alias("importance"), F.flatten(F.collect_list("contents")).alias("contents"))
+    return nodes.where(~F.col("path").isin("/html", "/html/body") & (F.col("seen") >= least_seen) & (F.col("importance") < low)).groupBy("host").agg(F.collect_list(F.struct("path", "contents")).alias("low"))
 
 
 #: A table of low nodes up to this size is broadcast; beyond it hosts are salted.
@@ -178,7 +197,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     host = host_and_path(F.coalesce(F.col(url_column).cast("string"), F.lit("")))[0]
     own = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html"))
     nodes = materialise(_low_nodes(own, least_seen, low))
-    size = nodes.agg(F.sum(F.length("host") + F.length(F.array_join("paths", "")) + 64)).first()[0] or 0
+    size = nodes.agg(F.sum(F.length("host") + F.aggregate("low", F.lit(64), lambda a, x: a + F.length(x["path"]) + 8 * F.size(x["contents"]) + 32))).first()[0] or 0
     if size <= MOST_BROADCAST_BYTES:
         joined = own.join(F.broadcast(nodes), "host", "left")
     else:
@@ -188,8 +207,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
-            # A page that would lose everything is a repeated page, not a template.
-            texts = [(walk(html, frozenset(paths)) if paths else "") or walk(html) if html else "" for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
+            # A host's pages of one batch share its table.
+            hosts: dict[str, dict[str, frozenset[int]]] = {}
+            texts = []
+            for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())):
+                if host not in hosts:
+                    hosts[host] = {x["path"]: frozenset(x["contents"]) for x in batch.column("low")[i].as_py() or ()}
+                texts.append("" if not html else without_repeated(html, hosts[host]) if hosts[host] else walk(html))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return joined.select("id", "url", "html", "paths").mapInArrow(run, schema)
+    return joined.select("id", "url", "host", "html", "low").mapInArrow(run, schema)

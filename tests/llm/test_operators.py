@@ -246,6 +246,15 @@ def test_html_site_tree(spark):
     assert html_text.extract(frame).count() == 43 and html_text.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frame", ["<body><h1>Site</h1><div class=entry><p>{}</p></div></body>", "<body><article><h1>Site</h1><div class=entry><p>{}</p></div></article></body>"])
+def test_html_keeps_what_one_page_has(spark, frame):
+    page = lambda i: frame.format(f"Article number {i} of few" if i % 20 == 0 else "This page cannot be shown")
+    pages = spark.createDataFrame([(i, f"http://one.example/{i}", page(i)) for i in range(1000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert len(got) == 1000 and all(f"Article number {i} of few" in got[i] for i in range(0, 1000, 20))
+    assert frame.startswith("<body><article>") or "Site" not in got[0]
+
+
 # 6
 
 
