@@ -47,7 +47,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"""(?i:\b(?:token|secret|password|api[_-]?key)\b)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_/+=-]{16,128})""")
+_SECRET = re.compile(r"""(?i:\b(?:token|secret|password|api[_-]?key)\b)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_/+=-]{16,}+)""")
 
 # Words that speak for a kind when they stand within WINDOW characters of a span.
 WINDOW = 40

@@ -342,6 +342,13 @@ def test_pii_validators_and_context():
     assert pii.redact("to a@b.cd!", pii.find("to a@b.cd!")) == "to <EMAIL>!"
 
 
+@pytest.mark.parametrize("n", [16, 128, 129, 200, 5000])
+def test_pii_secret_is_covered_whole(n):
+    text = f"api_key = '{('a1B2' * n)[:n]}' end"
+    assert [(s.begin, s.end) for s in pii.find(text) if s.kind == "secret"] == [(11, 11 + n)]
+    assert pii.redact(text, pii.find(text)) == "api_key = '<SECRET>' end"
+
+
 def test_pii_rows(spark, docs):
     got = {r.doc_id: r for r in pii.find_pii(docs, sink=pii.digest_sink, sink_schema=pii.DIGESTS).collect()}
     assert (got[8].n_email, got[8].n_phone, got[8].n_card, got[0].spans) == (1, 1, 1, "") and got[0].base_sha256 == sha("")
