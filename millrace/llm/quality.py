@@ -4,8 +4,8 @@ Each rule rejects a document when one of its measures exceeds a cutoff. Labelled
 are the holdout. In every stratum (a language), a cutoff is accepted when the exact binomial
 test says, at a level corrected for all rules and strata, that fewer than the tolerated
 share of good documents exceed it; cutoffs are tested from the most lenient on, and the last
-one before the first that fails is used. With too few labelled good documents no cutoff
-passes and the rule rejects nothing. Everything is native.
+one before the first that fails is used. With too few labelled good documents in a stratum, or
+none, no cutoff passes there and the rule rejects nothing. Everything is native.
 
 Defined results: a null text has no words; such and other short documents fail the base
 rule; labels that are null or lack a document are left out, and a document labelled more
@@ -33,8 +33,9 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
 }
 #: Share of good documents that all rules together may reject, and the chance that this fails anywhere.
 TOLERATED, FAILURE = 0.02, 0.05
-#: A stratum with fewer labelled good documents than this share of all of them joins the rest.
-LEAST_STRATUM = 0.001
+#: Up to so many strata with cutoffs are broadcast; beyond it strata are salted.
+MOST_BROADCAST_STRATA = 50_000
+SALTS = 32
 
 
 def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -125,25 +126,21 @@ def counted_and_measured(docs: DataFrame, id_column: str, text_column: str, stra
     return counted.withColumns({"base_failed": base_failed(), **measures()})
 
 
-def _pooled(frame: DataFrame, large: DataFrame) -> DataFrame:
-    """Strata that are not ``large`` become one. The table is broadcast: it has at most ``1 / LEAST_STRATUM`` rows."""
-    joined = frame.join(F.broadcast(large), frame["stratum"] == large["large"], "left")
-    return joined.withColumn("stratum", F.coalesce("large", F.lit("rest"))).drop("large")
-
-
-def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The strata that stand alone, and every stratum's cutoffs; both bounded by ``1 / LEAST_STRATUM`` rows and one."""
+def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id") -> DataFrame:
+    """The cutoffs of every stratum that has any."""
     good = labels.select(F.col(id_column).alias("__id"), F.col("quality")).where("__id is not null and quality is not null").groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
     holdout = counted.where(~F.col("base_failed")).join(good, "__id", "left_semi").select("stratum", *cutoffs)
-    sizes = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    large = materialise(sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("all"))), F.col("n") >= F.lit(LEAST_STRATUM) * F.col("all")).select(F.col("stratum").alias("large")))
-    return large, materialise(accepted_cutoffs(_pooled(holdout, large), cutoffs, tolerated, failure))
+    chosen = accepted_cutoffs(holdout, cutoffs, tolerated, failure)
+    return materialise(chosen.where(F.coalesce(*(F.col(f"cut_{m}") for m in cutoffs)).isNotNull()))
 
 
-def verdicts(counted: DataFrame, fitted: tuple[DataFrame, DataFrame], cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:
+def verdicts(counted: DataFrame, fitted: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:
     """Adds ``kept`` to ``counted``."""
-    large, chosen = fitted
-    judged = _pooled(counted, large).join(F.broadcast(chosen), "stratum", "left")
+    if fitted.count() <= MOST_BROADCAST_STRATA:
+        judged = counted.join(F.broadcast(fitted), "stratum", "left")
+    else:
+        salted = fitted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = counted.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "__salt"], "left").drop("__salt")
     beyond = F.lit(False)
     for m in cutoffs:
         beyond = beyond | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))

@@ -167,6 +167,22 @@ def test_quality_cutoffs_learned(spark):
     assert {(r.bad, r.kept): r["count"] for r in got} == {(True, False): 1500, (False, True): 4500}
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_quality_judges_every_stratum_by_its_own_labels(spark, monkeypatch, bound):
+    monkeypatch.setattr(quality, "MOST_BROADCAST_STRATA", bound)
+    words = " ".join(f"word{j}" for j in range(12))
+    long = words.replace("word", "wordwithoutanyspaces")
+    # "xx" has no labels, "yy" and "zz" few of them; the 300 small languages have 10 each and keep to the cutoffs.
+    rows = [(i, f"{words} n{i}", "en") for i in range(12_000)]
+    rows += [(20_000 + i, f"{long} n{i}", lang) for lang, first, n in (("xx", 0, 20), ("yy", 20, 2), ("zz", 30, 1)) for i in range(first, first + n)]
+    rows += [(30_000 + i, f"{words} r{i}", f"small{i % 300}") for i in range(3000)]
+    rows += [(40_000, f"{long} e", "en")]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[2] != "xx" and r[0] != 40_000], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in quality.judge(docs, labels).where("not kept").collect()] == [40_000]
+    assert quality.good_documents(docs, labels).count() == len(rows) - 1
+
+
 def test_binomial_tail(spark):
     import math
 
