@@ -64,7 +64,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
         self.most_words = most_words
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = "|".join([_UNUSUAL, *added])

@@ -287,6 +287,16 @@ def test_token_files(spark, docs):
     assert token_files.through_files(docs.limit(0), path).count() == 0
 
 
+def test_token_files_with_an_added_token(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b"
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+    got = token_files.through_files(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).collect()
+    assert 50256 in ids and [(r.n_tokens, r.ids_crc32) for r in got] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
 # 7
 
 
