@@ -6,12 +6,16 @@ divided by the source's target. All queues are merged by virtual finish time and
 queue is cut where the words taken would exceed the total budget.
 
 Running sums are taken in two steps, inside hash ranges and over the totals of the ranges,
-so that a source with a third of all rows is dealt over many tasks. Everything is native.
+so that a source with a third of all rows is dealt over many tasks. In a source, finish times
+grow along its queue, so what a pass takes is a beginning of the queue: all that goes back to
+the documents is the last hash that each source takes in each pass. Texts are neither
+shuffled nor sorted. Everything is native.
 
 Defined results: a null text has size 0; documents of size 0 and sources of size 0 take
-nothing; null sources form one source, the last; rows with the same id count separately;
-ties are broken by source, hash and id; an empty table gives no rows; other columns are not
-read.
+nothing; null sources form one source, the last; the hash is one of the id and the text, so
+rows with the same id and different texts count separately, and rows with the same id, text
+and source are taken together or not at all; ties between sources are broken by their names;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from pyspark.sql import functions as F
 from ..operators.durable import materialise
 
 SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 #: Of the words of a source that a mix takes at most: each document twice.
 PASSES = 2
+#: Up to so many sources are broadcast; beyond it sources are salted.
+MOST_BROADCAST_SOURCES = 50_000
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -43,84 +51,114 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float) -> DataF
     that spends the budget is the first that lies below its own source's limit.
     """
     listed = F.array(*(F.lit(float(w)) for w in weights))
+    full = PASSES * F.col("source_size")
     by_key, by_limit = Window.orderBy("skey"), Window.orderBy("limit", "skey")
-    ranked = sources.withColumn("weight", F.element_at(listed, (F.pmod(F.row_number().over(by_key) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("limit", PASSES * F.col("source_size") / F.col("weight"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("limit", "skey")
-    left = (share * F.sum("source_size").over(everything) - (F.sum(PASSES * F.col("source_size")).over(by_limit.rowsBetween(Window.unboundedPreceding, 0)) - PASSES * F.col("source_size"))) / F.sum("weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
-    levelled = ranked.withColumn("level", left).withColumn("level", F.min(F.when(F.col("level") <= F.col("limit"), F.struct("limit", "skey", "level"))).over(everything)["level"])
-    full = (PASSES * F.col("source_size")).cast("double")
-    return levelled.select("skey", "source_size", F.when(F.col("level").isNull() | (F.col("level") >= F.col("limit")), full).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    place = F.pmod(F.row_number().over(by_key) - 1, F.lit(len(weights))) + 1
+    ranked = sources.withColumn("weight", F.element_at(listed, place.cast("int")))
+    ranked = ranked.withColumn("limit", full / F.col("weight"))
+    everything = by_limit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = F.sum(full).over(by_limit.rowsBetween(Window.unboundedPreceding, 0)) - full
+    open_weight = F.sum("weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
+    left = (share * F.sum("source_size").over(everything) - filled) / open_weight
+    first = F.min(F.when(F.col("level") <= F.col("limit"), F.struct("limit", "skey", "level"))).over(everything)
+    levelled = ranked.withColumn("level", left).withColumn("level", first["level"])
+    full = full.cast("double")
+    above = F.col("level").isNull() | (F.col("level") >= F.col("limit"))
+    return levelled.select("skey", "source_size", F.when(above, full).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """``id, size, source_size, target, taken`` of every row, then the columns in ``keep``.
+def source_key(source: Column) -> Column:
+    """The name of a source, null last."""
+    name = source.cast("string")
+    return F.when(name.isNull(), "1").otherwise(F.concat(F.lit("0"), name))
 
-    ``weights`` are dealt to the sources in the order of their names, repeating. The total
-    budget is ``share`` times all words. ``taken`` is the document's words that the mix has,
-    0, 1 or 2 times its size. Sums and the cut are found on narrow rows; the columns in
-    ``keep`` take part in the last pass only, and are shuffled once.
+
+def queue_hash(seed: str, identity: Column, text: Column) -> Column:
+    """The place of a document in its source's queue."""
+    known = lambda x: F.coalesce(x, F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(seed), known(identity.cast("string")), F.md5(known(text))))
+
+
+def last_taken(queues: DataFrame, weights: Sequence[float], share: float) -> DataFrame:
+    """``skey, source_size, target`` and the last hash taken in each pass, ``last_0`` and on; null where none is.
+
+    ``queues`` has ``skey, hash, size`` of every row and is materialised.
     """
-    rows = docs.count()
-    digits = max(1, round(math.log(max(rows, 16), 16) / 2))
+    digits = max(1, round(math.log(max(queues.count(), 16), 16) / 2))
     bins = 16 ** (digits + 1)
-    source = F.col(source_column).cast("string")
-
-    def based(columns: Sequence[str]) -> DataFrame:
-        return docs.select(
-            F.col(id_column).alias("__id"),
-            *(F.col(c).alias(f"__keep_{c}") for c in columns),
-            words(F.col(text_column)).alias("size"),
-            F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"),
-            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))).alias("hash"),
-        ).withColumn("range", F.substring("hash", 1, digits))
-
-    base = materialise(based(()))
+    # Rows of one hash are one entry; copies are combined before the shuffle.
+    entry = F.substring("hash", 1, digits).alias("range")
+    base = materialise(queues.groupBy("skey", entry, "hash").agg(F.sum("size").alias("size")))
     ranges = base.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
-    ranges = ranges.withColumn("before", F.sum("range_size").over(Window.partitionBy("skey").orderBy("range")) - F.col("range_size"))
-    ranges = materialise(ranges)
-    goals = targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, share)
-    ranges = materialise(ranges.join(goals, "skey").select("skey", "range", "range_size", "before", "source_size", "target"))
-    inside = Window.partitionBy("skey", "range").orderBy("hash", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
-
-    def placed_in(frame: DataFrame) -> DataFrame:
-        return frame.join(ranges.drop("range_size"), ["skey", "range"]).withColumn("queued", F.col("before") + F.sum("size").over(inside))
-
-    def finish(turn: int) -> Column:
-        return F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("queued") + turn * F.col("source_size")) / F.col("target"))
-
-    placed = materialise(placed_in(base))
-    entries = placed.select("skey", "hash", "__id", "size", F.explode(F.array(*(finish(t) for t in range(PASSES)))).alias("finish")).where("finish is not null")
-    entries = entries.withColumn("bin", F.floor(F.col("finish") * bins))
-    budget = share * (ranges.agg(F.sum("range_size")).first()[0] or 0)
+    before = F.sum("range_size").over(Window.partitionBy("skey").orderBy("range")) - F.col("range_size")
+    ranges = materialise(ranges.withColumn("before", before))
+    sizes = ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size"))
+    goals = materialise(targets(sizes, weights, share))
+    ranges = materialise(ranges.join(goals, "skey").select("skey", "range", "before", "source_size", "target"))
+    inside = Window.partitionBy("skey", "range").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
+    queued = F.col("before") + F.sum("size").over(inside)
+    placed = base.where("size > 0").join(ranges, ["skey", "range"]).where("target > 0").withColumn("queued", queued)
+    turns = F.array(*(F.struct(F.lit(t).alias("turn"), ((F.col("queued") + t * F.col("source_size")) / F.col("target")).alias("finish")) for t in range(PASSES)))
+    entries = placed.select("skey", "hash", "size", F.explode(turns).alias("at")).select("skey", "hash", "size", "at.*")
+    entries = materialise(entries.withColumn("bin", F.floor(F.col("finish") * bins)))
+    budget = share * (goals.agg(F.sum("source_size")).first()[0] or 0)
     # The bin in which the budget ends: bins are few and their totals are all that is ordered in one task.
     sums = entries.groupBy("bin").agg(F.sum("size").alias("bin_size"))
     sums = sums.withColumn("upto", F.sum("bin_size").over(Window.orderBy("bin")))
     last = sums.where(F.col("upto") > budget).orderBy("bin").first()
-    cut = None
+    taken = entries
     if last is not None:
-        order = Window.orderBy("finish", "skey", "hash", "__id").rowsBetween(Window.unboundedPreceding, 0)
-        tail = entries.where(F.col("bin") == last["bin"]).withColumn("upto", F.sum("size").over(order) + (last["upto"] - last["bin_size"]))
-        cut = tail.where(F.col("upto") > budget).orderBy("upto").select("finish", "skey", "hash", "__id").first()
+        order = Window.orderBy("finish", "skey", "hash").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.sum("size").over(order) + (last["upto"] - last["bin_size"])
+        tail = entries.where(F.col("bin") == last["bin"]).withColumn("upto", upto)
+        cut = tail.where(F.col("upto") > budget).orderBy("upto").select("finish", "skey", "hash").first()
+        tie = F.struct("skey", "hash") < F.struct(F.lit(cut["skey"]), F.lit(cut["hash"]))
+        taken = entries.where((F.col("finish") < cut["finish"]) | ((F.col("finish") == cut["finish"]) & tie))
+    lasts = taken.groupBy("skey").agg(*(F.max(F.when(F.col("turn") == t, F.col("hash"))).alias(f"last_{t}") for t in range(PASSES)))
+    return materialise(goals.join(lasts, "skey", "left"))
+
+
+def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds the columns of ``sources`` to ``rows``, which have ``skey`` and ``hash``; rows are not shuffled when sources are few."""
+    if sources.count() <= MOST_BROADCAST_SOURCES:
+        return rows.join(F.broadcast(sources), "skey")
+    salted = sources.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("hash"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(salted, ["skey", "__salt"]).drop("__salt")
 
-    def taken(turn: int) -> Column:
-        at = finish(turn)
-        if cut is None:
-            return at.isNotNull().cast("long")
-        # One hash stands for one id, so that the id decides nothing between different hashes.
-        tie = F.struct(F.col("skey"), F.col("hash")) < F.struct(F.lit(cut["skey"]), F.lit(cut["hash"]))
-        return F.coalesce((at < cut["finish"]) | ((at == cut["finish"]) & tie), F.lit(False)).cast("long")
 
-    out = placed_in(based(keep)) if keep else placed
-    return out.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * (taken(0) + taken(1))).alias("taken"), *(F.col(f"__keep_{c}").alias(f"{KEPT}{c}") for c in keep))
+def times_taken() -> Column:
+    """In how many passes a row with ``hash`` is taken."""
+    return sum((F.coalesce((F.col("hash") <= F.col(f"last_{t}")).cast("long"), F.lit(0).cast("long")) for t in range(PASSES)), F.lit(0).cast("long"))
 
 
-#: Prefix of kept columns in what ``mix`` returns, so that they clash with none of its own.
-KEPT = "kept_"
+def _queued(docs: DataFrame, seed: str, id_column: str, text_column: str, source_column: str) -> list[Column]:
+    text = F.col(text_column).cast("string")
+    return [source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"), words(text).alias("size")]
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    out = mix(docs, keep=docs.columns, **options).where("taken > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))))
-    return out.select(*(F.col(f"{KEPT}{c}").alias(c) for c in docs.columns))
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """``id, size, source_size, target, taken`` of every row.
+
+    ``weights`` are dealt to the sources in the order of their names, repeating. The total
+    budget is ``share`` times all words. ``taken`` is the document's words that the mix has,
+    0, 1 or 2 times its size.
+    """
+    rows = materialise(docs.select(F.col(id_column).alias("__id"), *_queued(docs, seed, id_column, text_column, source_column)))
+    out = with_sources(rows, last_taken(rows, weights, share))
+    return out.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns: one map over them.
+
+    Rows without words are not taken.
+    """
+    queues = materialise(docs.select(*_queued(docs, seed, id_column, text_column, source_column)))
+    sources = last_taken(queues, weights, share)
+    text = F.col(text_column).cast("string")
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"))
+    found = with_sources(own, sources).withColumn("times", times_taken()).where(F.col("times") > 0)
+    found = found.where(F.col(f"row.`{text_column}`").cast("string").rlike(WORD))
+    copies = found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return copies.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -14,7 +14,7 @@ def _mixing(weights=(3.0, 1.0, 2.0), share=1.5, seed="mix") -> str:
 WITH base AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-         md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS hash
+         md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS hash
   FROM documents),
 src AS (SELECT skey, sum(size)::BIGINT AS source_size FROM base GROUP BY skey),
 weighted AS (SELECT *, {listed}[((row_number() OVER (ORDER BY skey) - 1) % {len(weights)} + 1)::BIGINT] AS weight FROM src),
