@@ -1,13 +1,15 @@
 """Cutting lineage into storage that every executor can read.
 
 A materialised frame is written by ``checkpoint()`` to the folder named by
-``spark.checkpoint.dir``. The folder is read from the session; only when the
-session names none (tests, laptops) is one chosen here.
+``spark.checkpoint.dir``, a stored one as Parquet beside it. The folder is read from the
+session; only when the session names none (tests, laptops) is one chosen here. Stored files
+go when they are dropped, or with the session.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None and context.master.startswith("local[") or context.master == "local":
-        named = named or tempfile.mkdtemp(prefix="millrace-checkpoint-")
+    if named is None and (context.master.startswith("local[") or context.master == "local"):
+        named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if named is None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named)
@@ -29,3 +31,31 @@ def materialise(frame: DataFrame) -> DataFrame:
     """Compute ``frame`` once, into shared storage; later reads do not recompute it."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in shared storage; what is written there goes with the session."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    files, at = _hadoop_path(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder whose rows are read no more."""
+    files, at = _hadoop_path(spark, path)
+    files.delete(at, True)
+
+
+def stored(frame: DataFrame, name: str = "stored") -> DataFrame:
+    """``frame`` computed once, into Parquet files in shared storage, so that later reads take only their columns."""
+    path = f"{shared_folder(frame.sparkSession, name)}/rows"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
