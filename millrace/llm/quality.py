@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import materialise
+from ..operators.durable import materialise, stored
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -62,12 +62,16 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     # Windows are sorted with their places only in the documents that repeat one.
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.array_sort(F.transform("windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    counted = counted.select("__id", *kept, "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", F.when(repeats, placed).alias("placed"))
+    numbers = ("n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines")
+    counted = counted.select("__id", *kept, *numbers, F.when(repeats, placed).alias("placed"))
     same = lambda i: F.col("placed")[i]["x"]
-    found = F.filter("placed", lambda s, i: ((i > 0) & (same(F.greatest(i - 1, F.lit(0))) == s["x"])) | ((i + 1 < F.size("placed")) & (same(F.least(i + 1, F.size("placed") - 1)) == s["x"])))
-    counted = counted.select("__id", *kept, "n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", F.array_sort(F.transform(found, lambda s: s["i"])).alias("at"))
+    as_before = lambda s, i: (i > 0) & (same(F.greatest(i - 1, F.lit(0))) == s["x"])
+    as_after = lambda s, i: (i + 1 < F.size("placed")) & (same(F.least(i + 1, F.size("placed") - 1)) == s["x"])
+    found = F.filter("placed", lambda s, i: as_before(s, i) | as_after(s, i))
+    counted = counted.select("__id", *kept, *numbers, F.array_sort(F.transform(found, lambda s: s["i"])).alias("at"))
     # A repeated window adds five words, or as many as its distance to the next one.
-    gaps = F.transform("at", lambda x, i: F.when(i + 1 < F.size("at"), F.least(F.lit(5), F.col("at")[F.least(i + 1, F.size("at") - 1)] - x)).otherwise(5))
+    following = lambda i: F.col("at")[F.least(i + 1, F.size("at") - 1)]
+    gaps = F.transform("at", lambda x, i: F.when(i + 1 < F.size("at"), F.least(F.lit(5), following(i) - x)).otherwise(5))
     total = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
     return counted.select("__id", *kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", total.cast("long").alias("n_repeat_words"), "n_lines")
 
@@ -109,7 +113,8 @@ def accepted_cutoffs(holdout: DataFrame, cutoffs: Mapping[str, Sequence[float]]
     level = failure / len(cutoffs)
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
     counts = counts.join(F.broadcast(strata))  # one row
-    rows = counts.select("stratum", "n", "strata", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{m}_{i}").alias("k")) for m, i, c in names))).alias("r")).select("stratum", "n", "strata", "r.*")
+    tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{m}_{i}").alias("k")) for m, i, c in names))
+    rows = counts.select("stratum", "n", "strata", F.explode(tests).alias("r")).select("stratum", "n", "strata", "r.*")
     tested = rows.withColumn("passes", binomial_tail(F.col("k"), F.col("n"), tolerated / len(cutoffs)) <= level / F.col("strata"))
     failed = F.min(F.when(~F.col("passes"), F.col("step")))
     passed = F.array_sort(F.collect_list(F.struct("step", "cutoff", "passes")))
@@ -128,7 +133,8 @@ def counted_and_measured(docs: DataFrame, id_column: str, text_column: str, stra
 
 def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id") -> DataFrame:
     """The cutoffs of every stratum that has any."""
-    good = labels.select(F.col(id_column).alias("__id"), F.col("quality")).where("__id is not null and quality is not null").groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    known = labels.select(F.col(id_column).alias("__id"), F.col("quality")).where("__id is not null and quality is not null")
+    good = known.groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
     holdout = counted.where(~F.col("base_failed")).join(good, "__id", "left_semi").select("stratum", *cutoffs)
     chosen = accepted_cutoffs(holdout, cutoffs, tolerated, failure)
     return materialise(chosen.where(F.coalesce(*(F.col(f"cut_{m}") for m in cutoffs)).isNotNull()))
@@ -160,10 +166,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def good_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    The counts are made twice, for the cutoffs and for the verdicts, so that no text is
-    shuffled or stored.
+    Rows and their counts are stored once, by column: the cutoffs read the counts only, the
+    verdicts everything. Counting again would cost far more than reading back.
     """
-    fitted = fit(materialise(counted_and_measured(docs, id_column, text_column, stratum_column)), labels, cutoffs, tolerated, failure, id_column)
-    # The row number is there to be read by the filter: no filter moves below it, into the counts.
-    counted = counted_and_measured(docs, id_column, text_column, stratum_column, docs.columns).withColumn("__row", F.monotonically_increasing_id())
-    return verdicts(counted, fitted, cutoffs).where("kept and __row >= 0").select(*(F.col(f"__keep_{c}").alias(c) for c in docs.columns))
+    counted = stored(counted_and_measured(docs, id_column, text_column, stratum_column, docs.columns), "counted")
+    fitted = fit(counted, labels, cutoffs, tolerated, failure, id_column)
+    return verdicts(counted, fitted, cutoffs).where("kept").select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
