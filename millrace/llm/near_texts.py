@@ -5,7 +5,8 @@ class at once. The classes are put into independent trees: at each node a minwis
 chosen, and the classes go to the child of their own token there. Classes alone in a node
 leave the tree, small nodes are compared exhaustively, large ones branch again, by several
 tokens that the node's path chooses. Similar sets share a minwise token as often as they are
-similar, so a pair at the threshold is missed by all trees with a chance below 1e-6.
+similar. A pair at a threshold of 85 % is missed by all trees with a chance below 1e-6, one at
+80 % that goes through all levels with one of 5e-6, and more similar pairs still less.
 
 Inside a node, sketches of the minwise tokens estimate similarity. The texts that may have a
 link there, and no others, are brought to the node and compared exactly, on the full sets of
@@ -17,15 +18,16 @@ those inside it have nothing left to find among each other.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links;
 a text with fewer words than a shingle has one shingle, the sequence of its words; a null id
-is linked with nothing; rows that repeat an id are one document that has the links of all of
-them; an empty table gives no rows; only the id and the text are read. Fingerprints of 64
-bits stand for shingles.
+is linked with nothing; rows that repeat an id but not its text are documents of their own,
+each with its own links; rows that repeat both are one document; an empty table gives no
+rows; only the id and the text are read. Fingerprints of 64 bits stand for shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,11 @@ TOKENS, TREES, BRANCHES, LEVELS = 96, 10, 2, 4
 SMALL = 256
 #: A node's members are alike when a child keeps more than this share of them.
 SHRINKS = 0.3
-#: Ids that are broadcast at most to pick their texts, some 6 MB; beyond it all texts are shuffled to the ids.
+#: Classes that are broadcast at most to pick their texts, some 8 MB; beyond it all texts are shuffled to them.
 MOST_BROADCAST_IDS = 250_000
+#: Minwise tokens in which a pair may fall short of the threshold, in standard deviations, before it is compared on full
+#: sets. A pair at the threshold falls short by more with a chance of 3e-6; closer pairs are surer. A recall parameter.
+SHORT_BY = 4.5
 #: Longer words are hashed one by one.
 LONG_WORD = 1024
 
@@ -131,7 +136,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, minwise: bool) -> DataFrame:
-    """``id, n_shingles, k0, k1`` of every row: the set's size and its hash; with ``minwise`` also ``sketch, tokens``."""
+    """``id, text_hash, n_shingles, k0, k1`` of every row: the set's size and its hash; with ``minwise`` also ``sketch, tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
@@ -139,8 +144,8 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, mi
             sets = [shingles(t or b"", width) for t in texts]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-            names = ["id", "n_shingles", "k0", "k1"]
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            names = ["id", "text_hash", "n_shingles", "k0", "k1"]
             if minwise:
                 tokens, sketches = [None] * len(sets), [None] * len(sets)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -153,8 +158,13 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, mi
                 names += ["sketch", "tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
+    return _texts(docs, id_column, text_column).mapInArrow(run, "id long, text_hash long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``id, text_hash, text``; the hash tells apart the texts of rows that repeat an id."""
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _children(frame: DataFrame, branches: int) -> DataFrame:
@@ -310,7 +320,7 @@ def _involved(rows: DataFrame, least: float) -> DataFrame:
     return _dealt(rows).select(*_TILE, "sketch", "leaves").mapInArrow(run, _TILE_DDL)
 
 
-def _linked(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
     """Links ``a, b`` of involved rows, verified on full sets; inside a tile only those that join groups."""
 
     def found(part: dict[str, np.ndarray | list]) -> tuple[list[int], list[int]]:
@@ -346,16 +356,25 @@ def _linked(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    wanted = rows.select("id").distinct()
+    wanted = rows.select("id").distinct().join(texts.heads, "id")
     small = wanted.count() <= MOST_BROADCAST_IDS
-    placed = rows.join(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "id")
+    picked = texts.rows.join(F.broadcast(wanted) if small else wanted, ["doc", "text_hash"])
+    # Rows that repeat an id and its text are one.
+    placed = rows.join(picked.groupBy("id").agg(F.first("text").alias("text")), "id")
     return _dealt(placed).select(*_TILE, "text").mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links ``a, b`` between classes, enough to hold every component together."""
+class Texts(NamedTuple):
+    """Where the text of a class is: ``rows`` has ``doc, text_hash, text``, ``heads`` has ``id, doc, text_hash`` of each class."""
+
+    rows: DataFrame
+    heads: DataFrame
+
+
+def links(classes: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
+    """Verified links ``a, b`` between classes ``id, sketch, tokens``, enough to hold every component together."""
     share = percent / 100
-    least = share - 4.5 * (share * (1 - share) / TOKENS) ** 0.5
+    least = share - SHORT_BY * (share * (1 - share) / TOKENS) ** 0.5
     ends = leaves(classes)
     lists = ends.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
     # Sketches are joined where they are compared, and nowhere stored with the nodes.
@@ -379,33 +398,58 @@ def links(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return found.unionByName(more)
 
 
+def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """``id, text_hash, n_shingles, component_id, head_hash`` of every row.
+
+    The component is named by its least document, the one with the least id, and of those
+    with that id the one with the least text hash, which is ``head_hash``.
+    """
+    # Sets are hashed twice: once with minwise tokens, which only classes keep, once for every row's size and class.
+    full = signatures(docs, id_column, text_column, width, True).where("n_shingles > 0 and id is not null")
+    # One row a class, of its least document; equal rows are combined before the shuffle. Classes are numbered, and the numbers stored.
+    least = full.groupBy("k0", "k1").agg(F.min(F.struct("id", "text_hash", "sketch", "tokens")).alias("least"))
+    number = F.monotonically_increasing_id().alias("id")
+    classes = materialise(least.select("k0", "k1", number, F.col("least.id").alias("doc"), *(F.col(f"least.{c}") for c in ("text_hash", "sketch", "tokens"))))
+    heads = classes.select("id", "doc", "text_hash")
+    rows = _texts(docs, id_column, text_column).where("text is not null").withColumnRenamed("id", "doc")
+    components = connected_components(links(classes.select("id", "sketch", "tokens"), Texts(rows, heads), width, percent))
+    members = components.withColumnRenamed("node", "id").join(heads, "id")
+    leasts = members.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("head"))
+    of_class = components.join(leasts, "component").select(F.col("node").alias("id"), "head")
+    own = F.struct("doc", "text_hash")
+    named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select("k0", "k1", F.coalesce("head", "own").alias("head")))
+    signed = signatures(docs, id_column, text_column, width, False)
+    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    out = signed.join(named, ["k0", "k1"], "left")
+    named_by = lambda field, alone: F.when(linked, F.col(f"head.{field}")).otherwise(F.col(alone))
+    return out.select("id", "text_hash", "n_shingles", named_by("doc", "id").alias("component_id"), named_by("text_hash", "text_hash").alias("head_hash"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Sets are alike when ``100 * intersection >= percent * union``. The text is shuffled for
     classes with a proposed neighbour only.
     """
-    # Sets are hashed twice: once with minwise tokens, which only classes keep, once for every row's size and class.
-    full = signatures(docs, id_column, text_column, width, True).where("n_shingles > 0 and id is not null")
-    # One row a class, of its least id; equal rows are combined before the shuffle.
-    classes = materialise(full.groupBy("k0", "k1").agg(F.min(F.struct("id", "sketch", "tokens")).alias("least")).select("k0", "k1", "least.*"))
-    heads = classes.select("k0", "k1", F.col("id").alias("head"))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    components = connected_components(links(classes.select("id", "sketch", "tokens"), texts, width, percent))
-    named = materialise(heads.join(components, heads["head"] == components["node"], "left").select("k0", "k1", F.coalesce("component", "head").alias("component")))
-    signed = signatures(docs, id_column, text_column, width, False)
-    out = signed.join(named, ["k0", "k1"], "left").select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    out = judged(docs, id_column, text_column, width, percent)
     return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group does, with all their columns.
 
-    Of rows that repeat an id the least stays; rows without an id all stay.
+    Rows that repeat an id but not its text are judged each by its own text. Of rows that
+    repeat both one stays; rows without an id all stay.
     """
-    judged = near_duplicates(docs, id_column, text_column, width, percent)
-    gone = judged.where(~F.col("kept")).select(id_column).distinct()
-    others = [c for c in docs.columns if c != id_column]
-    stay = docs.where(F.col(id_column).isNotNull()).join(gone, id_column, "left_anti").groupBy(id_column).agg(F.min(F.struct(*others)).alias("__least"))
-    stay = stay.select(*(F.col(id_column) if c == id_column else F.col("__least")[c].alias(c) for c in docs.columns))
-    return stay.unionByName(docs.where(F.col(id_column).isNull()))
+    found = materialise(judged(docs, id_column, text_column, width, percent).where("id is not null"))
+    stays = (F.col("id") == F.col("component_id")) & (F.col("text_hash") == F.col("head_hash"))
+    gone = found.where(~stays).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    counts = found.where(stays).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).count()
+    repeated = materialise(counts.where("count > 1").select("__id", "__hash"))
+    key = ["__id", "__hash"]
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col(id_column).cast("long").alias("__id"), F.xxhash64(F.col(text_column).cast("string")).alias("__hash"))
+    stay = own.join(gone, key, "left_anti")
+    if repeated.take(1):
+        once = stay.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+        stay = stay.join(repeated, key, "left_anti").select("__row").unionByName(once.select("__row"))
+    return stay.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

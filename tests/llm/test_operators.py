@@ -183,6 +183,45 @@ def test_quality_judges_every_stratum_by_its_own_labels(spark, monkeypatch, boun
     assert quality.good_documents(docs, labels).count() == len(rows) - 1
 
 
+def test_quality_verdicts_against_plain_python(spark):
+    import math
+
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(9000):
+        lang, good = ["en", "de", None][i % 3], rng.random() < 0.8
+        word = lambda: "w" * int(rng.integers(2, 9 if good else 25)) + str(int(rng.integers(0, 9999)))
+        n = int(rng.integers(8, 40))
+        words = [word() + ("#" * int(rng.integers(0, 2 if good else 4))) for _ in range(n)]
+        rows.append((i, " ".join(words), lang))
+        if lang != "de" or i % 5 == 0:
+            labels.append((i, int(good)))
+    measured = {}
+    for i, text, lang in rows:
+        n_words, word_chars, n_symbols, n_dup, n_repeat = counts(text)
+        share = lambda a, b: a / b if b else 0.0
+        lines = len([x for x in text.split("\n") if x.strip()])
+        measured[i] = (lang, n_words < 10 or 100 * n_repeat > 20 * n_words, {"symbols_per_word": share(n_symbols, n_words), "chars_per_word": share(word_chars, n_words), "dup_line_share": share(n_dup, lines), "repeat_share": share(n_repeat, n_words)})
+    good = [measured[i] for i, q in labels if q == 1 and not measured[i][1]]
+    strata, p = {g[0] for g in good}, quality.TOLERATED / len(quality.CUTOFFS)
+    limit, cut = quality.FAILURE / len(quality.CUTOFFS) / len(strata), {}
+    for lang in strata:
+        own = [g[2] for g in good if g[0] == lang]
+        for m, steps in quality.CUTOFFS.items():
+            for c in steps:
+                k, n = sum(x[m] > c for x in own), len(own)
+                if k >= n * p or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > limit:
+                    break
+                cut[lang, m] = c
+    want = {i: not failed and not any(v > cut.get((lang, m), math.inf) for m, v in x.items()) for i, (lang, failed, x) in measured.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert {r.doc_id: r.kept for r in quality.judge(docs, frame).collect()} == want
+    rejected = sum(not k for i, k in want.items() if not measured[i][1])
+    assert cut and 100 < rejected < 4000
+    assert sorted(r.doc_id for r in quality.good_documents(docs, frame).collect()) == sorted(i for i, k in want.items() if k)
+
+
 def test_binomial_tail(spark):
     import math
 
@@ -236,6 +275,18 @@ def test_near_texts_odd_rows(spark, docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 10, 11]
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(60)) for w in "abc")
+    rows = [(7, one, "x"), (7, two, "x"), (7, two, "y"), (8, two + "tail", "x"), (9, three, "x"), (3, three + "end", "x"), (3, "", "x"), (3, "", "x"), (4, None, "x"), (None, one, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    got = near_texts.one_of_each(frame)
+    assert got.columns == frame.columns
+    kept = sorted(((r[0], r[1]) for r in got.collect()), key=repr)
+    assert kept == sorted([(7, one), (7, two), (3, three + "end"), (3, ""), (4, None), (None, one)], key=repr)
+    found = near_texts.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id in (8, 9)) == [(8, 7), (9, 3)]
+
+
 def test_words_of_any_length():
     text = ("y" * 3000 + " z ").encode() * 3 + b"end"
     assert (near_texts.word_hashes(text, piece=500) == near_texts.word_hashes(text)).all()
