@@ -132,6 +132,7 @@ class Codec:
         self.normalise = Normaliser(proto.normalizer_spec)
         byte = sentencepiece_model_pb2.ModelProto.SentencePiece.BYTE
         self.widths = np.array([1 if p.type == byte else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.widths[self.model.unk_id()] = -(1 << 40)  # of any width: the sum then never fits
         self.names = [str(i) for i in range(len(proto.pieces))]
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +140,8 @@ class Codec:
         normal, source = self.normalise(text.encode())
         widths = self.widths[ids] if ids else np.zeros(0, np.int64)
         if widths.sum() != len(normal):  # unknown pieces stand for characters of any width
-            pieces = self.model.encode(text, out_type="immutable_proto").pieces
-            widths = np.array([len(p.surface.replace(" ", "▁").encode()) if p.id == self.model.unk_id() else w for p, w in zip(pieces, widths)], np.int64)
+            pieces = self.model.encode(text, out_type="proto").pieces
+            widths = np.array([len(p.piece.encode()) if p.id == self.model.unk_id() else w for p, w in zip(pieces, widths)], np.int64)
             if widths.sum() != len(normal):
                 raise ValueError("pieces do not cover the normalised text")
         edges = source[np.concatenate([[0], np.cumsum(widths)])]
