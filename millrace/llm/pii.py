@@ -3,8 +3,9 @@
 Every span has a kind, a begin and an end in code points (end exclusive) and a score. The
 four base kinds (email, ip, card, phone) are found leftmost and without overlap inside a
 kind; a match that its validator refuses is dropped and not tried again at another length.
-They are always reported. Further kinds are reported when their score, moved by the words
-around them, reaches ``REPORTED``.
+They are always reported, with their score. Further kinds are reported when their score
+reaches ``REPORTED``: what a validator confirms is the prior, whole words near the span raise
+or lower it, so that the words decide where the pattern alone does not.
 
 Defined results: a null or empty text has no spans; any length of text is searched whole,
 in time that grows with its length; rows are independent, so null or repeated ids and
@@ -45,23 +46,44 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NEAR = re.compile(r"[^\W\d_]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"""(?i:\b(?:token|secret|password|api[_-]?key)\b)\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_/+=-]{16,}+)""")
 
-# Words that speak for a kind when they stand within WINDOW characters of a span.
+# Words that speak for a kind, and words that speak against it, within WINDOW characters of a span.
 WINDOW = 40
 CONTEXT = {
-    "email": ("mail", "contact", "write", "address"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "konto"),
-    "ssn": ("ssn", "social", "security"),
-    "secret": ("token", "secret", "password", "key"),
+    "email": "mail email emails contact write address reach",
+    "ip": "ip ips address addresses host server client ping login",
+    "card": "card cards visa mastercard amex credit debit payment pay paid karte",
+    "phone": "phone phones call calls tel telephone mobile cell fax telefon",
+    "iban": "iban account accounts bank transfer payment konto cuenta compte",
+    "ssn": "ssn social security taxpayer tin",
+    "secret": "token tokens secret password passwd apikey api key login credentials",
 }
-# The score of a span that its validator confirmed, without context.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.5}
+AGAINST = {
+    "email": "example sample",
+    "ip": "version release section chapter build firmware",
+    "card": "order isbn tracking serial part invoice",
+    "phone": "order isbn tracking serial part invoice",
+    "iban": "isbn serial part sku model example sample",
+    "ssn": "order part serial sku model isbn example sample",
+    "secret": "placeholder dummy sample example redacted",
+}
+CONTEXT, AGAINST = ({k: frozenset(v.split()) for k, v in x.items()} for x in (CONTEXT, AGAINST))
+# The score of a span that its validator confirmed, without context, and what context moves.
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.4, "ssn": 0.3, "secret": 0.3}
+MOVES = 0.3
+# Lengths of account numbers by country. A number of its country's length is surer by KNOWN_LENGTH.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH_OF = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
+KNOWN_LENGTH = 0.2
 
 
 def luhn(digits: str) -> bool:
@@ -127,10 +149,26 @@ def _added(text: str) -> Iterator[tuple[str, int, int]]:
                 yield ("secret", *m.span(1))
 
 
+def near_words(text: str, begin: int, end: int) -> set[str]:
+    """The whole words, lower-cased, that begin and end within WINDOW characters before or after a span."""
+    out: set[str] = set()
+    for lo, hi in ((max(0, begin - WINDOW), begin), (end, min(len(text), end + WINDOW))):
+        for m in _NEAR.finditer(text, lo, hi):
+            # A word that the window's edge cuts is none.
+            cut = (m.start() == lo and lo > 0 and text[lo - 1].isalpha()) or (m.end() == hi and hi < len(text) and text[hi].isalpha())
+            if not cut:
+                out.add(m[0].lower())
+    return out
+
+
 def score(text: str, kind: str, begin: int, end: int) -> float:
-    """The prior of the kind, raised by a context word nearby."""
-    near = f"{text[max(0, begin - WINDOW) : begin]} {text[end : end + WINDOW]}".lower()
-    return min(1.0, PRIOR[kind] + 0.3 * any(word in near for word in CONTEXT[kind]))
+    """The prior of the kind, moved by the words nearby."""
+    near, prior = near_words(text, begin, end), PRIOR[kind]
+    if kind == "iban":
+        number = text[begin:end].replace(" ", "")
+        prior += KNOWN_LENGTH * (_LENGTH_OF.get(number[:2]) == len(number))
+    moved = prior + MOVES * (not near.isdisjoint(CONTEXT[kind])) - MOVES * (not near.isdisjoint(AGAINST[kind]))
+    return round(min(1.0, max(0.0, moved)), 2)
 
 
 def find(text: str) -> list[Span]:
@@ -155,7 +193,7 @@ Sink = Callable[[list[str | None], list[list[Span]]], list[pa.Array]]
 
 SPANS = T.StructType([T.StructField("pii", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-DIGESTS = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+DIGESTS = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("scores", T.StringType())])
 REDACTED = T.StructType([T.StructField("redacted", T.StringType())])
 
 
@@ -165,11 +203,13 @@ def spans_sink(_texts, spans) -> list[pa.Array]:
 
 
 def digest_sink(_texts, spans) -> list[pa.Array]:
-    """Counts of the base kinds, a digest of the base spans and all spans as text."""
+    """Counts of the base kinds, a digest of the base spans, all spans and their scores as text."""
     joined = lambda x: ",".join(f"{s.kind}:{s.begin}:{s.end}" for s in x)
     base = [[s for s in x if s.kind in BASE_KINDS] for x in spans]
     counts = [pa.array([sum(s.kind == k for s in x) for x in base], pa.int64()) for k in BASE_KINDS]
-    return [*counts, pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base]), pa.array([joined(x) for x in spans], pa.string())]
+    digests = pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string())
+    scores = pa.array([",".join(f"{s.score:.2f}" for s in x) for x in spans], pa.string())
+    return [*counts, digests, pa.array([joined(x) for x in spans], pa.string()), scores]
 
 
 def redact_sink(texts, spans) -> list[pa.Array]:

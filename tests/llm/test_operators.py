@@ -426,6 +426,52 @@ def test_pii_secret_is_covered_whole(n):
     assert pii.redact(text, pii.find(text)) == "api_key = '<SECRET>' end"
 
 
+def test_pii_added_spans_match_plain_patterns():
+    import random
+
+    r = random.Random(8)
+    parts = ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "GB83WEST12345698765432", "XX22ABCD12345678", "123-45-6789", "000-12-3456", "666-45-6789", " ssn ", " my account ", " isbn ", " hotel ", "token=", "Abcdef0123456789xyz", " password: 'abcdefgh12345678' ", " dummy ", " ", "-", "x", ", ", " the word and the next one is long enough to push words away "]
+    iban, ssn = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A), re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])", re.A)
+    secret = re.compile(r"""\b(?:token|secret|password|api[_-]?key)\b\s{0,3}[:=]\s{0,3}["']?([\w/+=-]{16,})""", re.A | re.I)
+
+    def mod(x):
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    def words(t, b, e):
+        kept = []
+        for m in re.finditer(r"[^\W\d_]+", t):
+            if (m.start() >= b - 40 and m.end() <= b) or (m.start() >= e and m.end() <= e + 40):
+                kept.append(m[0].lower())
+        return set(kept)
+
+    def plain(t):
+        out = []
+        for m in iban.finditer(t):
+            n = m[0].replace(" ", "")
+            if 15 <= len(n) <= 34 and mod(n):
+                out.append(("iban", *m.span(), 0.4 + 0.2 * ({"GB": 22, "DE": 22}.get(n[:2]) == len(n))))
+        out += [("ssn", *m.span(), 0.3) for m in ssn.finditer(t)]
+        out += [("secret", *m.span(1), 0.3) for m in secret.finditer(t) if re.search(r"\d", m[1]) and re.search("[A-Za-z]", m[1])]
+        scored = [(k, b, e, s + 0.3 * bool(words(t, b, e) & pii.CONTEXT[k]) - 0.3 * bool(words(t, b, e) & pii.AGAINST[k])) for k, b, e, s in out]
+        return [(k, b, e, round(min(1, max(0, s)), 2)) for k, b, e, s in scored if round(s, 2) >= 0.5]
+
+    seen = set()
+    for _ in range(5000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        got = [tuple(s) for s in pii.find(t) if s.kind in pii.ADDED_KINDS]
+        assert got == plain(t), t
+        seen |= {(k, s) for k, *_, s in got}
+    assert {k for k, _ in seen} == set(pii.ADDED_KINDS) and len(seen) >= 4
+
+
+def test_pii_context_is_of_whole_words():
+    number = "123-45-6789"
+    assert not pii.find(f"antisocial {number}") and pii.find(f"social {number}")
+    assert not pii.find("x" * 30 + "social" + " " * 38 + number)  # the window cuts the word
+    assert [s.kind for s in pii.find("DE89370400440532013000")] == ["iban"] and not pii.find("isbn DE89370400440532013000")
+    assert [s.score for s in pii.find("version 1.2.3.4")] == [0.3] and [s.score for s in pii.find("host 1.2.3.4")] == [0.9]
+
+
 def test_pii_rows(spark, docs):
     got = {r.doc_id: r for r in pii.find_pii(docs, sink=pii.digest_sink, sink_schema=pii.DIGESTS).collect()}
     assert (got[8].n_email, got[8].n_phone, got[8].n_card, got[0].spans) == (1, 1, 1, "") and got[0].base_sha256 == sha("")
@@ -452,6 +498,52 @@ def test_sentencepiece(spark, docs):
         assert b"".join(data[b:e] for b, e in zip(r.begins, r.ends)) == data
 
 
+@pytest.fixture(params=["nmt_nfkc", "nfkc_cf", "unknown"])
+def mapped_model(request, tmp_path):
+    """The model with a compiled character map, and one without byte pieces, so that some characters are unknown."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, rules = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model.ParseFromString(file.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc" if request.param == "unknown" else request.param).serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = True
+    if request.param == "unknown":
+        model.trainer_spec.byte_fallback = False
+        for piece in model.pieces:
+            if piece.type == piece.BYTE:
+                piece.type = piece.UNUSED
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def test_sentencepiece_with_a_character_map(spark, mapped_model):
+    codec, rng = sentencepieces.codec(mapped_model), np.random.default_rng(3)
+    parts = ["ﬁ", "Ａ", "①", "日本", "  ", " ", "\t", "\n", "e\u0301", "\u3000", "Ⅷ", "x", "word", "ﬃ", "\u00a0", "ſ", "ÅB", "\u0007", "한", "ᄒ\u1161", "\ud7fb", "𒀀", "½", "\u200b", "ǆ", "ß"]
+    texts = ["", " ", "\u200b", *("".join(rng.choice(parts, int(rng.integers(1, 14)))) for _ in range(3000))]
+    unknown = 0
+    for text in texts:
+        normal, source = codec.normalise(text.encode())
+        assert normal.decode() == codec.model.normalize(text)
+        assert len(source) == len(normal) + 1 and (np.diff(source) >= 0).all() and (not len(normal) or source[-1] <= len(text.encode()))
+        proto = codec.model.encode(text, out_type="proto").pieces
+        begins, ends = codec.spans(text, [p.id for p in proto])
+        assert len(begins) == len(proto)
+        unknown += any(p.id == codec.model.unk_id() for p in proto)
+        data = text.encode()
+        for p, b, e in zip(proto, begins, ends):
+            if p.surface and not p.piece.startswith("<0x"):
+                # The library's offsets are code points; it lets the white space that is squeezed belong to a neighbour.
+                assert p.surface.strip() == data[b:e].decode(errors="ignore").strip() or codec.model.normalize(data[b:e].decode(errors="replace")) == codec.model.normalize(p.surface)
+    assert "unknown" not in mapped_model or unknown
+    frame = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in sentencepieces.encode_documents(frame, mapped_model).collect()}
+    assert got == {i: codec.model.encode(t) for i, t in enumerate(texts[:200])}
+
+
 def test_character_map_takes_longest_prefix():
     class Spec:
         precompiled_charsmap, add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces = b"", True, True, True
