@@ -3,18 +3,18 @@
 Documents are dealt to tasks by ranges of their id and sorted inside each task, so the
 files hold ascending ids: file ``part-00000`` before ``part-00001``. Each file has stripes
 of integers under run-length encoding, row indexes, and Bloom filters on the id, so that
-readers split work by stripe and skip what cannot hold a wanted id.
+readers split work by stripe and skip what cannot hold a wanted id. A hash of the text stands
+beside the id: it deals and orders rows that repeat an id.
 
 Defined results: a null text counts as empty and has the end id alone; null ids sort
-first; rows with the same id are all kept, next to each other, ordered by their length
-and checksum; an empty table gives no rows; other columns are not read.
+first; rows with the same id are all kept, next to each other, ordered by the hash of their
+text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,25 +26,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.durable import ensure_checkpoint_dir, materialise
+from ..operators.durable import materialise, shared_folder
 from .batches import sliced
 
+#: Bytes of text that a worker encodes at a time, and that a file holds at most, about; the column beside the id.
+SLICE_BYTES, FILE_BYTES, HASH = 8 << 20, 128 << 20, "text_hash"
 #: White space after a space or line feed, and characters for which word boundaries are left to the library itself.
 _UNUSUAL = "[ \n][ \n\t\r]|[^\t\n\r -~¡-ɏ]"
 #: Marks the word that begins a text, and stands for a line feed at the beginning of a word; both are unusual in a text.
 _FIRST, _LINE = "\x01", "\x02"
 
 
-class _Numbers(dict):
-    """Numbers words as they are first looked up, and lists the new ones."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(word)
-        return at
+def _gathered(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` one after the other, and their edges."""
+    edges = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    return edges, flat[np.repeat(starts - edges[:-1], lengths) + np.arange(edges[-1])]
 
 
 class WordEncoder:
@@ -59,7 +55,7 @@ class WordEncoder:
     feed go to the library whole. ``most_words`` bounds the memory for words already met.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -70,20 +66,17 @@ class WordEncoder:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.begins[number] = token[0] in "ĠĊ"
-        self.numbers = _Numbers()
-        self.uses, self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # The ids of word k stand in ``flat`` between its two ``edges``.
+        self.words = pa.array([], pa.string())
+        self.uses, self.edges, self.flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
         """Keep the words used most, at most half of those allowed and none used once only."""
-        words = list(self.numbers)
         kept = np.argsort(-self.uses, kind="stable")[: self.most_words // 2]
         kept = np.sort(kept[self.uses[kept] > 1])
-        self.numbers = _Numbers()
-        self.numbers.update((words[k], i) for i, k in enumerate(kept.tolist()))
-        lengths = self.lengths[kept].astype(np.int64)
-        ends = np.cumsum(lengths)
-        self.flat = self.flat[np.repeat(self.starts[kept] - ends + lengths, lengths) + np.arange(lengths.sum())]
-        self.uses, self.starts, self.lengths = self.uses[kept] // 2, ends - lengths, self.lengths[kept]
+        self.words = self.words.take(pa.array(kept))
+        self.edges, self.flat = _gathered(self.edges[kept], np.diff(self.edges)[kept], self.flat)
+        self.uses = self.uses[kept] // 2
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of words that begin with their space or line feed."""
@@ -103,33 +96,39 @@ class WordEncoder:
         own = [x.ids for x in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
         own_lengths = np.fromiter(map(len, own), np.int64, len(own))
         every = np.concatenate([lengths, own_lengths])
-        ends = np.cumsum(every) + len(self.flat)
-        order = np.argsort(np.array(alone), kind="stable")  # where each word of ``many + single`` stood
-        placed = np.empty((2, len(fresh)), np.int64)
-        placed[:, order] = ends - every, every
-        self.starts, self.lengths = np.concatenate([self.starts, placed[0]]), np.concatenate([self.lengths, placed[1].astype(np.int32)])
+        both = np.concatenate([ids, np.fromiter(chain.from_iterable(own), np.int32, int(own_lengths.sum()))])
+        # Where each fresh word stands in ``many + single``.
+        order = np.empty(len(fresh), np.int64)
+        order[np.argsort(np.array(alone), kind="stable")] = np.arange(len(fresh))
+        edges, flat = _gathered((np.cumsum(every) - every)[order], every[order], both)
+        self.edges = np.concatenate([self.edges, edges[1:] + len(self.flat)])
+        self.flat = np.concatenate([self.flat, flat])
         self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
-        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(own), np.int32, int(own_lengths.sum()))])
 
     def __call__(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts, one after the other."""
-        if len(self.numbers) > self.most_words:
+        if len(self.words) > self.most_words:
             self._forget()
         unusual = pc.match_substring_regex(texts, self.unusual)
         whole = {k: self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()}
         plain = pc.binary_join_element_wise(_FIRST, pc.if_else(unusual, "", texts), "")
         words = pc.split_pattern(pc.replace_substring(plain, "\n", " " + _LINE), " ")
         coded = words.flatten().dictionary_encode()
-        known = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        if self.numbers.fresh:
-            self._learn(self.numbers.fresh)
-            self.numbers.fresh = []
-        chosen = known[coded.indices.to_numpy()]
-        self.uses += np.bincount(chosen, minlength=len(self.uses))
-        lengths = self.lengths[chosen]
-        ends = np.cumsum(lengths, dtype=np.int64)
-        ids = self.flat[np.repeat(self.starts[chosen] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        fresh = coded.dictionary.filter(known.is_null())
+        known = known.fill_null(-1).to_numpy().astype(np.int64)
+        if len(fresh):
+            known[known < 0] = len(self.words) + np.arange(len(fresh))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self._learn(fresh.to_pylist())
+        self.uses[known] += np.bincount(coded.indices.to_numpy(), minlength=len(known))
+        # The ids as bytes, so that a word's are copied in one piece.
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.uses), [None, pa.py_buffer(4 * self.edges), pa.py_buffer(self.flat)])
+        taken = table.take(pa.array(known)).take(coded.indices)
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(taken) + 1] // 4
+        ids = np.frombuffer(data, np.int32)[: ends[-1]] if data is not None else np.zeros(0, np.int32)
+        edges = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
         parts, offsets = [], [0]
         tail = np.array([] if end_id is None else [end_id], np.int32)
         for k in range(len(texts)):
@@ -149,28 +148,34 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and ``ids array<int>`` of every row, in the order of the input."""
-    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_column``, the columns in ``keep`` and ``ids array<int>`` of every row, in the order of the input."""
+    kept = [id_column, *keep]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = encoder(tokenizer)
-        for batch in sliced(batches, text_column, 4 << 20):
-            offsets, ids = loaded(batch.column(text_column).fill_null(""), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=schema.names)
+        for batch in sliced(batches, "__text", SLICE_BYTES):
+            offsets, ids = loaded(batch.column("__text").fill_null(""), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=schema.names)
 
-    return docs.select(F.col(id_column), F.col(text_column).cast("string").alias(text_column)).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text", stripe_mb: int = 64, stride: int = 1000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text", stripe_mb: int = 64, stride: int = 1000, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` and write ORC files in ascending id order under ``path``.
 
     The text is dealt by id range before it is encoded: the sample that finds the ranges
-    then costs a scan and not a second encoding.
+    then costs a scan and not a second encoding. The number of files follows the bytes.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(id_column, text_column).repartitionByRange(partitions, F.col(id_column).asc_nulls_first()).sortWithinPartitions(F.col(id_column).asc_nulls_first())
-    out = encode(dealt, tokenizer, end_id, id_column, text_column).write.mode("error")
+    text = F.col(text_column).cast("string")
+    own = docs.select(id_column, F.xxhash64(text).alias(HASH), text.alias(text_column))
+    total = own.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    order = [F.col(id_column).asc_nulls_first(), F.col(HASH)]
+    dealt = own.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    out = encode(dealt, tokenizer, end_id, id_column, text_column, (HASH,)).write.mode("error")
     out = out.option("orc.bloom.filter.columns", id_column).option("orc.bloom.filter.fpp", "0.01")
     out.option("orc.row.index.stride", stride).option("orc.stripe.size", stripe_mb << 20).option("compression", "zstd").orc(path)
 
@@ -185,21 +190,23 @@ def digests(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     ``start`` is a prefix sum in two steps: inside each file, and over the files' totals.
     """
-    kind = tokens.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, kind), T.StructField("file", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    fields = [tokens.schema[id_column], T.StructField(HASH, T.LongType()), T.StructField("file", T.StringType())]
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
             values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
             sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), batch.column("file"), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())], names=schema.names)
+            columns = [*(batch.column(c) for c in (id_column, HASH, "file")), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    each = materialise(tokens.select(F.col(id_column), F.col("_metadata.file_path").alias("file"), "ids").mapInArrow(run, schema))
-    # Files are told apart and put in order by name: their ranges may meet in a repeated id.
+    each = materialise(tokens.select(F.col(id_column), HASH, F.col("_metadata.file_path").alias("file"), "ids").mapInArrow(run, schema))
+    # Files follow each other by their number, which has five digits or more.
+    number = F.regexp_extract("file", r"part-([0-9]+)[^/]*$", 1).cast("long")
     totals = each.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
-    before = totals.select("file", (F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).alias("before"))
-    inside = Window.partitionBy("file").orderBy(F.col(id_column).asc_nulls_first(), "n_tokens", "ids_crc32")
+    before = totals.select("file", (F.sum("file_tokens").over(Window.orderBy(number)) - F.col("file_tokens")).alias("before"))
+    inside = Window.partitionBy("file").orderBy(F.col(id_column).asc_nulls_first(), HASH)
     placed = each.withColumn("inside", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     return placed.join(before, "file").select(id_column, (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -207,7 +214,6 @@ def digests(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def through_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write ``docs`` to token files in the shared folder, read them back, digest them."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark, 'tokens')}/files"
     write_token_files(docs, path, tokenizer, end_id, id_column, text_column)
     return digests(read_token_files(spark, path), id_column)

@@ -338,6 +338,55 @@ def test_token_files(spark, docs):
     assert token_files.through_files(docs.limit(0), path).count() == 0
 
 
+def test_word_encoder_gives_the_ids_of_the_library(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    parts = ["a", "word", "it's", "we'll", "don't", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "Ünder", "日本", "🙂", "12", "3.5", "!!", "...", ",", "<|endoftext|>", "<|end", "\x01", "\x02", "\u00a0", "\u0301", "'", "'s", "x" * 30]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 25)))) for _ in range(10_000)]
+    encoder = token_files.WordEncoder(path, most_words=400)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        offsets, ids = encoder(pa.array(part), 0)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in part]
+
+
+def test_token_files_are_pruned_and_ordered(spark, tmp_path):
+    path, files = public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/tokens"
+    rows = [(i // 2 if i < 400 else None if i < 2400 else i, f"text number {i} " * (1 + i % 30)) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    token_files.write_token_files(docs, files, path, file_bytes=100_000)
+    back = token_files.read_token_files(spark, files)
+    assert back.inputFiles() and len(back.inputFiles()) > 20
+    # Equal ids are dealt over files; files and starts agree.
+    each = back.select("doc_id", F.input_file_name().alias("file"), "ids").collect()
+    by_file = Counter(r.file for r in each if r.doc_id is None)
+    assert sum(by_file.values()) == 2000 and len(by_file) > 1
+    got = sorted((r.start, r.n_tokens) for r in token_files.digests(back).collect())
+    assert [s for s, _ in got] == np.cumsum([0, *(n for _, n in got)])[:-1].tolist()
+    tokenizer = __import__("tokenizers").Tokenizer.from_file(path)
+    stream = [i for name in sorted({r.file for r in each}) for r in sorted((r for r in each if r.file == name), key=lambda r: (r.doc_id is not None, r.doc_id or 0)) for i in r.ids]
+    assert len(stream) == sum(n for _, n in got)
+    wanted = back.where("doc_id = 7777")
+    assert "EqualTo(doc_id,7777)" in wanted._jdf.queryExecution().toString()
+    assert [list(r.ids) for r in wanted.collect()] == [[*tokenizer.encode(rows[7777][1], add_special_tokens=False).ids, 0]]
+    # Of some thirty files a reader takes no more than the one that may hold the id.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = back.where("doc_id = 7777").select("ids")._jdf.queryExecution().executedPlan()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    plan.executeCollect()
+    read = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert 0 < read <= 1000, read
+
+
+def test_token_files_over_part_numbers_of_six_digits(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 0, "x/part-99999-a.orc", [1, 2]), (2, 0, "x/part-100000-a.orc", [3]), (3, 0, "x/part-100001-a.orc", [4])], "doc_id long, text_hash long, file string, ids array<int>")
+    named = frame.withColumn("_metadata", F.struct(F.col("file").alias("file_path")))
+    assert sorted((r.doc_id, r.start) for r in token_files.digests(named).collect()) == [(1, 0), (2, 2), (3, 3)]
+
+
 def test_token_files_with_an_added_token(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
