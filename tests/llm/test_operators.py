@@ -441,6 +441,35 @@ def test_url_filter_large_lists_are_shuffled(spark, monkeypatch, bound):
 # 9
 
 
+@pytest.mark.parametrize("bound", [16 << 20, 0])
+def test_url_filter_against_plain_python(spark, monkeypatch, tmp_path, bound):
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(4)
+    pick = lambda *x: str(rng.choice(x))
+    host = lambda: ".".join(pick("a", "b", "ads", "x-y") for _ in range(int(rng.integers(0, 4)))) + pick("", ".") + pick("com", "de")
+    path = lambda: "".join(pick("/", "//") + pick("p", "q", "r s", "") for _ in range(int(rng.integers(0, 5))))
+    listed = [None, "", "no scheme", "http://"] + [f"http://{host()}{path()}" for _ in range(25)]
+    (tmp_path / "list.txt").write_text("# listed\n" + "\n".join(x or "" for x in listed))
+    urls = [f"{pick('http', 'HTTPS')}://{host().upper() if i % 3 else host()}{path()}{pick('', '?q=/p', '#f')}" for i in range(1500)]
+    urls += ["http://a.com/" + "p/" * 500_000, "http://" + "a." * 200_000 + "com", None] + ["http://ads.com/p/q"] * 3000
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+        own = re.match("[^/?#]*", rest)[0]
+        return own.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), [x for x in re.match("[^?#]*", rest[len(own) :])[0].split("/") if x]
+
+    known = [parts(x) for x in listed if "://" in (x or "")]
+
+    def covered(url):
+        at, below = parts(url)
+        return bool(at) and any((h or p) and (at == h or at.endswith("." + h)) and below[: len(p)] == p for h, p in known if h)
+
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(frame, url_filter.read_list(spark, str(tmp_path / "list.txt")), rules=()).collect()}
+    want = {u: "block" if covered(u) else "allow" for u in set(urls)}
+    assert got == {i: want[u] for i, u in enumerate(urls)} and 100 < sum(v == "block" for v in want.values()) < len(want)
+
+
 def test_pii_base_spans_match_plain_patterns():
     import random
 
