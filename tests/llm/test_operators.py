@@ -309,10 +309,103 @@ def test_html_site_tree(spark):
     rows = [(i, f"http://one.example/{i}", page(i), 1) for i in range(40)] + [(100, None, page(0), 1), (101, "http://two.example/", None, 1), (101, "http://two.example/", page(7), 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
     got = {(r.page_id, r.url): r.text for r in html_text.extract(frame).where("n_chars > 0").collect()}
-    assert got[3, "http://one.example/3"] == "Text number 3 of many" and got[100, None].startswith("Always the same words Text")
+    assert got[3, "http://one.example/3"] == "Text number 3 of many" and got[100, None] == "Text number 0 of many" and got[101, "http://two.example/"] == "Text number 7 of many"
     assert html_text.extract(frame).count() == 43 and html_text.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<body class="single no-sidebar"><p>real text</p></body>', "real text"), ('<div class="content has-sidebar"><article>the article</article></div>', "the article"),
+    ('<div class="header-image-post"><p>real</p></div>', "real"), ('<div class="site-footer">f</div><div class="comments-area">c</div><div class="main-nav">n</div><p>real', "real"),
+    ('<section class="comments"><article class="comment">Nice!</article></section><article>the article</article>', "the article"),
+    ('<div class="widget"><article>the one article of this page</article></div><p>tail</p>', "the one article of this page"),
+    ('<div class="sidebar"><article>teaser</article></div><p>a text that is much longer than the teaser', "a text that is much longer than the teaser"),
+    ("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>tail", "deep tail"), ("<p>word " * 20_000, " ".join(["word"] * 20_000)),
+    ('<html class="menu"><body id="nav"><p>a</p><div class="ad"><div>x</div>y</div><p>b</body></html>', "a b"),
+])
+def test_html_classes_count_as_whole_words(html, text):
+    assert html_text.walk(html) == text
+
+
+def plain_trees(pages, least, low):
+    """Texts of well-formed pages ``(id, host, html)`` by a plain style tree: no class means anything, paths are texts."""
+    from html.parser import HTMLParser
+    from math import log
+
+    class Tree(HTMLParser):
+        def __init__(self, html):
+            super().__init__()
+            self.stack, self.nodes, self.blocks = [], [], []
+            self.feed(html)
+
+        def handle_starttag(self, tag, attributes):
+            node = {"path": (self.stack[-1]["path"] if self.stack else "") + f"/{tag}.{dict(attributes).get('class', '')}", "children": [], "first": len(self.blocks)}
+            if self.stack:
+                self.stack[-1]["children"].append(tag)
+            self.nodes.append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()["end"] = len(self.blocks)
+
+        def handle_data(self, data):
+            if data.split():
+                self.blocks.append(" ".join(data.split()))
+
+    trees = {i: (host, Tree(html)) for i, host, html in pages}
+    scopes = [lambda h: h, lambda h: ".".join(h.split(".")[-2:]), lambda h: ""]
+    seen = [defaultdict(lambda: (Counter(), Counter())) for _ in scopes]
+    content = lambda t, n: tuple(sorted(t.blocks[n["first"] : n["end"]]))
+    for host, t in trees.values():
+        for n in t.nodes:
+            if n["end"] > n["first"] and n["path"] not in ("/html.", "/html./body."):
+                for scope, table in zip(scopes, seen):
+                    contents, shapes = table[scope(host), n["path"]]
+                    contents[content(t, n)] += 1
+                    shapes[tuple(n["children"])] += 1
+
+    def share(counter):
+        total = sum(counter.values())
+        return (log(total) - sum(n * log(n) for n in counter.values()) / total) / log(total) if total > 1 else 1.0
+
+    out = {}
+    for i, (host, t) in trees.items():
+        gone, size = set(), sum(map(len, t.blocks))
+        for n in t.nodes:
+            if n["end"] > n["first"] and n["path"] not in ("/html.", "/html./body."):
+                found = next((c for scope, table in zip(scopes, seen) if sum((c := table[scope(host), n["path"]])[0].values()) >= least), None)
+                if found and (share(found[0]) + share(found[1])) / 2 < low:
+                    times = found[0][content(t, n)]
+                    if times > 1 and times >= 0.01 * sum(found[0].values()) and 2 * sum(map(len, t.blocks[n["first"] : n["end"]])) <= size:
+                        gone |= set(range(n["first"], n["end"]))
+        out[i] = " ".join(b for k, b in enumerate(t.blocks) if k not in gone)
+    return out
+
+
+def test_html_against_plain_trees(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda *x: x[int(rng.integers(0, len(x)))]
+    pages = []
+    for i in range(600):
+        host = pick("www.big.example", "www.big.example", "a.mid.example", "b.mid.example", f"only{i}.one", f"h{i}.small.example")
+        top = f"<div class='{pick('t1', 't1', 't2')}'><p>{pick('Welcome here', 'Welcome here', 'Welcome here', f'Hello {i}')}</p></div>" if rng.random() < 0.9 else ""
+        text = "".join(f"<p>{pick('same words again', *(f'w{int(rng.integers(0, 50))} x{i} y{j}' for j in range(8)))}</p>" for _ in range(int(rng.integers(1, 6))))
+        low = f"<div class='b'><div>{pick('All rights', 'All rights', 'No rights')}</div><div>{pick('Made by us', f'page {i}')}</div></div>"
+        pages.append((i, host, f"<html><body>{top}<div class='c'>{text}</div>{low if rng.random() < 0.95 else ''}</body></html>"))
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, h, x in pages], "page_id long, url string, html string")
+    for least, low in ((20, 0.1), (5, 0.3), (20, 0.5)):
+        want = plain_trees(pages, least, low)
+        assert {r.page_id: r.text for r in html_text.extract(frame, least_seen=least, low=low).collect()} == want
+    assert sum("Welcome here" in x for x in want.values()) < 100
+
+
+@pytest.mark.parametrize("bound", [16 << 20, 0])
+def test_html_hosts_are_salted(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_text, "MOST_BROADCAST_BYTES", bound)
+    rows = [(i, f"http://one.example/{i}", f"<div class=x>same old</div><p>text number {i} of a host</p>") for i in range(300)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"text number {i} of a host") for i in range(300)]
+
+
 @pytest.mark.parametrize("frame", ["<body><h1>Site</h1><div class=entry><p>{}</p></div></body>", "<body><article><h1>Site</h1><div class=entry><p>{}</p></div></article></body>"])
 def test_html_keeps_what_one_page_has(spark, frame):
     page = lambda i: frame.format(f"Article number {i} of few" if i % 20 == 0 else "This page cannot be shown")
