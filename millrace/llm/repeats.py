@@ -24,8 +24,11 @@ task or the driver ever holds its occurrences.
 
 Defined results: a null text counts as empty; texts shorter than ``span`` lose nothing; rows
 with the same id are not smaller than each other; a null id is greater than all others; all
-rows are returned, repeated ones too; an empty table gives no rows; only the id and the text
-are read. Fingerprints of 64 bits and more stand for strings.
+rows are returned, repeated ones too, and rows that share an id are dealt by their texts; an
+empty table gives no rows; only the id and the text are read. Fingerprints stand for strings:
+a phrase is removed whole only if all forms of its trigger agree in 80 bits besides those of
+the bucket, a suffix if another agrees with it in 96 bits besides those of the bucket, from
+two rolling hashes with bases and tables of their own.
 """
 
 from __future__ import annotations
@@ -47,19 +50,22 @@ _SEVERAL = np.uint64((1 << 48) - 1)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
+#: Tables and bases of the two rolling hashes.
+_TABLES = _SEED.integers(0, 2**64, (2, 256), dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if not _powers:
-        for base in (int(_BASE), pow(int(_BASE), -1, 2**64)):
+def _power_tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2**64."""
+    if which not in _powers:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
             steps = np.full(SLICE + 2 * SPAN + 2, base, np.uint64)
             steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers[0][:n], _powers[1][:n]
+            made.append(np.multiply.accumulate(steps))
+        _powers[which] = tuple(made)
+    return _powers[which][0][:n], _powers[which][1][:n]
 
 
 def _mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -84,7 +90,7 @@ class _Entries(NamedTuple):
     """What a batch sends: sorted by bucket; ``bounds`` are the buckets' places."""
 
     keys: np.ndarray
-    forms: np.ndarray | None
+    forms: np.ndarray  # of phrases 48 bits, of suffixes 32 more bits of the key
     docs: np.ndarray
     bounds: np.ndarray
 
@@ -98,10 +104,11 @@ class Batch:
         ids = table.column("id").combine_chunks()
         self.ids = ids
         self.docs = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
-        texts = table.column("text").combine_chunks()
+        # Offsets of 64 bits before chunks are joined: a batch may hold more than 2 GB.
+        texts = table.column("text").cast(pa.large_binary()).combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
-            texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.large_binary())
-        texts = texts.cast(pa.large_binary()).fill_null(b"")
+            texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_binary())
+        texts = texts.fill_null(b"")
         self.offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         data = texts.buffers()[2] if len(texts) else None
         self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -123,11 +130,11 @@ class Batch:
                     yield _Slice(at, stop, np.array([begin]), np.array([0]), np.array([stop - at]))
             begin = end
 
-    def _sums(self, s: _Slice) -> tuple[np.ndarray, np.ndarray]:
+    def _sums(self, s: _Slice, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         raw = self.data[s.begin : s.end]
-        power, inverse = _power_tables(len(raw) + 1)
+        power, inverse = _power_tables(len(raw) + 1, which)
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLE[raw] * power[:-1], out=sums[1:])
+        np.cumsum(_TABLES[which][raw] * power[:-1], out=sums[1:])
         return sums, inverse
 
     def _parse(self) -> None:
@@ -193,23 +200,27 @@ class Batch:
         found, where = [], []
         for number in np.unique(self.run_slice[self.open]):
             chosen = np.flatnonzero(self.open & (self.run_slice == number))
-            sums, inverse = self._sums(self.slices[number])
             counts = self.final[chosen] - self.first[chosen] + 1
             starts = np.repeat(self.first[chosen] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            found.append((sums[starts + self.span] - sums[starts]) * inverse[starts])
+            hashes = []
+            for which in (0, 1):
+                sums, inverse = self._sums(self.slices[number], which)
+                hashes.append(_mix((sums[starts + self.span] - sums[starts]) * inverse[starts], 0x77))
+            found.append(np.stack(hashes))
             where.append(np.stack([np.repeat(chosen, counts), starts]))
-        hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        keys, others = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
         self.suffix_run, self.suffix_start = np.concatenate(where, axis=1) if where else np.zeros((2, 0), np.int64)
-        bucket, keys, ids = _mix(hashes, 0x33) % np.uint64(self.buckets), _mix(hashes, 0x77), self.run_id[self.suffix_run]
-        order = np.lexsort((ids, keys, bucket))
-        b, k, d = bucket[order], keys[order], ids[order]
+        # The second hash gives the bucket with its upper half and 32 more bits of the key with its lower one.
+        bucket, more, ids = (others >> np.uint64(32)) % np.uint64(self.buckets), others & _LOW32, self.run_id[self.suffix_run]
+        order = np.lexsort((ids, more, keys, bucket))
+        b, k, m, d = bucket[order], keys[order], more[order], ids[order]
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+        new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1]) | (m[1:] != m[:-1])
         heads = np.flatnonzero(new)
         self.suffix_entry = np.empty(len(k), np.int64)
         self.suffix_entry[order] = np.cumsum(new) - 1
         self.suffix_least = d[heads]
-        return _Entries(k[heads], None, d[heads], np.searchsorted(b[heads], np.arange(self.buckets + 1, dtype=np.uint64)))
+        return _Entries(k[heads], m[heads], d[heads], np.searchsorted(b[heads], np.arange(self.buckets + 1, dtype=np.uint64)))
 
     def removed(self, dup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document numbers, begins and ends of the maximal removed runs; ``dup`` answers the suffixes."""
@@ -243,7 +254,8 @@ def _sent(batch: int, entries: _Entries, kind: int) -> pa.Table:
         rows["least"].append(least)
         rows["n"].append(int(b - a))
         rows["keys"].append(entries.keys[a:b].astype("<u4" if kind == 0 else "<u8").tobytes())
-        rows["forms"].append(b"" if entries.forms is None else (entries.forms[a:b] & _LOW32).astype("<u4").tobytes() + (entries.forms[a:b] >> np.uint64(32)).astype("<u2").tobytes())
+        upper = (entries.forms[a:b] >> np.uint64(32)).astype("<u2").tobytes() if kind == 0 else b""
+        rows["forms"].append((entries.forms[a:b] & _LOW32).astype("<u4").tobytes() + upper)
         rows["docs"].append(over.astype("<u4" if over.max() < 1 << 32 else "<u8").tobytes())
     return pa.table(rows, schema=_SENT)
 
@@ -263,10 +275,9 @@ def answer(sent: pa.Table) -> pa.Table:
     kind, sizes = columns["kind"][0], columns["n"]
     keys = np.concatenate([np.frombuffer(x, "<u4" if kind == 0 else "<u8") for x in columns["keys"]]).astype(np.uint64)
     docs = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8").astype(np.int64) + least for x, n, least in zip(columns["docs"], sizes, columns["least"])])
+    forms = np.concatenate([np.frombuffer(x, "<u4", n).astype(np.uint64) for x, n in zip(columns["forms"], sizes)])
     if kind == 0:
-        forms = np.concatenate([np.frombuffer(x, "<u4", n).astype(np.uint64) | np.frombuffer(x, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32) for x, n in zip(columns["forms"], sizes)])
-    else:
-        forms = np.zeros(len(keys), np.uint64)
+        forms |= np.concatenate([np.frombuffer(x, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32) for x, n in zip(columns["forms"], sizes)])
     order = np.lexsort((docs, forms, keys))
     k, f, d = keys[order], forms[order], docs[order]
     new_key = np.ones(len(k), bool)
@@ -350,7 +361,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(partitions, -(-total // batch_bytes))
     buckets = max(partitions, -(-total // (2 * batch_bytes)))
-    dealt = own.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(batches)).cast("int"))
+    # Rows that share an id, or have none, are dealt by their texts.
+    dealt = own.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(5), "text"), F.lit(batches)).cast("int"))
 
     def phrases(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         batch = Batch(table, buckets, span, width)

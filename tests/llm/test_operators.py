@@ -90,6 +90,14 @@ def test_repeats_at_edges(spark):
     assert got == brute_repeats([(i, t.encode()) for i, t in rows])
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(4, one + "x"), (4, one + two), (4, one + "x"), (6, two + "y"), (None, one + three), (None, three), (2, "z" + three[:80])]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeats_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [("2", 81, 0), ("4", len(one) + 1, 0), ("4", len(one) + 1, 0), ("4", len(one + two), 0), ("6", len(two) + 1, len(two)), ("None", len(one + three), len(one) + 80), ("None", len(three), 80)]
+    assert got == sorted(want)
+
+
 def test_repeats_keep_bytes_and_spans(spark):
     shared = "".join(chr(97 + i % 23) for i in range(70))
     rows = spark.createDataFrame([(1, shared), (2, "x" + shared + "y")], "doc_id long, text string")
