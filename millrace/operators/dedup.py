@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text
 from .components import connected_components
-from .durable import materialise
+from .durable import materialise, spread
 
 
 def hash_counts(frame: DataFrame, key: str, identifier: str) -> DataFrame:
@@ -53,76 +53,93 @@ def duplicate_counters(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"), pick(more, F.col("cnt")).alias("dups"), pick(F.col("cnt") == 1, F.lit(1)).alias("unique_items"), pick(more, F.lit(1)).alias("dup_clusters"))
 
 
-#: Multipliers and addends of the permutations: any numbers below the modulus do.
+#: A prime; shingles and permutations are numbers below it.
 MODULUS = 2**31 - 1
 
 
 def permutation(j: int) -> tuple[int, int]:
     """The ``j``-th member of the hash family ``(a * h + b) mod MODULUS``."""
-    return (j * 2_654_435_761 + 1_013_904_223) % (MODULUS - 1) + 1, (j * 40_503 + 2_166_136_261) % MODULUS
+    return pow(1_103_515_245, j + 1, MODULUS), pow(69_069, j + 1, MODULUS)
 
 
-class MinHasher:
-    """The least ``(a * h + b) mod MODULUS`` of a set of shingles under each permutation; ``h`` is 28 bits of md5.
+def shingle_factors(width: int) -> list[int]:
+    """A shingle's number is the sum of its code points, each times the factor of its place, modulo ``MODULUS``."""
+    return [pow(1_284_865_837, k + 1, MODULUS) for k in range(width)]
 
-    Texts share most of their shingles: a shingle's values are computed once and kept while there is room for ``most``.
-    """
 
-    def __init__(self, permutations: int, most: int = 1 << 16):
-        self.a, self.b = np.array([permutation(j) for j in range(permutations)], np.uint64).T.copy()
-        self.most, self.rows, self.table = most, {}, np.empty((most, permutations), np.uint32)
-
-    def _learn(self, fresh: list[str]) -> None:
-        at, modulus = len(self.rows), np.uint64(MODULUS)
-        self.rows.update(zip(fresh, range(at, at + len(fresh))))
-        hashes = np.fromiter((int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "big") >> 4 for x in fresh), np.uint64, len(fresh))
-        for i in range(0, len(fresh), 64):
-            # The modulus is a Mersenne prime: one fold leaves a number below twice the modulus.
-            x = hashes[i : i + 64, None] * self.a + self.b
-            x = (x & modulus) + (x >> np.uint64(31))
-            self.table[at + i : at + i + len(x)] = np.minimum(x, x - modulus)
-
-    def signature(self, shingles: set[str]) -> np.ndarray:
-        least, every = np.full(len(self.a), MODULUS, np.uint32), list(shingles)
-        for i in range(0, len(every), self.most):
-            part = every[i : i + self.most]
-            fresh = [x for x in part if x not in self.rows]
-            if len(self.rows) + len(fresh) > self.most:
-                self.rows.clear()
-                fresh = part
-            self._learn(fresh)
-            places = np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))
-            for j in range(0, len(places), 256):
-                np.minimum(least, self.table[places[j : j + 256]].min(axis=0), out=least)
-        return least
-
-
-def minhash_signatures(docs: DataFrame, identifier: str, cleaned: str, shingle: int, permutations: int) -> DataFrame:
-    """``id, signature``: the least hash of a text's shingles under each permutation; a map, without shuffle.
-
-    A text shorter than ``shingle`` is its own shingle; null and empty ones have no row.
-    """
-    schema = T.StructType([docs.schema[identifier], T.StructField("signature", T.ArrayType(T.LongType()))])
+def _folded(x: np.ndarray) -> np.ndarray:
+    """``x mod MODULUS`` of numbers below 2**62: the modulus is a Mersenne prime."""
+    modulus = np.uint64(MODULUS)
+    x = (x & modulus) + (x >> np.uint64(31))
+    x = (x & modulus) + (x >> np.uint64(31))
+    return np.where(x >= modulus, x - modulus, x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(permutations)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for text in part.column("__cleaned").to_pylist():
-                    shingles = {text[i : i + shingle] for i in range(max(1, len(text) - shingle + 1))}
-                    out.append(hasher.signature(shingles).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(identifier), pa.array(out, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(identifier, F.col(cleaned).alias("__cleaned")).where("length(__cleaned) > 0").mapInArrow(run, schema)
+def minhash_batch(texts: list[str], width: int, permutations: int) -> np.ndarray:
+    """The signatures of some texts, a row each; ``MODULUS`` everywhere for an empty one.
+
+    Texts share most of their shingles, so the values of each distinct one are computed once.
+    """
+    a, b = np.array([permutation(j) for j in range(permutations)], np.uint64).T.copy()
+    factors = shingle_factors(width)
+    numbers = []
+    for text in texts:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = max(1, len(points) - width + 1) if len(points) else 0
+        h = np.zeros(n, np.uint64)
+        for k, factor in enumerate(factors[: len(points)]):
+            h += points[k : k + n] * np.uint64(factor)
+        numbers.append(np.unique(_folded(h)))
+    out = np.full((len(texts), permutations), MODULUS, np.uint32)
+    known, places = np.unique(np.concatenate(numbers), return_inverse=True) if numbers else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    edges = np.cumsum([0, *map(len, numbers)])
+    for low in range(0, len(known), ROWS):
+        # A bounded table of values: rows are distinct shingles, columns permutations.
+        part = known[low : low + ROWS]
+        table = np.empty((len(part), permutations), np.uint32)
+        for i in range(0, len(part), 64):
+            table[i : i + 64] = _folded(part[i : i + 64, None] * a + b)
+        for k in range(len(texts)):
+            own = places[edges[k] : edges[k + 1]]  # ascending, as the numbers are
+            own = own[np.searchsorted(own, low) : np.searchsorted(own, low + ROWS)] - low
+            for j in range(0, len(own), 256):
+                np.minimum(out[k], table[own[j : j + 256]].min(axis=0), out=out[k])
+    return out
+
+
+#: Distinct shingles whose values are held at a time.
+ROWS = 1 << 15
+
+
+def _texts(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with some ``most`` characters of text each, one row at least."""
+    for batch in batches:
+        begin, held, size = 0, [], 0
+        for at, value in enumerate(batch.column(text)):
+            held.append(value.as_py())
+            size += len(held[-1])
+            if size > most or at + 1 == batch.num_rows:
+                yield batch.slice(begin, len(held)), held
+                begin, held, size = at + 1, [], 0
 
 
 def lsh_buckets(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 5, permutations: int = 286, bands: int = 26) -> DataFrame:
-    """``id, band, bucket`` for every band of the signature of a cleaned text; empty texts have none."""
+    """``id, band, bucket`` for every band of the MinHash signature of a cleaned text; a map, without shuffle.
+
+    A text shorter than ``shingle`` is its own shingle; empty texts share their buckets, null ones have none.
+    """
     rows = permutations // bands
-    signed = minhash_signatures(docs.select(identifier, clean_text(F.col(text)).alias("cleaned")), identifier, "cleaned", shingle, permutations)
-    banded = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.transform(F.slice("signature", b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("bucket")))
-    return signed.select(identifier, F.explode(banded).alias("b")).select(identifier, F.col("b.band").cast("long").alias("band"), "b.bucket")
+    schema = T.StructType([docs.schema[identifier], T.StructField("band", T.LongType()), T.StructField("bucket", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, "__cleaned"):
+            signed = minhash_batch(texts, shingle, permutations)[:, : rows * bands].reshape(-1, rows).tolist()
+            buckets = [hashlib.md5(",".join(map(str, x)).encode()).hexdigest() for x in signed]
+            places = np.repeat(np.arange(len(texts)), bands)
+            numbers = np.tile(np.arange(bands), len(texts))
+            yield pa.RecordBatch.from_arrays([part.column(identifier).take(pa.array(places)), pa.array(numbers), pa.array(buckets, pa.string())], names=schema.names)
+
+    return spread(docs.select(identifier, text)).select(identifier, clean_text(F.col(text)).alias("__cleaned")).where("__cleaned is not null").mapInArrow(run, schema)
 
 
 def fuzzy_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -59,3 +59,17 @@ def stored(frame: DataFrame, name: str = "stored") -> DataFrame:
     path = f"{shared_folder(frame.sparkSession, name)}/rows"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+#: Input that a core is worth: smaller inputs are dealt to all cores before costly maps.
+BYTES_A_CORE = 32 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` dealt to all cores if its files are too few or too small to feed them; as it is otherwise.
+
+    A file that cannot be split is one task's work. A table that can keep every core busy is never shuffled for this.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size < cores * BYTES_A_CORE else frame

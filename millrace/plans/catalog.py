@@ -274,19 +274,20 @@ def duplicate_counters(t):
     return dedup.duplicate_counters(dedup.hash_counts(t.documents.select("doc_id", F.md5("text").alias("hash")), "hash", "doc_id"))
 
 
-def _signature_sql(permutations: int = 20, bands: int = 5) -> str:
+def _signature_sql(permutations: int = 286, bands: int = 26, width: int = 5) -> str:
     rows = permutations // bands
-    least = ", ".join(f"list_min(list_transform(h, lambda x: (x * {dedup.permutation(j)[0]} + {dedup.permutation(j)[1]}) % {dedup.MODULUS}))" for j in range(permutations))
-    return f"""c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
-s AS (SELECT doc_id, CASE WHEN length(t) >= 5 THEN list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) ELSE [t] END AS g FROM c WHERE length(t) > 0),
-hashed AS (SELECT doc_id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM s),
+    least = ", ".join("coalesce(list_min(list_transform(h, lambda x: (x * {} + {}) % {})), {})".format(*dedup.permutation(j), dedup.MODULUS, dedup.MODULUS) for j in range(permutations))
+    number = " + ".join(f"coalesce(p[i + {k}], 0) * {factor}" for k, factor in enumerate(dedup.shingle_factors(width)))
+    return f"""c AS (SELECT doc_id, {_CLEAN} AS t FROM documents WHERE text IS NOT NULL),
+points AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, ''), lambda x: unicode(x)::BIGINT) END AS p FROM c),
+hashed AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [] ELSE list_transform(range(1, greatest(len(p) - {width - 1}, 1) + 1), lambda i: ({number}) % {dedup.MODULUS}) END AS h FROM points),
 sig AS (SELECT doc_id, [{least}] AS m FROM hashed),
 buckets AS (SELECT doc_id, band, md5(array_to_string(m[band * {rows} + 1 : band * {rows} + {rows}], ',')) AS bucket FROM (SELECT doc_id, m, unnest(range({bands}))::BIGINT AS band FROM sig))"""
 
 
 @query(f"WITH {_signature_sql()} SELECT doc_id, band, bucket FROM buckets")
 def lsh_buckets(t):
-    return dedup.lsh_buckets(t.documents, permutations=20, bands=5)  # a setting that SQL can check
+    return dedup.lsh_buckets(t.documents)
 
 
 @query(f"""WITH RECURSIVE {_signature_sql()},
@@ -297,16 +298,6 @@ reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.n
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT node AS doc_id, component, component <> node AS fuzzy_duplicate FROM comp""")
 def fuzzy_document_dedup(t):
-    return dedup.fuzzy_documents(t.documents, permutations=20, bands=5)  # a setting that SQL can check
-
-
-@query()
-def lsh_buckets_26x11(t):
-    return dedup.lsh_buckets(t.documents)
-
-
-@query()
-def fuzzy_document_dedup_26x11(t):
     return dedup.fuzzy_documents(t.documents)
 
 

@@ -47,7 +47,7 @@ def test_exact_and_fuzzy_documents(spark):
     assert fuzzy[2] == fuzzy[3] == fuzzy[5] == 1 and fuzzy[4] == 4 and fuzzy[6] == 6
 
 
-def test_lsh_buckets_match_plain_minhash(spark):
+def test_lsh_buckets_match_plain_minhash(spark, monkeypatch):
     import hashlib
     import random
 
@@ -57,14 +57,20 @@ def test_lsh_buckets_match_plain_minhash(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
     def buckets(text, permutations, bands):
-        hashes = [int(hashlib.md5(text[i : i + 5].encode()).hexdigest()[:7], 16) for i in range(max(1, len(text) - 4))]
-        least = [min((h * a + b) % dedup.MODULUS for h in hashes) for a, b in map(dedup.permutation, range(permutations))]
+        shingles = {text[i : i + 5] for i in range(max(1, len(text) - 4))} if text else set()
+        hashes = [sum(ord(c) * f for c, f in zip(x, dedup.shingle_factors(5))) % dedup.MODULUS for x in shingles]
+        least = [min(((h * a + b) % dedup.MODULUS for h in hashes), default=dedup.MODULUS) for a, b in map(dedup.permutation, range(permutations))]
         rows = permutations // bands
         return [(band, hashlib.md5(",".join(map(str, least[band * rows : (band + 1) * rows])).encode()).hexdigest()) for band in range(bands)]
 
+    monkeypatch.setattr(dedup, "ROWS", 100)
     for options, setting in (({}, (286, 26)), ({"permutations": 20, "bands": 5}, (20, 5))):
-        want = sorted((i, *b) for i, t in enumerate(texts) if t for b in buckets(t, *setting))
+        want = sorted((i, *b) for i, t in enumerate(texts) if t is not None for b in buckets(t, *setting))
         assert values(dedup.lsh_buckets(docs, **options), "doc_id", "band", "bucket") == want
+    # The share of equal values estimates the similarity of the sets.
+    letters = [chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(6000)]
+    one, two = dedup.minhash_batch(["".join(letters[:4000]), "".join(letters[1000:5000])], 5, 1000)
+    assert abs((one == two).mean() - 2996 / 4996) < 0.05
 
 
 def test_unrelated_prose_is_no_fuzzy_duplicate(spark):
