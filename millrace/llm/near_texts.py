@@ -414,8 +414,9 @@ def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percen
     rows = _texts(docs, id_column, text_column).where("text is not null").withColumnRenamed("id", "doc")
     components = connected_components(links(classes.select("id", "sketch", "tokens"), Texts(rows, heads), width, percent))
     members = components.withColumnRenamed("node", "id").join(heads, "id")
-    leasts = members.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("head"))
-    of_class = components.join(leasts, "component").select(F.col("node").alias("id"), "head")
+    leasts = materialise(members.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("head")))
+    few = leasts.count() <= MOST_BROADCAST_IDS
+    of_class = components.join(F.broadcast(leasts) if few else leasts, "component").select(F.col("node").alias("id"), "head")
     own = F.struct("doc", "text_hash")
     named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select("k0", "k1", F.coalesce("head", "own").alias("head")))
     signed = signatures(docs, id_column, text_column, width, False)
