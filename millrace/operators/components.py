@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import materialise
-
-EDGES_A_TASK = 200_000
+from .durable import materialise, tasks_for
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     both = materialise(pairs.select(F.explode(ways).alias("way")).select("way.*").distinct())
     # A few labels need few tasks and files; the number follows the edges.
-    parts = max(1, -(-both.count() // EDGES_A_TASK))
+    parts = tasks_for(both.count())
     labels = materialise(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component")).coalesce(parts))
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))

@@ -33,6 +33,15 @@ def materialise(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Narrow rows that one task and one file of a materialised frame are worth.
+ROWS_A_TASK = 200_000
+
+
+def tasks_for(rows: int) -> int:
+    """How many tasks a frame of at most ``rows`` narrow rows is worth: few rows need few tasks and files."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
