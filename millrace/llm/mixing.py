@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.durable import materialise
+from ..operators.durable import materialise, tasks_for
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -84,23 +84,24 @@ def last_taken(queues: DataFrame, weights: Sequence[float], share: float) -> Dat
 
     ``queues`` has ``skey, hash, size`` of every row and is materialised.
     """
-    digits = max(1, round(math.log(max(queues.count(), 16), 16) / 2))
+    rows = queues.count()
+    digits, tasks = max(1, round(math.log(max(rows, 16), 16) / 2)), tasks_for(rows)
     bins = 16 ** (digits + 1)
     # Rows of one hash are one entry; copies are combined before the shuffle.
     entry = F.substring("hash", 1, digits).alias("range")
-    base = materialise(queues.groupBy("skey", entry, "hash").agg(F.sum("size").alias("size")))
+    base = materialise(queues.groupBy("skey", entry, "hash").agg(F.sum("size").alias("size")).coalesce(tasks))
     ranges = base.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
     before = F.sum("range_size").over(Window.partitionBy("skey").orderBy("range")) - F.col("range_size")
-    ranges = materialise(ranges.withColumn("before", before))
+    ranges = materialise(ranges.withColumn("before", before).coalesce(tasks))
     sizes = ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size"))
-    goals = materialise(targets(sizes, weights, share))
-    ranges = materialise(ranges.join(goals, "skey").select("skey", "range", "before", "source_size", "target"))
+    goals = materialise(targets(sizes, weights, share).coalesce(tasks))
+    ranges = materialise(ranges.join(goals, "skey").select("skey", "range", "before", "source_size", "target").coalesce(tasks))
     inside = Window.partitionBy("skey", "range").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
     queued = F.col("before") + F.sum("size").over(inside)
     placed = base.where("size > 0").join(ranges, ["skey", "range"]).where("target > 0").withColumn("queued", queued)
     turns = F.array(*(F.struct(F.lit(t).alias("turn"), ((F.col("queued") + t * F.col("source_size")) / F.col("target")).alias("finish")) for t in range(PASSES)))
     entries = placed.select("skey", "hash", "size", F.explode(turns).alias("at")).select("skey", "hash", "size", "at.*")
-    entries = materialise(entries.withColumn("bin", F.floor(F.col("finish") * bins)))
+    entries = materialise(entries.withColumn("bin", F.floor(F.col("finish") * bins)).coalesce(tasks))
     budget = share * (goals.agg(F.sum("source_size")).first()[0] or 0)
     # The bin in which the budget ends: bins are few and their totals are all that is ordered in one task.
     sums = entries.groupBy("bin").agg(F.sum("size").alias("bin_size"))
@@ -115,7 +116,7 @@ def last_taken(queues: DataFrame, weights: Sequence[float], share: float) -> Dat
         tie = F.struct("skey", "hash") < F.struct(F.lit(cut["skey"]), F.lit(cut["hash"]))
         taken = entries.where((F.col("finish") < cut["finish"]) | ((F.col("finish") == cut["finish"]) & tie))
     lasts = taken.groupBy("skey").agg(*(F.max(F.when(F.col("turn") == t, F.col("hash"))).alias(f"last_{t}") for t in range(PASSES)))
-    return materialise(goals.join(lasts, "skey", "left"))
+    return materialise(goals.join(lasts, "skey", "left").coalesce(tasks))
 
 
 def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:

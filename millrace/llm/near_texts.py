@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.durable import materialise
+from ..operators.durable import materialise, tasks_for
 from .batches import sliced
 
 #: Minwise tokens of a class, independent trees, tokens chosen at a node that branches, levels.
@@ -197,19 +197,23 @@ def leaves(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, lev
     roots = classes.select("id", "tokens", F.explode(F.array(*(F.lit(t * 0x9E3779B1 + 1).cast("long") for t in range(trees)))).alias("node"))
     # The children of the roots are made twice, for the sizes and for those in company: most are alone.
     rows, ends, small = _children(roots, 1).select("node", "id"), [], F.col("size") <= SMALL
-    sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # Every frame here has at most so many rows, or a few times as many; few rows need few tasks and files.
+    tasks = tasks_for(classes.count() * trees)
+    sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").coalesce(tasks))
     for level in range(levels):
-        sized = materialise(rows.join(sizes, "node").select("node", "id", "size"))
+        sized = materialise(rows.join(sizes, "node").select("node", "id", "size").coalesce(tasks))
         ends.append(sized.where(small) if level < levels - 1 else sized)
         large = sizes.where(~small)
         if level == levels - 1 or not large.take(1):
             break
         members = sized.where(~small)
-        children = materialise(_children(members.join(classes.select("id", "tokens"), "id"), branches))
-        counted = materialise(children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("parent")).where("size > 1"))
+        children = materialise(_children(members.join(classes.select("id", "tokens"), "id"), branches).coalesce(tasks))
+        counts = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("parent")).where("size > 1")
+        counted = materialise(counts.coalesce(tasks))
         kept = counted.groupBy("parent").agg(F.max("size").alias("most"))
-        stubborn = materialise(large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > SHRINKS * F.col("size")).select("node"))
-        ends.append(materialise(members.join(stubborn, "node", "left_semi")))
+        alike = large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > SHRINKS * F.col("size"))
+        stubborn = materialise(alike.select("node").coalesce(tasks))
+        ends.append(materialise(members.join(stubborn, "node", "left_semi").coalesce(tasks)))
         rows = children.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "id")
         sizes = counted.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "size")
     out = ends[0]
@@ -414,11 +418,12 @@ def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percen
     rows = _texts(docs, id_column, text_column).where("text is not null").withColumnRenamed("id", "doc")
     components = connected_components(links(classes.select("id", "sketch", "tokens"), Texts(rows, heads), width, percent))
     members = components.withColumnRenamed("node", "id").join(heads, "id")
-    leasts = materialise(members.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("head")))
+    tasks = tasks_for(classes.count())
+    leasts = materialise(members.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("head")).coalesce(tasks))
     few = leasts.count() <= MOST_BROADCAST_IDS
     of_class = components.join(F.broadcast(leasts) if few else leasts, "component").select(F.col("node").alias("id"), "head")
     own = F.struct("doc", "text_hash")
-    named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select("k0", "k1", F.coalesce("head", "own").alias("head")))
+    named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select("k0", "k1", F.coalesce("head", "own").alias("head")).coalesce(tasks))
     signed = signatures(docs, id_column, text_column, width, False)
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     out = signed.join(named, ["k0", "k1"], "left")

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import materialise, stored
+from ..operators.durable import materialise, stored, tasks_for
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -137,7 +137,8 @@ def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[fl
     good = known.groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
     holdout = counted.where(~F.col("base_failed")).join(good, "__id", "left_semi").select("stratum", *cutoffs)
     chosen = accepted_cutoffs(holdout, cutoffs, tolerated, failure)
-    return materialise(chosen.where(F.coalesce(*(F.col(f"cut_{m}") for m in cutoffs)).isNotNull()))
+    # A row a stratum: at most as many as good labels.
+    return materialise(chosen.where(F.coalesce(*(F.col(f"cut_{m}") for m in cutoffs)).isNotNull()).coalesce(tasks_for(labels.count())))
 
 
 def verdicts(counted: DataFrame, fitted: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:
