@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,24 +24,44 @@ def hash_counts(frame: DataFrame, key: str, identifier: str) -> DataFrame:
 
 def exact_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, exact_duplicate``: whether another document with the same text has a smaller id."""
-    hashed = docs.select(identifier, F.md5(text).alias("hash"))
+    hashed = spread(docs.select(identifier, text)).select(identifier, F.md5(text).alias("hash"))
     counts = hash_counts(hashed.where("hash is not null"), "hash", identifier)
     joined = hashed.join(counts, "hash", "left")
     return joined.select(identifier, F.coalesce((F.col("cnt") > 1) & (F.col("canonical") != F.col(identifier)), F.lit(False)).alias("exact_duplicate"))
 
 
+def paragraph_lines(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, pos, begin, end, line`` of the non-empty lines; spans in characters. A map: a line's place is a sum over its own text's lines."""
+    schema = T.StructType([docs.schema[identifier], *(T.StructField(c, T.LongType()) for c in ("pos", "begin", "end")), T.StructField("line", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                split = pc.split_pattern(part.column("__text"), "\n")
+                lines = split.flatten()
+                sizes = pc.utf8_length(lines).to_numpy().astype(np.int64) + 1
+                first = split.offsets.to_numpy() - split.offsets[0].as_py()
+                counts = np.diff(first)
+                upto = np.append(0, np.cumsum(sizes))
+                begin = upto[:-1] - np.repeat(upto[first[:-1]], counts)
+                pos = np.arange(len(lines)) - np.repeat(first[:-1], counts)
+                kept = pa.array(np.flatnonzero(sizes > 1))
+                ids = part.column(identifier).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                columns = [ids, pa.array(pos), pa.array(begin), pa.array(begin + sizes - 1), lines]
+                yield pa.RecordBatch.from_arrays([c.take(kept) for c in columns], names=schema.names)
+
+    return docs.select(identifier, F.col(text).alias("__text")).where("__text is not null").mapInArrow(run, schema)
+
+
 def paragraphs(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, pos, begin, end, hash`` of the non-empty lines; spans in characters. The lines' text is not shuffled."""
-    lines = docs.where(F.col(text).isNotNull()).select(identifier, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    narrow = lines.select(identifier, "pos", F.length("line").alias("chars"), F.md5("line").alias("hash"))
-    upto = Window.partitionBy(identifier).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = narrow.withColumn("begin", F.sum(F.col("chars") + 1).over(upto) - F.col("chars") - 1)
-    return placed.where("chars > 0").select(identifier, F.col("pos").cast("long").alias("pos"), "begin", (F.col("begin") + F.col("chars")).alias("end"), "hash")
+    """``id, pos, begin, end, hash`` of the non-empty lines; spans in characters. Nothing is shuffled."""
+    return paragraph_lines(docs, identifier, text).select(identifier, "pos", "begin", "end", F.md5("line").alias("hash"))
 
 
 def exact_paragraphs(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, begin, end, score`` of the paragraphs whose canonical document is another one."""
-    split = paragraphs(docs, identifier, text)
+    split = paragraphs(spread(docs.select(identifier, text)), identifier, text)
     repeated = hash_counts(split, "hash", identifier).where("cnt > 1")
     marked = split.join(repeated, "hash").where(F.col("canonical") != F.col(identifier))
     return marked.select(identifier, "begin", "end", F.lit(1.0).alias("score"))

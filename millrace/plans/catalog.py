@@ -303,13 +303,13 @@ def fuzzy_document_dedup(t):
 
 # Decontamination.
 
-_GRAMS = lambda table, key, n: f"""SELECT {key} AS id, b, e, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) ELSE [] END) AS g
-FROM (SELECT {key}, b, b + length(line) AS e, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"""
+_GRAMS = lambda table, key, n, short="[]": f"""SELECT {key} AS id, b, b + length(line) AS e, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) ELSE {short} END) AS g
+FROM (SELECT {key}, b, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM {table} WHERE line <> '')"""
 _BENCH_LINES = "bl AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, 0 AS b FROM benchmark)"
 
 
 def _overlap_sql(n: int) -> str:
-    return f"SELECT t.id, t.b, t.e, count(r.g) AS hits, count(*) AS grams FROM ({_GRAMS('lines', 'doc_id', n)}) t LEFT JOIN (SELECT DISTINCT g FROM ({_GRAMS('bl', 'item_id', n)})) r ON t.g = r.g GROUP BY ALL"
+    return f"SELECT t.id, t.b, t.e, count(r.g) AS hits, count(*) AS grams FROM ({_GRAMS('lines', 'doc_id', n, '[line]')}) t LEFT JOIN (SELECT DISTINCT g FROM ({_GRAMS('bl', 'item_id', n, '[line]')})) r ON t.g = r.g GROUP BY ALL"
 
 
 @query(f'WITH {_LINES}, {_BENCH_LINES} SELECT id AS doc_id, b AS "begin", e::BIGINT AS "end", hits::DOUBLE / grams AS score FROM ({_overlap_sql(8)}) WHERE hits > 0')

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing, text
-from millrace.operators import classify, consolidate, conversations, dedup, overlap, training, validate
+from millrace.operators import bloom, classify, consolidate, conversations, dedup, overlap, training, validate
 
 FOX = "The quick brown fox\njumps over the lazy dog\nand runs away"
 
@@ -100,6 +100,34 @@ def test_overlap(spark):
     assert got == [(1, 0, 11, 0.25)]
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_overlap_of_short_paragraphs_and_large_references(spark, monkeypatch, bound):
+    monkeypatch.setattr(overlap, "MOST_BROADCAST_FEATURES", bound)
+    docs = spark.createDataFrame([(1, "é x\n\nshort one\np q r s"), (2, "short two\nq r s t"), (3, None), (4, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "short one\nq r s z\n\n"), (8, None)], "item_id long, text string")
+    got = values(overlap.ngram_overlap(docs, bench, 3, "doc_id", "text", "item_id", "text"), "doc_id", "begin", "end", "score")
+    assert got == [(1, 5, 14, 1.0), (1, 15, 22, 0.5), (2, 10, 17, 0.5)]
+    assert values(overlap.exact_overlap(docs, bench, "doc_id", "text", "text"), "doc_id", "begin", "end") == [(1, 5, 14)]
+    matrix = overlap.contamination_matrix(docs, bench, 3, "doc_id", "item_id", "text", "text")
+    assert values(matrix, "train", "overlapping") == [("1", 1), ("2", 1), ("union", 1)]
+
+
+@pytest.mark.parametrize("bound", [16 << 20, 0])
+def test_bloom_filters(spark, monkeypatch, bound):
+    monkeypatch.setattr(bloom, "MOST_BROADCAST_BYTES", bound)
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("k"))
+    one, two = (bloom.Bloom.build(keys(*r), "k", 2000).stored() for r in ((0, 1000), (500, 1500)))
+    asked = dict(values(one.ask(keys(0, 11_000), "k"), "k", "may_contain"))
+    assert all(asked[str(i)] for i in range(1000)) and sum(asked[str(i)] for i in range(1000, 11_000)) < 100
+    both, shared = one | two, one & two
+    assert one.issubset(both) and two.issubset(both) and not both.issubset(one) and shared.issubset(one) and shared.issubset(two)
+    assert all(v for _, v in values(both.ask(keys(0, 1500), "k"), "k", "may_contain")) and all(v for _, v in values(shared.ask(keys(500, 1000), "k"), "k", "may_contain"))
+    assert max(one.bits(), two.bits()) <= both.bits() <= one.bits() + two.bits()
+    assert [r.may_contain for r in one.ask(spark.createDataFrame([(None,)], "k string"), "k").collect()] == [False]
+    with pytest.raises(ValueError):
+        one | bloom.Bloom.build(keys(0, 10), "k", 100_000)
+
+
 def test_thresholds(spark):
     docs = spark.createDataFrame([(i,) for i in range(1, 5)], "doc_id long")
     scores = spark.createDataFrame([(1, 0.1), (2, 0.4), (3, 0.7)], "doc_id long, s double")
