@@ -8,25 +8,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .durable import materialise
-from .relational import prefix_sums
+from .folds import packs, running_sums
 
 
 def sequence_chunks(tokens: DataFrame, length: int, order: str = "doc_id", ids: str = "ids", group: Sequence[str] = ()) -> DataFrame:
     """``group, chunk, ids``: the documents end to end, cut into full chunks; the remainder is dropped.
 
-    Only slices of documents are shuffled: each document is cut at the chunk borders it spans.
+    Each document is cut at the chunk borders it spans, and slices are shuffled to their
+    chunks; where a document begins is a running sum over ranges, so no task sees a whole group.
     """
-    placed = prefix_sums(tokens.withColumn("__n", F.size(ids)), "__n", [F.col(order)], group).where("__n > 0")
+    placed = running_sums(tokens.select(*group, order, ids).withColumn("__n", F.size(ids).cast("long")).where("__n > 0"), "__n", [order], group)
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("__n") - 1) / length)
     cut = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("chunk") * length - F.col("start"), F.lit(0))
     end = F.least((F.col("chunk") + 1) * length - F.col("start"), F.col("__n"))
     pieces = cut.select(*group, "chunk", "start", F.slice(ids, (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
-    joined = pieces.groupBy(*group, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"])).alias("ids"))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "piece")))
+    joined = pieces.groupBy(*group, "chunk").agg(F.flatten(F.transform(ordered, lambda x: x["piece"])).alias("ids"))
     return joined.where(F.size("ids") == length)
 
 
+def causal_examples(chunks: DataFrame, ids: str = "ids", end_id: int | None = None) -> DataFrame:
+    """Adds ``loss_weights``, 1 but for the last token, and with ``end_id`` ``segments``: how many documents ended before a token."""
+    weights = F.transform(ids, lambda x, i: F.when(i < F.size(ids) - 1, 1.0).otherwise(0.0))
+    out = chunks.withColumn("loss_weights", weights)
+    if end_id is None:
+        return out
+    ends = F.array_compact(F.transform(ids, lambda x, i: F.when(x == end_id, i)))
+    return out.withColumn("__ends", ends).withColumn("segments", F.transform(ids, lambda x, i: F.size(F.filter("__ends", lambda e: e < i)))).drop("__ends")
+
+
+def validation_tail(indexed: DataFrame, n: int, validation: int, index: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """The rows before the last ``validation`` of ``n``, and those."""
+    if not 0 <= validation <= n:
+        raise ValueError("more rows are asked for than there are")
+    return indexed.where(F.col(index) < n - validation), indexed.where(F.col(index) >= n - validation)
+
+
+def train_batches(indexed: DataFrame, batches: int, size: int, index: str = "idx") -> DataFrame:
+    """The rows of the first ``batches`` batches."""
+    return indexed.where(F.col(index) < batches * size)
+
+
 def greedy_packs(lengths: DataFrame, most_tokens: int, most_documents: int, group: Sequence[str], order: str, length: str, allow_long: bool = True) -> DataFrame:
     """``group, pack, documents, tokens``: documents in order, packed greedily.
 
@@ -35,18 +60,8 @@ def greedy_packs(lengths: DataFrame, most_tokens: int, most_documents: int, grou
     """
     if not allow_long and lengths.where(F.col(length) > most_tokens).take(1):
         raise ValueError("a document is longer than a pack")
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, length))), lambda x: x[length].cast("long"))
-    state = F.array().cast("array<struct<pack:bigint,tokens:bigint,documents:bigint>>")
-
-    def step(acc: Column, n: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        closes = last.isNotNull() & ((last["tokens"] + n > most_tokens) | (last["documents"] >= most_documents))
-        fresh = last.isNull() | closes
-        entry = F.struct(F.when(last.isNull(), 0).when(closes, last["pack"] + 1).otherwise(last["pack"]).cast("long").alias("pack"), F.when(fresh, n).otherwise(last["tokens"] + n).alias("tokens"), F.when(fresh, 1).otherwise(last["documents"] + 1).cast("long").alias("documents"))
-        return F.concat(acc, F.array(entry))
-
-    folded = lengths.groupBy(*group).agg(F.aggregate(items, state, step).alias("f")).select(*group, F.explode("f").alias("f"))
-    return folded.groupBy(*group, F.col("f.pack").alias("pack")).agg(F.max("f.documents").alias("documents"), F.max("f.tokens").alias("tokens"))
+    closes = lambda documents, tokens, n: tokens + n > most_tokens or documents >= most_documents
+    return packs(lengths.withColumn(length, F.col(length).cast("long")), closes, length, group, [order], ("pack", "documents", "tokens"))
 
 
 def loss_weights(prompt: Column, length: Column) -> Column:
@@ -54,18 +69,35 @@ def loss_weights(prompt: Column, length: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when((i >= prompt - 1) & (i < length - 1), 1.0).otherwise(0.0))
 
 
+def _times_modulo(a: int, index: Column, b: int, n: int) -> Column:
+    """``(a * index + b) mod n`` for an index below ``n``; beyond 64 bits in decimals of 38 digits."""
+    if a % n * n + b % n < 1 << 63:
+        return F.pmod(F.lit(a % n) * index.cast("long") + F.lit(b % n), F.lit(n))
+    wide = lambda x: F.lit(str(x)).cast("decimal(19,0)")
+    return ((wide(a % n) * index.cast("decimal(19,0)") + wide(b % n)) % wide(n)).cast("long")
+
+
+def _in_range(index: Column, n: int, value: Column) -> Column:
+    outside = F.concat(F.lit("index out of range: "), index.cast("string"))
+    return F.when((index >= 0) & (index < n), value).when(index.isNotNull(), F.raise_error(outside).cast("long"))
+
+
 def linear_permutation(index: Column, n: int, a: int, b: int) -> Column:
-    """``(a * index + b) mod n``, a permutation when ``a`` and ``n`` are coprime."""
+    """``(a * index + b) mod n``, a permutation when ``a`` and ``n`` are coprime; an index out of range raises."""
     if math.gcd(a, n) != 1:
         raise ValueError("the factor and the length must be coprime")
-    return F.pmod(F.lit(a) * index + F.lit(b), F.lit(n))
+    return _in_range(index, n, _times_modulo(a, index, b, n))
+
+
+#: A fixed value: the factor inside a round of the network.
+FEISTEL_FACTOR = 2_654_435_761
 
 
 def feistel_permutation(index: Column, n: int, keys: Sequence[int]) -> Column:
     """A permutation of ``0 .. n - 1`` by a Feistel network over the next power of four, walking cycles.
 
     Values that leave the range are sent through the network again; at most four times as many
-    values as ``n`` exist, and walks longer than 64 steps are refused.
+    values as ``n`` exist, so a walk of over a thousand steps has a chance below 1e-120 and raises.
     """
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
@@ -73,20 +105,31 @@ def feistel_permutation(index: Column, n: int, keys: Sequence[int]) -> Column:
     def network(x: Column) -> Column:
         left, right = F.shiftright(x, half), x.bitwiseAND(mask)
         for key in keys:
-            mixed = F.pmod(right * F.lit(2_654_435_761) + F.lit(key), F.lit(1 << half))
+            # A product of 32 bits each; only its lower bits count.
+            mixed = (right * F.lit(FEISTEL_FACTOR % (1 << half)) + F.lit(key % (1 << half))).bitwiseAND(mask)
             left, right = right, left.bitwiseXOR(mixed)
         return F.shiftleft(left, half).bitwiseOR(right)
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), network(index.cast("long")), lambda x, _: F.when(x < n, x).otherwise(network(x)))
-    return F.when(walk < n, walk)
+    def walked(x: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda at, _: F.when(at < n, at).otherwise(network(at)))
+
+    # Few values need more than the first steps; for the others the second walk is not taken.
+    short = walked(network(index.cast("long")), 12)
+    finish = lambda x: F.when(x < n, x).otherwise(F.coalesce(F.nullif(F.least(walked(x, 1100), F.lit(n)), F.lit(n)), F.raise_error(F.lit("a walk did not end")).cast("long")))
+    return _in_range(index, n, let(short, finish))
 
 
 def era_permutation(index: Column, n: int, era: int, a: int, b: int) -> Column:
     """A linear permutation inside consecutive blocks of ``era`` indexes; the last block may be shorter."""
+    if any(math.gcd(a, size) != 1 for size in {min(era, n), n % era} - {0}):
+        raise ValueError("the factor must be coprime to the length of every block")
     block = F.floor(index / era)
-    size = F.least(F.lit(era), F.lit(n) - block * era)
-    # A factor coprime to every block length: a prime larger than the block.
-    return block * era + F.pmod(F.lit(a) * (index % era) + F.lit(b), size)
+    last = n - n % era
+    inside = index - block * era
+    turned = F.when(index < last, _times_modulo(a, inside, b, era))
+    if n % era:
+        turned = turned.otherwise(_times_modulo(a, inside, b, n % era))
+    return _in_range(index, n, block * era + turned)
 
 
 def mixture_blocks(spark: SparkSession, weights: dict[str, float], lengths: dict[str, int], blocks: int, block: int = 2048, a: int = 1_000_003) -> DataFrame:
@@ -130,13 +173,17 @@ def token_budget(docs: DataFrame, budget: int, identifier: str, size: str, seed:
     The order is a hash; running sums are taken inside hash ranges and over the ranges' totals.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(identifier).cast("string")))
-    ranked = docs.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, 2))
-    totals = ranked.groupBy("__range").agg(F.sum(size).alias("__total"))
+    # Ranges of the hash, as many as their documents: both grow with the root of the number of rows.
+    digits = max(1, round(math.log(max(docs.count(), 16), 16) / 2))
+    ranked = docs.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, digits))
+    totals = materialise(ranked.groupBy("__range").agg(F.sum(size).alias("__total")))
     if (totals.agg(F.sum("__total")).first()[0] or 0) <= budget:
         raise ValueError("the documents hold fewer tokens than asked for")
     before = totals.select("__range", (F.sum("__total").over(Window.orderBy("__range")) - F.col("__total")).alias("__before"))
+    # Ranges that begin beyond the budget are left out before their documents are sorted.
+    before = before.where(F.col("__before") <= budget)
     inside = Window.partitionBy("__range").orderBy("__key", identifier).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranked.join(F.broadcast(before), "__range")  # 256 rows
+    placed = ranked.join(before, "__range")
     return placed.withColumn("__at", F.col("__before") + F.sum(size).over(inside) - F.col(size)).where(F.col("__at") <= budget).select(docs.columns)
 
 
@@ -175,7 +222,7 @@ def leave_one_out_advantage(frame: DataFrame, group: Sequence[str], reward: str,
 
 
 def curriculum_weights(lessons: DataFrame, success: str, samples: str, least: float) -> DataFrame:
-    """Adds ``weight``: most for half-mastered and new lessons, at least ``least``, summing to 1."""
+    """Adds ``weight``: most for half-mastered and new lessons, at least ``least``, summing to 1. The formula is a fixed value."""
     raw = F.greatest(F.lit(0.0), 4 * F.col(success) - 4 * F.col(success) * F.col(success)) * (1 + F.exp(-0.01 * F.col(samples)))
     every = Window.partitionBy(F.lit(0))
     floored = lessons.withColumn("__raw", raw).withColumn("__floor", F.greatest(F.col("__raw") / (1 + F.sum("__raw").over(every)), F.lit(least)))

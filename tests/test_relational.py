@@ -69,3 +69,40 @@ def test_samples_repeat(spark):
     one, two = sampling.bernoulli(rows, 0.3, "id"), sampling.bernoulli(rows, 0.3, "id")
     assert values(one, "id") == values(two, "id") and 450 < one.count() < 750
     assert sampling.reservoir(rows, 10, "id").count() == 10
+
+
+def test_running_sums_and_positions(spark):
+    from millrace.operators import folds
+
+    rows = [(i % 3, i, (7 * i) % 11) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g int, i int, n long").repartition(6)
+    got = {(r.g, r.i): r.start for r in folds.running_sums(frame, "n", ["i"], ["g"]).collect()}
+    for g in range(3):
+        total = 0
+        for _, i, n in sorted(r for r in rows if r[0] == g):
+            assert got[g, i] == total
+            total += n
+    assert [r.idx for r in relational.numbered(frame.select("i"), ["i"]).orderBy("i").collect()] == list(range(500))
+    assert relational.numbered(frame.limit(0), ["i"]).count() == 0
+    left, right = spark.createDataFrame([(5, "a"), (9, "b")], "x int, s string"), spark.createDataFrame([(2,), (1,)], "y int")
+    assert sorted(map(tuple, relational.positional_join(left, right, ["x"], ["y"]).collect())) == [(5, "a", 1), (9, "b", 2)]
+    with pytest.raises(ValueError):
+        relational.positional_join(left, right.limit(1), ["x"], ["y"])
+
+
+def test_batches_of_rows(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    frame = spark.range(10)
+    assert sorted(r.id for r in relational.filter_rows(frame, lambda b: pc.greater(b.column("id"), 6)).collect()) == [7, 8, 9]
+    double = lambda b: pa.RecordBatch.from_arrays([pc.multiply(b.column("id"), 2)], names=["id"])
+    assert sorted(r.id for r in relational.map_batches(frame, [double, double], "id long", 3).collect()) == [4 * i for i in range(10)]
+    counted = relational.map_shards(frame.repartition(2), lambda bs: iter([pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in bs)])], names=["n"])]), "n long")
+    assert sum(r.n for r in counted.collect()) == 10
+    sizes = [(0, 2), (2, 3)]
+    got = relational.loader_batches(frame.withColumnRenamed("id", "idx"), sizes).orderBy("idx").collect()
+    assert [(r.step, r.slot) for r in got] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 2)]
+    assert [relational.example_offset(s, sizes) for s in range(5)] == [0, 2, 4, 7, 10]
+    with pytest.raises(ValueError):
+        relational.loader_batches(frame, [(1, 2)])
