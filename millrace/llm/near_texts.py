@@ -49,6 +49,8 @@ MOST_BROADCAST_IDS = 250_000
 #: Minwise tokens in which a pair may fall short of the threshold, in standard deviations, before it is compared on full
 #: sets. A pair at the threshold falls short by more with a chance of 3e-6; closer pairs are surer. A recall parameter.
 SHORT_BY = 4.5
+#: Pairs of leaves that are compared at a time.
+LEAF_PAIRS = 4_000_000
 #: Longer words are hashed one by one.
 LONG_WORD = 1024
 
@@ -296,8 +298,10 @@ def _involved(rows: DataFrame, least: float) -> DataFrame:
             p = probe[at : at + step]
             same = (sketch[p][:, None, :] == sketch[target][None, :, :]).sum(axis=2, dtype=np.uint8)
             row, column = np.nonzero((same >= least * TOKENS) & (groups[p, None] != groups[None, target]) & (ids[p, None] != ids[None, target]))
-            for lo in range(0, len(row), 2048):
-                one, two = p[row[lo : lo + 2048]], target[column[lo : lo + 2048]]
+            # Few pairs at a time: every leaf of one is compared with every leaf of the other.
+            few = max(1, LEAF_PAIRS // leaves_.shape[1] ** 2)
+            for lo in range(0, len(row), few):
+                one, two = p[row[lo : lo + few]], target[column[lo : lo + few]]
                 new = ~(hit[one] & hit[two])
                 one, two = one[new], two[new]
                 if len(one):
