@@ -23,6 +23,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(text: Column) -> Column:
     """Lower case, without ASCII punctuation, white space collapsed."""
     return collapse_spaces(F.translate(F.lower(text), PUNCTUATION, ""))
