@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .readers import normal_path
 
 _CODECS = {"gz": "gzip", "zst": "zstd", "zstd": "zstd", "bz2": "bzip2"}
 
@@ -17,7 +19,7 @@ def formatted(pattern: str, shard: int, total: int, basename: str = "") -> str:
     """An output name; several shards need ``{shard}`` in the pattern."""
     if total > 1 and "{shard" not in pattern:
         raise ValueError("several shards need {shard} in the pattern")
-    return re.sub(r"(?<!:)/{2,}", "/", pattern.format(shard=shard, total=total, basename=basename))
+    return normal_path(pattern.format(shard=shard, total=total, basename=basename))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -86,3 +88,93 @@ def write_binary(frame: DataFrame, path: str, column: str) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     return sorted(r[0] for r in frame.select(column).mapInArrow(run, "name string").collect())
+
+
+def _is_file(name: str) -> bool:
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(name)
+    return system.get_file_info(at).type == fs.FileType.File
+
+
+def write_named(frame: DataFrame, pattern: str, skip_existing: bool = False) -> list[str]:
+    """Each partition into a file of its own, named by ``{shard}`` and ``{total}`` in the pattern; returns the names.
+
+    The kind follows the extension: Parquet, or JSON lines with gzip or zstd. With
+    ``skip_existing`` nothing runs when all files are there, and after a run that was cut short
+    those that are there are not written again. A file is written beside its name and then moved.
+    """
+    total = frame.rdd.getNumPartitions()
+    names = [formatted(pattern, shard, total) for shard in range(total)]
+    kind = next((k for k in (".parquet", ".jsonl", ".jsonl.gz", ".jsonl.zst") if names[0].endswith(k)), None) if names else None
+    if names and kind is None:
+        raise ValueError(f"no writer for {names[0]}")
+    if skip_existing and all(_is_file(name) for name in names):
+        return names
+    schema = to_arrow_schema(frame.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name = names[task.partitionId()]
+        system, at = fs.FileSystem.from_uri(name)
+        if not (skip_existing and _is_file(name)):
+            system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            held = f"{at}.{task.attemptNumber()}.tmp"
+            if kind == ".parquet":
+                import pyarrow.parquet as pq
+
+                with system.open_output_stream(held, compression=None) as out, pq.ParquetWriter(out, schema, compression="zstd") as writer:
+                    for batch in batches:
+                        writer.write_batch(batch.cast(schema))
+            else:
+                codec = {".jsonl.gz": "gzip", ".jsonl.zst": "zstd"}.get(kind)
+                with system.open_output_stream(held, compression=codec) as out:
+                    for batch in batches:
+                        out.write("".join(json.dumps(row, ensure_ascii=False, default=str) + "\n" for row in batch.to_pylist()).encode())
+            system.move(held, at)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return sorted(r[0] for r in frame.mapInArrow(run, "name string").collect())
+
+
+def rebased(path: str, base: str, target: str, extension: str | None = None) -> str:
+    """The same relative path under another base, with another extension if one is given."""
+    base = normal_path(base).rstrip("/")
+    if not normal_path(path).startswith(f"{base}/"):
+        raise ValueError(f"{path} is not under {base}")
+    moved = f"{normal_path(target).rstrip('/')}{normal_path(path)[len(base) :]}"
+    if extension is None:
+        return moved
+    folder, _, name = moved.rpartition("/")
+    return f"{folder}/{name.split('.', 1)[0]}.{extension.lstrip('.')}"
+
+
+def write_sidecar(spark: SparkSession, path: str, content: dict) -> None:
+    """A JSON file beside a collection: provenance, settings, counts."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = files.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(json.dumps(content, sort_keys=True, indent=1).encode()))
+    out.close()
+
+
+def read_sidecar(spark: SparkSession, path: str) -> dict:
+    """What ``write_sidecar`` wrote."""
+    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect()))
+
+
+def merge_token_caches(spark: SparkSession, paths: Sequence[str], path: str) -> DataFrame:
+    """One cache of several, in their order: rows and tokens by file with offsets over all of them; the data stay where they are."""
+    ledger = None
+    for number, one in enumerate(paths):
+        own = spark.read.parquet(f"{one}/ledger").withColumn("cache", F.lit(number).cast("long"))
+        ledger = own if ledger is None else ledger.unionByName(own)
+    for size, offset in (("rows", "row_offset"), ("tokens", "token_offset")):
+        # A row a file: ledgers are small.
+        before = Window.orderBy("cache", "file").rowsBetween(Window.unboundedPreceding, 0)
+        ledger = ledger.withColumn(offset, F.sum(size).over(before) - F.col(size))
+    write_parquet(ledger, f"{path}/ledger")
+    return spark.read.parquet(f"{path}/ledger")
