@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -84,7 +85,7 @@ def replace_all(text: Column, replacements: Mapping[str, str]) -> Column:
 
 
 def citations_removed(text: Column) -> Column:
-    """Without escaped numeric citations such as ``\\[3, 4\\]``."""
+    """Without escaped numeric citations such as ``\\[3, 4\\]``; the pattern is a fixed value."""
     return F.regexp_replace(text, r"\s?\\\[(?:\d+(?:,\s*\d+)*)\\\]", "")
 
 
@@ -94,12 +95,68 @@ def training_line(label: Column, text: Column) -> Column:
 
 
 def encyclopedia_gate(text: Column, digits: int = 50, least_words: int = 70, special: int = 50) -> Column:
-    """Whether an article passes: not too short, few digits, enough words, few characters beyond letters and digits."""
+    """Whether an article passes: not too short, few digits, enough words, few characters beyond letters and digits. The limits are fixed values."""
     share = lambda pattern: F.floor(100 * F.length(F.regexp_replace(text, pattern, "")) / F.length(text))
     fine = (share(r"[^\p{Nd}]") <= digits) & (F.size(words(text)) >= least_words) & (share(r"[\p{L}\p{N}]") <= special)
     return F.when(F.length(text) < 10, F.lit(False)).otherwise(F.coalesce(fine, F.lit(False)))
 
 
+def truncated(text: Column, n: int = 100) -> Column:
+    """The first ``n`` characters."""
+    return F.substring(text, 1, n)
+
+
+def plain_article(text: Column) -> Column:
+    """Without marks such as ``^(1)``; blank lines and lines of empty brackets go, paragraphs stay apart by one empty line."""
+    bare = F.regexp_replace(text, r"\^\([^)]+\)", "")
+    emptied = F.regexp_replace(bare, r"(?m)^[^\S\n]*(\[\])?[^\S\n]*$", "\n")
+    return F.regexp_replace(emptied, r"\n{2,}", "\n\n")
+
+
+def unlabelled(line: Column) -> Column:
+    """A labelled line without its label; null where there is no space."""
+    at = F.instr(line, " ")
+    return F.when(at > 0, F.substring(line, at + 1, F.length(line)))
+
+
+def line_id(number: Column, line: Column) -> Column:
+    """A hash of a line and its number."""
+    return F.sha2(F.concat(number.cast("string"), F.lit(":"), line), 256)
+
+
+def listed_extension(values: Column) -> Column:
+    """The normalised extension of a list that holds one value; null for others."""
+    return F.when(F.size(values) == 1, normalised_extension(values[0]))
+
+
+def any_text(record: Column, fields: Sequence[str], lists: Sequence[str] = ()) -> Column:
+    """A text from a JSON record: the first field with text, else the first list, joined by lines, else title and body, else the record."""
+    at = lambda name: F.get_json_object(record, f"$['{name}']")
+    array = lambda name: F.from_json(at(name), "array<string>")
+    plain = [F.when((strip(at(n)) != "") & ~F.startswith(at(n), F.lit("[")), at(n)) for n in fields]
+    joined = [F.when(F.size(F.array_compact(array(n))) > 0, F.array_join(F.array_compact(array(n)), "\n")) for n in (*fields, *lists)]
+    title, body = at("title"), at("body")
+    page = F.when(title.isNotNull() & body.isNotNull(), F.concat(strip(title), F.lit("\n\n"), strip(body)))
+    return F.coalesce(*plain, *joined, page, F.when(strip(title) != "", title), record)
+
+
+def any_id(record: Column, fields: Sequence[str], fallback: str, index: Column) -> Column:
+    """The first identifier of a JSON record or of its metadata, else a name with a six-digit number."""
+    found = [F.get_json_object(record, f"${path}['{n}']") for path in ("", ".metadata") for n in fields]
+    return F.coalesce(*(F.when(c != "", c) for c in found), F.format_string(f"{fallback}_%06d", index))
+
+
+#: Names of collections that are not for training.
+_HELD_OUT = re.compile("[^a-zA-Z]test[^a-zA-Z]|validation")
+
+
+def check_train_paths(paths: Sequence[str]) -> None:
+    """Raises when a path looks like a test or validation collection."""
+    for path in paths:
+        if _HELD_OUT.search(path):
+            raise ValueError(f"{path} looks like a collection that is not for training")
+
+
 def first_text(candidates: Sequence[Column]) -> Column:
     """The first candidate that is not blank."""
     return F.coalesce(*(F.when(F.trim(c) != "", c) for c in candidates))

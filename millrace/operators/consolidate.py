@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,20 +36,42 @@ class Threshold:
         return ~inside if self.reverse else inside
 
 
-def quantile(frame: DataFrame, column: str, q: float, approximate: bool = False) -> float | None:
-    """The discrete quantile of a column; approximate ones come from a mergeable sketch."""
-    name = "approx_percentile" if approximate else "percentile_disc"
-    expression = F.percentile_approx(column, q, 100_000) if approximate else F.expr(f"{name}({q}) WITHIN GROUP (ORDER BY {column})")
-    return frame.agg(expression.alias("q")).first()["q"]
+def sketch_quantile(frame: DataFrame, column: str, q: float, accuracy: float = 0.01) -> float | None:
+    """A quantile of a column within a relative ``accuracy``: values are counted in buckets that grow by a factor.
 
+    Buckets are aggregated inside tasks before the shuffle and number a few thousand at most,
+    whatever the number of rows: sketches of parts merge by adding counts.
+    """
+    gamma = (1 + accuracy) / (1 - accuracy)
+    value = F.col(column).cast("double")
+    size = F.ceil(F.ln(F.abs(value)) / math.log(gamma))
+    bucketed = frame.where(value.isNotNull() & ~F.isnan(value)).select(F.signum(value).cast("int").alias("sign"), F.when(value != 0, size).alias("bucket"))
+    counts = bucketed.groupBy("sign", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return None
+    ordered = sorted(counts, key=lambda r: (r["sign"], (r["bucket"] or 0) * r["sign"]))
+    rank, seen = q * (sum(r["n"] for r in ordered) - 1), 0
+    for r in ordered:
+        seen += r["n"]
+        if seen > rank:
+            return 0.0 if r["sign"] == 0 else r["sign"] * 2 * gamma ** r["bucket"] / (gamma + 1)
+    return None
 
-def keep(docs: DataFrame, attributes: DataFrame, thresholds: list[Threshold], identifier: str, approximate: bool = False) -> DataFrame:
+
+def quantile(frame: DataFrame, column: str, q: float, exact: bool = False) -> float | None:
+    """The quantile of a column: from a mergeable sketch, or with ``exact`` the discrete one, which holds all distinct values in one task."""
+    if not exact:
+        return sketch_quantile(frame, column, q)
+    return frame.agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})").alias("q")).first()["q"]
+
+
+def keep(docs: DataFrame, attributes: DataFrame, thresholds: list[Threshold], identifier: str, exact: bool = False) -> DataFrame:
     """Documents with attributes that pass every threshold; documents without attributes go."""
     columns = [t.column for t in thresholds]
     one = attributes.select(identifier, *columns).groupBy(identifier).agg(*(F.max(c).alias(c) for c in columns))
     for t in thresholds:
         if t.keep_fraction is not None:
-            t = Threshold(t.column, lower=quantile(one, t.column, 1 - t.keep_fraction, approximate))
+            t = Threshold(t.column, lower=quantile(one, t.column, 1 - t.keep_fraction, exact))
         one = one.where(t.condition())
     return docs.join(one.select(identifier), identifier, "left_semi")
 

@@ -173,3 +173,16 @@ def fuzzy_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     joined = docs.select(identifier).join(components, F.col(identifier) == F.col("node"), "left")
     component = F.coalesce("component", identifier)
     return joined.select(identifier, component.alias("component"), (component != F.col(identifier)).alias("fuzzy_duplicate"))
+
+
+def fuzzy_counters(components: DataFrame, component: str = "component") -> DataFrame:
+    """The counters of groups of near-duplicates: a document alone is unique."""
+    return duplicate_counters(components.groupBy(component).agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def voted_first(rows: DataFrame, votes: str, least: int, key: str, file: str, position: str) -> DataFrame:
+    """Rows with enough votes, of each key the first in each file; combined inside tasks before the shuffle."""
+    enough = rows.where(F.col(votes) >= least)
+    others = [c for c in rows.columns if c not in (file, key)]
+    first = enough.groupBy(file, key).agg(F.min_by(F.struct(*others), F.col(position)).alias("__first"))
+    return first.select(*(F.col(c) if c in (file, key) else F.col(f"__first.{c}").alias(c) for c in rows.columns))

@@ -347,7 +347,7 @@ def consolidate_thresholds(t):
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= (SELECT quantile_disc(n_chars, 0.7) FROM documents)")
 def consolidate_keep_fraction(t):
     own = t.documents.select("doc_id", "n_chars")
-    return consolidate.keep(own, own.select("doc_id", F.col("n_chars").alias("score")), [consolidate.Threshold("score", keep_fraction=0.3)], "doc_id")
+    return consolidate.keep(own, own.select("doc_id", F.col("n_chars").alias("score")), [consolidate.Threshold("score", keep_fraction=0.3)], "doc_id", exact=True)
 
 
 @query(f"""WITH {_MARKED}, kept AS (SELECT doc_id, pos, line, b FROM lines),
