@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import replace_all, strip
+from .sampling import draw
 
 ROLES = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "system": "system", "tool": "tool"}
 
@@ -136,7 +137,7 @@ def with_system(messages: Column, system: Column) -> Column:
 
 def question_page_markdown(title: Column, question: Column, answers: Column, tags: Column, seed: str, identifier: Column) -> Column:
     """A page of a question and its answers in the order given; votes stand after or, by a coin of the id, before an answer."""
-    first = F.pmod(F.xxhash64(F.lit(seed), identifier), F.lit(2)) == 0
+    first = draw(seed, identifier) < 0.5
     votes = lambda a: F.concat(F.lit("> "), a["votes"].cast("string"), F.lit(" votes"))
     one = lambda a: F.concat(F.lit("\n\n# Answer\n"), F.when(first, F.concat(a["body"], F.lit("\n"), votes(a))).otherwise(F.concat(votes(a), F.lit("\n"), a["body"])))
     tagged = F.when(F.size(tags) > 0, F.concat(F.lit("\n\n---\nTags: "), F.array_join(tags, ", "), F.lit("\n---"))).otherwise("")

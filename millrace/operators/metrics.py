@@ -186,7 +186,7 @@ def scaling_fit(runs: DataFrame, parameters: str, tokens: str, loss: str) -> tup
 
 def mean_minutes(begin: Column, end: Column) -> Column:
     """The mean of some durations, in minutes."""
-    return F.avg((F.unix_micros(end) - F.unix_micros(begin)) / 60_000_000)
+    return F.avg(F.timestamp_diff("MICROSECOND", begin, end) / 60_000_000)
 
 
 def closed_since(closed: Column, since: str) -> Column:

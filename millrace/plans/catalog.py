@@ -203,19 +203,10 @@ def record_ids(t):
     return t.conversations.select("conv_id", "turn", text.record_id(F.when(F.col("turn") > 0, F.col("conv_id")), F.col("text")).alias("id"))
 
 
-def _word_ngrams(docs: DataFrame) -> DataFrame:
-    grams = docs.select("doc_id", F.posexplode(text.ngrams(text.words(F.col("text")), 4, stride=1)).alias("p", "gram"))
-    return grams.select("doc_id", (2 * F.col("p") + 1).cast("long").alias("pos"), "gram")
-
-
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE n_chars < 400) SELECT doc_id, i::BIGINT AS pos, array_to_string(w[i:i+3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2, 2)) AS i FROM w WHERE len(w) >= 4)")
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents) SELECT doc_id, i::BIGINT AS pos, array_to_string(w[i:i+3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2, 2)) AS i FROM w WHERE len(w) >= 4)")
 def word_ngrams(t):
-    return _word_ngrams(t.documents.where("n_chars < 400"))  # as its SQL has it
-
-
-@query()
-def word_ngrams_all(t):
-    return _word_ngrams(t.documents)
+    grams = t.documents.select("doc_id", F.posexplode(text.ngrams(text.words(F.col("text")), 4, stride=1)).alias("p", "gram"))
+    return grams.select("doc_id", (2 * F.col("p") + 1).cast("long").alias("pos"), "gram")
 
 
 _LINES = """lines AS (SELECT doc_id, pos, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(line) - 1)::BIGINT AS b
@@ -463,10 +454,21 @@ def linear_permutation(t):
     return t.spark.range(1000).select(F.col("id").alias("idx"), training.linear_permutation(F.col("id"), 1000, 7, 3).alias("permuted"))
 
 
-@query("SELECT range AS permuted, 1::BIGINT AS n FROM range(1000)")
+def _network_sql(source: str, value: str, keys: tuple[int, ...], half: int) -> str:
+    """``idx, x``: the values of ``source`` after the network, round by round."""
+    mask = (1 << half) - 1
+    inner = f"SELECT idx, {value} >> {half} AS l, {value} & {mask} AS r FROM {source}"
+    for key in keys:
+        inner = f"SELECT idx, r AS l, xor(l, ((r * {training.FEISTEL_FACTOR} + {key}) & {mask})) AS r FROM ({inner})"
+    return f"SELECT idx, (l << {half}) | r AS x FROM ({inner})"
+
+
+_KEYS = (11, 222, 3333, 44444, 555555)
+
+
+@query(f"WITH RECURSIVE walk AS ({_network_sql('(SELECT range AS idx, range AS x FROM range(1000))', 'x', _KEYS, 5)} UNION ALL {_network_sql('(SELECT idx, x FROM walk WHERE x >= 1000)', 'x', _KEYS, 5)}) SELECT idx, x AS permuted FROM walk WHERE x < 1000")
 def feistel_permutation(t):
-    permuted = t.spark.range(1000).select(training.feistel_permutation(F.col("id"), 1000, (11, 222, 3333, 44444, 555555)).alias("permuted"))
-    return permuted.groupBy("permuted").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.range(1000).select(F.col("id").alias("idx"), training.feistel_permutation(F.col("id"), 1000, _KEYS).alias("permuted"))
 
 
 @query("SELECT range AS idx, (range // 64) * 64 + (101 * (range % 64) + 5) % least(64, 1000 - (range // 64) * 64) AS permuted FROM range(1000)")
@@ -474,10 +476,11 @@ def era_permutation(t):
     return t.spark.range(1000).select(F.col("id").alias("idx"), training.era_permutation(F.col("id"), 1000, 64, 101, 5).alias("permuted"))
 
 
-@query("SELECT block, dataset, n FROM range(4) b(block), (VALUES ('a', 5::BIGINT), ('b', 3::BIGINT), ('c', 2::BIGINT)) d(dataset, n)")
+@query("""WITH s AS (SELECT range AS idx, range // 10 AS block, (1000003 * (range % 10) + (range // 10) * 7919) % 10 AS slot FROM range(70))
+SELECT idx, block, CASE WHEN slot < 5 THEN 'a' WHEN slot < 8 THEN 'b' ELSE 'c' END AS dataset,
+CASE WHEN slot < 5 THEN (block * 5 + slot) % 5 WHEN slot < 8 THEN (block * 3 + slot - 5) % 7 ELSE (block * 2 + slot - 8) % 3 END AS item FROM s""")
 def mixture_blocks(t):
-    mixed = training.mixture_blocks(t.spark, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 5, "b": 5, "c": 5}, 4, 10)
-    return mixed.groupBy("block", "dataset").agg(F.count(F.lit(1)).alias("n"))
+    return training.mixture_blocks(t.spark, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 5, "b": 7, "c": 3}, 7, 10)
 
 
 @query("WITH o AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY md5('slice:' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS b FROM documents) SELECT doc_id, n_chars FROM o WHERE b <= 500000")
@@ -485,13 +488,16 @@ def token_budget(t):
     return training.token_budget(t.documents.select("doc_id", "n_chars"), 500_000, "doc_id", "n_chars")
 
 
-@query("SELECT p.range AS position, p.range % 1000 AS idx, p.range // 1000 AS epoch, n_chars FROM range(2500) p JOIN documents ON doc_id = p.range % 1000")
+_NUMBERED = "d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n, n_chars FROM documents)"
+
+
+@query(f"WITH {_NUMBERED}, p AS (SELECT unnest(range((SELECT 5 * count(*) // 2 FROM documents))) AS position) SELECT position, idx, position // n AS epoch, n_chars FROM p JOIN d ON idx = position % n")
 def epoch_wrap(t):
     indexed, n = training.numbered(t.documents.select("doc_id", "n_chars"), "doc_id")
     return training.epochs(indexed.drop("doc_id"), n, 5 * n // 2)
 
 
-@query("SELECT doc_id AS idx FROM documents WHERE doc_id < 250")
+@query(f"WITH {_NUMBERED} SELECT idx FROM d WHERE idx < n // 4")
 def simulated_epoch(t):
     indexed, n = training.numbered(t.documents.select("doc_id"), "doc_id")
     return training.simulated_epoch(indexed.select("idx"), n, 1, 4)
@@ -541,6 +547,9 @@ def sessions(t):
     return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("session")
 
 
+from . import further  # noqa: E402, F401  (registers more queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: function for name, (function, _) in CATALOG.items()}
 

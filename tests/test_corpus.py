@@ -31,7 +31,7 @@ def test_word_ngrams_of_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     words = [(t or "").split() for t in texts]
     want = sorted((i, at + 1, " ".join(w[at : at + 4])) for i, w in enumerate(words) for at in range(0, len(w) - 3, 2))
-    assert values(catalog.queries()["word_ngrams_all"](spark, str(tmp_path)), "doc_id", "pos", "gram") == want
+    assert values(catalog.queries()["word_ngrams"](spark, str(tmp_path)), "doc_id", "pos", "gram") == want
 
 
 def test_hash_vectors(spark):
