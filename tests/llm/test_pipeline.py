@@ -27,11 +27,31 @@ def test_pipeline(spark, tmp_path):
     assert got == want and len(got) > 60
 
 
-@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize("k", range(5))
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path, k):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, size double"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, size double, ids string"
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.createDataFrame([(1, None, None, None, None, None, None), (None, "some words of no id but more than ten of them in one row", "en", None, 3, "k", 1.0)] * 2, schema)
+    long = "a very long text of many words " * 3000
+    rows = [(1, None, None, None, None, None, None, None), (None, "some words of no id but more than ten of them in one row", "en", None, 3, "k", 1.0, "x")] * 2
+    rows += [(2, "", "en", "s", 0, "k", 1.0, "x"), (3, long, "en", "s", 9, "k", 1.0, "x"), (3, "another text of the same id with more than ten words in it", "en", "s", 9, "k", 1.0, "x")]
+    docs = spark.createDataFrame(rows, schema)
     for frame in (docs, docs.limit(0)):
         out = corpus_pipeline.STAGES[k][1](spark, frame, str(tmp_path))
-        assert out.columns == docs.columns and out.collect() is not None
+        found = out.collect()
+        assert out.columns == (docs.columns if k < 4 else ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered_bytes"])
+        if frame is docs:
+            assert len(found) == {0: 3, 1: 6, 2: 7, 4: 7}.get(k, len(found)) and (k != 3 or {r.doc_id for r in found} <= {None, 3})
+        else:
+            assert not found
+
+
+def test_stages_leave_nothing_behind(spark, tmp_path):
+    import os
+
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    spark.createDataFrame([(i, text(i), "en", "s", 9) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 30
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    newest = max((d for d in os.listdir(base) if d.startswith("pipeline-")), key=lambda d: os.path.getmtime(f"{base}/{d}"))
+    assert os.listdir(f"{base}/{newest}") == ["3-mixing"]
