@@ -366,9 +366,13 @@ def _linked(rows: DataFrame, texts: Texts, width: int, percent: int) -> DataFram
 
     wanted = rows.select("id").distinct().join(texts.heads, "id")
     small = wanted.count() <= MOST_BROADCAST_IDS
-    picked = texts.rows.join(F.broadcast(wanted) if small else wanted, ["doc", "text_hash"])
-    # Rows that repeat an id and its text are one.
-    placed = rows.join(picked.groupBy("id").agg(F.first("text").alias("text")), "id")
+    wanted = F.broadcast(wanted) if small else wanted
+    picked = texts.rows.join(wanted, ["doc", "text_hash"]).select("id", "text")
+    # Rows that repeat an id and its text are one; seldom are there any, and then no text is shuffled for them.
+    narrow = texts.rows.select("doc", "text_hash").join(wanted, ["doc", "text_hash"])
+    if narrow.groupBy("id").count().where("count > 1").take(1):
+        picked = picked.groupBy("id").agg(F.first("text").alias("text"))
+    placed = rows.join(picked, "id")
     return _dealt(placed).select(*_TILE, "text").mapInArrow(run, "a long, b long")
 
 

@@ -11,15 +11,18 @@ as many rotations as it takes for a pair just at the threshold to share a cell s
 probability ``recall``. The number of dimensions of a block follows the number of vectors, so
 that unrelated vectors seldom share a cell, and work grows as about the power 1.2 of it.
 
-A first pass over a few blocks links each vector to the least one of its cell only. Copies
-that the first pass has joined are not compared again in the full pass: a group of thousands
-of copies gives as many links, not their square. All links lie inside components, so links
-are counted there in the end, exactly, over tiles of two chunks of a component.
-
-Defined results: vectors that are null, zero, or hold null or non-finite components, have no
-links and are their own component, as are vectors of an odd length for which no other is;
-rows with equal ids are one vector, the first in order of its components; an empty table
-gives no rows; other columns are not read.
+Equal vectors are one class at once, with a weight. A first pass over a few blocks links each
+class to the least one of its cell only. Classes that the first pass has joined are not
+compared again in the full pass: a group of thousands of near copies gives as many links, not
+their square. There a cell is cut into chunks, and every two chunks are a tile that compares
+sketches and lets candidates out, so that a crowded cell is dealt over many tasks. All links
+lie inside components, so links are counted there in the end, exactly and by weight, over
+tiles of two chunks of a component.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components, or have
+no id, have no links and are their own component, as are vectors of an odd length for which no
+other is; rows with equal ids are vectors of their own, each with its links; an empty table
+gives no rows; other columns are not read. Fingerprints of 128 bits tell vectors apart.
 """
 
 from __future__ import annotations
@@ -33,14 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.durable import materialise
+from ..operators.durable import materialise, tasks_for
 
 #: Side of a cell as a share of the typical size of a coordinate's part of a unit vector.
 SIDE = 2.0
 #: Vectors in one chunk of a component while links are counted.
 CHUNK = 512
-#: Sketch bits, and how many of them a candidate may differ in: over five standard deviations above the mean at a cosine of 0.95.
+#: Sketch bits, and how many of them a candidate may differ in: over six standard deviations above the mean at a cosine of
+#: 0.95, where a bit differs with a chance of 0.101. A recall parameter: at most one pair in 1e9 at the threshold is lost by it.
 SKETCH_BITS, SKETCH_DIFFER = 128, 42
+#: Classes that are broadcast at most, some 8 MB.
+MOST_BROADCAST = 250_000
 
 
 class Plan:
@@ -57,7 +63,8 @@ class Plan:
         self.dims = min(length, max(2, math.ceil(math.log(max(count, 2)) / -math.log(unrelated))))
         self.blocks = max(1, length // self.dims)
         tables = math.log(1 - recall) / math.log(1 - near**self.dims)
-        self.rotations = math.ceil(tables / self.blocks)
+        # The fewer dimensions, the more the blocks of a rotation depend on each other.
+        self.rotations = math.ceil(tables * (1 + 4 / length) / self.blocks)
         self.random = np.random.Generator(np.random.PCG64([length, self.dims]))
         self.turns = [np.linalg.qr(self.random.standard_normal((length, length)))[0] for _ in range(self.rotations)]
         self.offsets = self.random.uniform(0, self.side, (self.rotations, length))
@@ -99,12 +106,16 @@ def _units(column: pa.Array, length: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``id, vector`` of the vectors that can have links, one row an id; components in double precision."""
+def fingerprinted(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """``id, h0, h1, vector`` of every row; the fingerprint and the vector, in double precision, are null where it can have no links."""
     vector = F.col(vector_column).cast("array<double>")
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    own = vectors.select(F.col(id_column).cast("long").alias("id"), vector.alias("vector")).where("id is not null and vector is not null").where(fine)
-    return own.groupBy("id").agg(F.min("vector").alias("vector"))
+    own = vectors.select(F.col(id_column).cast("long").alias("id"), vector.alias("vector"))
+    own = own.withColumn("vector", F.when(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)), F.col("vector")))
+    # A negative zero is a zero.
+    own = own.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    known = F.col("vector").isNotNull()
+    return own.select("id", F.when(known, F.xxhash64("vector")).alias("h0"), F.when(known, F.xxhash64(F.lit(7), "vector")).alias("h1"), "vector")
 
 
 def _cell_rows(frame: DataFrame, length: int, of: tuple, rotations: int, extra: list[str]) -> DataFrame:
@@ -158,38 +169,88 @@ def links(vectors: DataFrame, length: int, cosine: float, recall: float) -> Data
     known = vectors.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "vector", F.coalesce("component", "id").alias("group"))
     rows = _cell_rows(known, length, of, made.rotations, ["group"])
     # Within a cell only vectors of different groups meet; most cells with company are one group, and drop out here.
-    mixed = rows.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("cell")
-    rows = materialise(rows.join(mixed, "cell", "left_semi"))
-    one, two = rows.alias("one"), rows.alias("two")
-    pairs = one.join(two, F.col("one.cell") == F.col("two.cell")).where((F.col("one.id") < F.col("two.id")) & (F.col("one.group") != F.col("two.group"))).where(_alike("one", "two"))
-    more = _verified(pairs.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct(), vectors, cosine)
+    mixed = rows.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("cell", "n")
+    crowded = rows.join(mixed, "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    more = _verified(materialise(_candidates(crowded).distinct()), vectors, cosine)
     return found.unionByName(more)
 
 
+def _tiled(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, low, high, chunk`` and the columns: rows of a key with ``chunks``, dealt to the tiles of every two of its chunks."""
+    cut = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = tiles.select(key, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", *columns)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(partitions, key, "low", "high").sortWithinPartitions(key, "low", "high", "chunk", "id")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different groups in a cell whose sketches agree enough."""
+
+    def pairs(ids: np.ndarray, groups: np.ndarray, sketch: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = (np.flatnonzero(own), np.flatnonzero(~own)) if not own.all() else (np.arange(len(ids)), np.arange(len(ids)))
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            differ = np.bitwise_count(sketch[part, None] ^ sketch[None, right]).sum(axis=2)
+            near = (differ <= SKETCH_DIFFER) & (groups[part, None] != groups[None, right])
+            if own.all():
+                near &= ids[part, None] < ids[None, right]
+            i, j = np.nonzero(near)
+            if len(i):
+                one, two = ids[part[i]], ids[right[j]]
+                yield np.minimum(one, two), np.maximum(one, two)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        names = ["cell", "low", "high", "chunk", "id", "group", "s0", "s1"]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held is not None and len(held[4]) > 1:
+                for a, b in pairs(held[4], held[5], np.stack(held[6:8], axis=1).astype(np.uint64, copy=False), held[3] == held[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in names]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = [c[begin:end] for c in columns]
+                if held is not None and all(held[k][0] == part[k][0] for k in range(3)):
+                    held = [np.concatenate([x, y]) for x, y in zip(held, part)]
+                    continue
+                yield from close()
+                held = part
+        yield from close()
+
+    return _tiled(rows, "cell", ["id", "group", "s0", "s1"]).mapInArrow(run, "a long, b long")
+
+
 def count_links(members: DataFrame, cosine: float) -> DataFrame:
-    """``id, n_links`` inside components; ``members`` has ``id, component, vector``.
+    """``id, n_links`` inside components; ``members`` has ``id, component, weight, vector``.
 
     A component is cut into chunks by a hash; every two chunks make a tile. A tile's counts
-    leave its task, not its pairs, and no task holds more than two chunks of a component.
+    leave its task, not its pairs, and no task holds more than two chunks of a component. A
+    class counts as many times as it has vectors, and its own vectors are linked with each other.
     """
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    cut = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("id", "vector", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.repartition(partitions, "component", "low", "high").sortWithinPartitions("component", "low", "high", "chunk")
+    sizes = materialise(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).coalesce(8))
+    few = sizes.count() <= MOST_BROADCAST
+    cut = members.join(F.broadcast(sizes) if few else sizes, "component").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
 
     def counted(rows: list) -> pa.RecordBatch:
         ids, chunks, low, high = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), rows[0][2], rows[0][3]
-        unit = np.stack([r[4] for r in rows])
+        weight = np.array([r[4] for r in rows], np.int64)
+        unit = np.stack([r[5] for r in rows])
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         own = chunks == low
         if low == high:
-            n = (unit @ unit.T >= cosine).sum(axis=1) - (np.einsum("ij,ij->i", unit, unit) >= cosine)
+            close = unit @ unit.T >= cosine
+            np.fill_diagonal(close, False)
+            n = close @ weight + weight - 1
         else:
             close = unit[own] @ unit[~own].T >= cosine
             n = np.zeros(len(ids), np.int64)
-            n[own], n[~own] = close.sum(axis=1), close.sum(axis=0)
+            n[own], n[~own] = close @ weight[~own], weight[own] @ close
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64))], names=["id", "n_links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,31 +260,46 @@ def count_links(members: DataFrame, cosine: float) -> DataFrame:
                 continue
             vectors = batch.column("vector")  # of one length in a component, of any in a batch
             values, edges = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-            for i, (vec, component, chunk, low, high) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "component", "chunk", "low", "high")))):
+            columns = (batch.column(c).to_pylist() for c in ("id", "component", "chunk", "low", "high", "weight"))
+            for i, (vec, component, chunk, low, high, weight) in enumerate(zip(*columns)):
                 if at != (component, low, high):
                     if held:
                         yield counted(held)
                     held, at = [], (component, low, high)
-                held.append((vec, chunk, low, high, values[edges[i] : edges[i + 1]].astype(np.float64)))
+                held.append((vec, chunk, low, high, weight, values[edges[i] : edges[i + 1]].astype(np.float64)))
         if held:
             yield counted(held)
 
+    tiles = _tiled(cut, "component", ["id", "weight", "vector"])
     return tiles.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99999, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``id, n_links, component_id, kept`` of every row of ``vectors``."""
-    fine = materialise(usable(vectors, id_column, vector_column).withColumn("length", F.size("vector")))
-    lengths = [r["length"] for r in fine.select("length").distinct().collect()]  # as many as the table has kinds of vectors
+    rows = fingerprinted(vectors, id_column, vector_column)
+    # Copies are combined inside tasks before the shuffle; classes are numbered, and the numbers stored.
+    grouped = rows.where("h0 is not null").groupBy("h0", "h1").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
+    classes = materialise(grouped.select(F.monotonically_increasing_id().alias("id"), "h0", "h1", "doc", "weight", F.size("vector").alias("length"), "vector"))
+    # One plan of rotations for each length that at least two vectors have; a table of embeddings has few.
+    lengths = [r["length"] for r in classes.groupBy("length").count().where("count > 1").select("length").collect()]
     edges = None
     for length in lengths:
-        own = links(fine.where(F.col("length") == length).select("id", "vector"), length, cosine, recall)
+        own = links(classes.where(F.col("length") == length).select("id", "vector"), length, cosine, recall)
         edges = own if edges is None else edges.unionByName(own)
-    ids = vectors.select(F.col(id_column).cast("long").alias("id"))
+    alone = classes.select("h0", "h1", (F.col("weight") - 1).alias("n_links"), "doc")
     if edges is None:
-        out = ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        placed = alone
     else:
-        components = connected_components(edges).withColumnRenamed("node", "id")
-        counts = count_links(components.join(fine.select("id", "vector"), "id"), cosine)
-        out = ids.join(components.join(counts, "id", "left"), "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        members = materialise(connected_components(edges).withColumnRenamed("node", "id"))
+        known = members.join(classes.select("id", "doc", "weight", "vector"), "id")
+        heads = materialise(known.groupBy("component").agg(F.min("doc").alias("head")).coalesce(tasks_for(classes.count())))
+        few = heads.count() <= MOST_BROADCAST
+        counts = count_links(known.drop("doc"), cosine)
+        joined = members.join(F.broadcast(heads) if few else heads, "component").join(counts, "id").select("id", F.col("n_links").alias("own_links"), "head")
+        placed = classes.select("id", "h0", "h1", "doc", "weight").join(joined, "id", "left")
+        placed = placed.select("h0", "h1", F.coalesce("own_links", F.col("weight") - 1).alias("n_links"), F.coalesce("head", "doc").alias("doc"))
+    placed = materialise(placed)
+    small = placed.count() <= MOST_BROADCAST
+    out = rows.select("id", "h0", "h1").join(F.broadcast(placed) if small else placed, ["h0", "h1"], "left")
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("doc", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -154,6 +154,53 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def brute_rows(rows, cosine=0.95):
+    """Links and the least id of the component of every row, rows being vectors of their own."""
+    plain = brute_vectors([(k, v if i is not None else None) for k, (i, v) in enumerate(rows)], cosine)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[plain[k][1]].append(i)
+    return sorted(((str(i), plain[k][0], min(least[plain[k][1]]) if i is not None else None) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("bound", [250_000, 0])
+def test_near_vectors_of_repeated_and_missing_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_vectors, "MOST_BROADCAST", bound)
+    monkeypatch.setattr(near_vectors, "CHUNK", 8)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((12, 16))
+    rows = []
+    for i in range(300):
+        v = base[i % 12] + rng.standard_normal(16) * (0.0 if i % 3 == 0 else 0.12)
+        rows.append((int(rng.integers(0, 150)) if i % 10 else None, [float(x) for x in v]))
+    rows += [(7, [0.0] * 16), (7, [-0.0, 1.0] + [0.0] * 14), (400, [0.0, 1.0] + [0.0] * 14), (401, [0.0, 2.0] + [0.0] * 14), (402, None), (403, [1.0]), (404, [1.0, float("nan")])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, vector string")
+    got = sorted(((str(r.vec_id), r.n_links, r.component_id) for r in near_vectors.near_duplicates(frame).collect()), key=repr)
+    assert got == brute_rows(rows)
+    assert near_vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [8, 64])
+def test_near_vectors_just_at_the_threshold(spark, length):
+    rng = np.random.default_rng(length)
+    rows = []
+    for k in range(1500):
+        one, turn = rng.standard_normal((2, length))
+        one /= np.linalg.norm(one)
+        turn -= (turn @ one) * one
+        turn /= np.linalg.norm(turn)
+        for n, cosine in enumerate((1.0, 0.9500001, 0.9499999)):
+            rows.append((10 * k + n, cosine * one + np.sqrt(1 - cosine**2) * turn * (1 if n < 2 else -1)))
+    unit = np.stack([v / np.linalg.norm(v) for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    want = dict(zip(ids.tolist(), ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(frame).collect()}
+    missed = sum(max(0, want[i] - got[i]) for i in want)
+    assert all(got[i] <= want[i] for i in want) and missed <= 2
+
+
 def test_quality_counts_and_guarantee(spark, docs):
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 1)], "doc_id long, quality int")
     got = quality.judge(docs, labels).collect()
