@@ -12,9 +12,11 @@ Inside a node, sketches of the minwise tokens estimate similarity. The texts tha
 link there, and no others, are brought to the node and compared exactly, on the full sets of
 their whole texts; of two texts that meet in several nodes only the least node takes care.
 What leaves a node is links that join groups, fewer than its texts, and never its pairs.
-Nodes that stay large, groups of near copies, are cut into chunks. Each chunk is compared in
-itself first; then the texts outside the node's largest component meet every chunk, while
-those inside it have nothing left to find among each other.
+Nodes that stay large are cut into chunks, and each chunk is compared in itself first. If most
+of a node is then one component, a group of near copies, the texts outside it meet every
+chunk, while those inside it have nothing left to find among each other. If not, its texts
+share a passage and little more: such a node branches on, by further tokens, until its parts
+are small or alike.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links;
 a text with fewer words than a shingle has one shingle, the sequence of its words; a null id
@@ -42,8 +44,10 @@ from .batches import sliced
 TOKENS, TREES, BRANCHES, LEVELS = 96, 10, 2, 4
 #: A node up to this size is compared exhaustively; also the size of chunks.
 SMALL = 256
-#: A node's members are alike when a child keeps more than this share of them.
+#: A node's members may be alike when a child keeps more than this share of them.
 SHRINKS = 0.3
+#: A node is alike when one component is more than this share of it, or one child; others branch on, by so many levels.
+ALIKE, MORE_LEVELS = 0.6, 7
 #: Classes that are broadcast at most to pick their texts, some 8 MB; beyond it all texts are shuffled to them.
 MOST_BROADCAST_IDS = 250_000
 #: Minwise tokens in which a pair may fall short of the threshold, in standard deviations, before it is compared on full
@@ -190,17 +194,16 @@ def _children(frame: DataFrame, branches: int) -> DataFrame:
     return frame.select("node", "id", "tokens").mapInArrow(run, "node long, id long, parent long")
 
 
-def leaves(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
-    """``node, id, size`` for the classes in company at the ends of all trees.
+def leaves(classes: DataFrame, roots: DataFrame, branches: int = BRANCHES, levels: int = LEVELS, shrinks: float = SHRINKS) -> DataFrame:
+    """``node, id, size`` for the classes in company at the ends of the trees that begin at ``node, id, tokens``.
 
-    A large node whose largest child keeps more than ``SHRINKS`` of it is an end too: its
+    A large node whose largest child keeps more than ``shrinks`` of it is an end too: its
     members are alike, and further tokens would not tell them apart.
     """
-    roots = classes.select("id", "tokens", F.explode(F.array(*(F.lit(t * 0x9E3779B1 + 1).cast("long") for t in range(trees)))).alias("node"))
     # The children of the roots are made twice, for the sizes and for those in company: most are alone.
     rows, ends, small = _children(roots, 1).select("node", "id"), [], F.col("size") <= SMALL
     # Every frame here has at most so many rows, or a few times as many; few rows need few tasks and files.
-    tasks = tasks_for(classes.count() * trees)
+    tasks = tasks_for(classes.count() * TREES)
     sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").coalesce(tasks))
     for level in range(levels):
         sized = materialise(rows.join(sizes, "node").select("node", "id", "size").coalesce(tasks))
@@ -213,11 +216,12 @@ def leaves(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, lev
         counts = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("parent").alias("parent")).where("size > 1")
         counted = materialise(counts.coalesce(tasks))
         kept = counted.groupBy("parent").agg(F.max("size").alias("most"))
-        alike = large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > SHRINKS * F.col("size"))
+        alike = large.join(kept, large["node"] == kept["parent"]).where(F.col("most") > shrinks * F.col("size"))
         stubborn = materialise(alike.select("node").coalesce(tasks))
         ends.append(materialise(members.join(stubborn, "node", "left_semi").coalesce(tasks)))
-        rows = children.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "id")
-        sizes = counted.join(stubborn.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "size")
+        gone = stubborn.select(F.col("node").alias("parent"))
+        rows = children.join(gone, "parent", "left_anti").select("node", "id")
+        sizes = counted.join(gone, "parent", "left_anti").select("node", "size")
     out = ends[0]
     for more in ends[1:]:
         out = out.unionByName(more)
@@ -387,29 +391,66 @@ def links(classes: DataFrame, texts: Texts, width: int, percent: int) -> DataFra
     """Verified links ``a, b`` between classes ``id, sketch, tokens``, enough to hold every component together."""
     share = percent / 100
     least = share - SHORT_BY * (share * (1 - share) / TOKENS) ** 0.5
-    ends = leaves(classes)
-    lists = ends.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    # Sketches are joined where they are compared, and nowhere stored with the nodes.
-    sketched = ends.join(lists, "id").join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int"))
-    own, always = F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int"), F.lit(True)
-    first = sketched.select("node", own.alias("chunk"), F.lit(0).alias("slot"), "id", F.col("id").alias("group"), always.alias("probe"), always.alias("target"), "sketch", "leaves")
-    found = materialise(_linked(materialise(_involved(first, least)), texts, width, percent))
-    # Nodes of one chunk are settled. In the others, texts outside the largest component meet every chunk.
+    starts = F.explode(F.array(*(F.lit(t * 0x9E3779B1 + 1).cast("long") for t in range(TREES))))
+    sketched = _sketched(leaves(classes, classes.select("id", "tokens", starts.alias("node"))), classes)
+    found = _inside_chunks(sketched, F.col("id"), least, texts, width, percent)
+    # Nodes of one chunk are settled.
     large = sketched.where("chunks > 1")
     if not large.take(1):
         return found
-    joined = connected_components(found).select(F.col("node").alias("id"), "component")
-    grouped = large.join(joined, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    parts = grouped.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("node").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
-    largest = materialise(largest.select("node", F.col("top.group").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / SMALL).cast("int").alias("slots")))
-    mixed = materialise(grouped.join(largest, "node"))
-    targets = mixed.select("node", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "id", "group", F.lit(False).alias("probe"), always.alias("target"), "sketch", "leaves")
-    probes = mixed.where(F.col("group") != F.col("largest")).select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot"), "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch", "leaves")
+    grouped, mixed = _mixed(large, found)
+    crowds = mixed.where(F.col("most") < ALIKE * F.col("all")).select("node")
+    if crowds.take(1):
+        members = grouped.join(crowds, "node", "left_semi").select("node", "id").join(classes.select("id", "tokens"), "id")
+        # The nodes' own numbers choose other tokens from here on.
+        parted = _sketched(leaves(classes, members, levels=MORE_LEVELS, shrinks=ALIKE), classes)
+        joined = _components(found).withColumnRenamed("component", "group")
+        known = parted.join(joined, "id", "left").withColumn("group", F.coalesce("group", "id"))
+        found = materialise(found.unionByName(_inside_chunks(known, F.col("group"), least, texts, width, percent)))
+        rest = large.join(crowds, "node", "left_anti").unionByName(parted.where("chunks > 1").select(large.columns))
+        grouped, mixed = _mixed(rest, found)
+    # In the others, texts outside the largest component meet every chunk.
+    mixed = materialise(grouped.join(mixed, "node"))
+    own, always = _own_chunk(), F.lit(True)
+    slots = F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")
+    chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    slot = F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot")
+    targets = mixed.select("node", own.alias("chunk"), slots, "id", "group", F.lit(False).alias("probe"), always.alias("target"), "sketch", "leaves")
+    probes = mixed.where(F.col("group") != F.col("largest")).select("node", chunks, slot, "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch", "leaves")
     more = _linked(materialise(_involved(targets.unionByName(probes), least)), texts, width, percent)
     return found.unionByName(more)
 
 
+def _own_chunk():
+    return F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int")
+
+
+def _components(found: DataFrame) -> DataFrame:
+    return connected_components(found).select(F.col("node").alias("id"), "component")
+
+
+def _sketched(ends: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, id, size, leaves, sketch, chunks``: sketches are joined where they are compared, and nowhere stored with the nodes."""
+    lists = ends.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
+    return ends.join(lists, "id").join(classes.select("id", "sketch"), "id").withColumn("chunks", F.ceil(F.col("size") / SMALL).cast("int"))
+
+
+def _inside_chunks(sketched: DataFrame, group, least: float, texts: Texts, width: int, percent: int) -> DataFrame:
+    """Links inside the chunks of nodes."""
+    always = F.lit(True)
+    rows = sketched.select("node", _own_chunk().alias("chunk"), F.lit(0).alias("slot"), "id", group.alias("group"), always.alias("probe"), always.alias("target"), "sketch", "leaves")
+    return materialise(_linked(materialise(_involved(rows, least)), texts, width, percent))
+
+
+def _mixed(large: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``large`` with groups, and ``node, largest, most, all, slots`` of its nodes that hold more than one group."""
+    grouped = large.join(_components(found), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    parts = grouped.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n"))
+    tops = parts.groupBy("node").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("all")).where(F.col("top.n") < F.col("all"))
+    slots = F.ceil((F.col("all") - F.col("top.n")) / SMALL).cast("int").alias("slots")
+    return grouped, materialise(tops.select("node", F.col("top.group").alias("largest"), F.col("top.n").alias("most"), "all", slots))
+
+
 def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
     """``id, text_hash, n_shingles, component_id, head_hash`` of every row.
 

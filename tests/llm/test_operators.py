@@ -322,6 +322,25 @@ def test_near_texts(spark, width, percent):
     assert got == brute_texts(rows, width, percent)
 
 
+def test_near_texts_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "SMALL", 16)
+    rng = np.random.default_rng(9)
+    word = lambda: "w" + str(int(rng.integers(0, 50_000)))
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(500):
+        # Half of each text is a passage that all share; every tenth has a near copy.
+        text = passage + [word() for _ in range(60)]
+        rows.append((i, " ".join(text)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(text[:-2] + [word(), word()])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    branched = []
+    plain = near_texts.leaves
+    monkeypatch.setattr(near_texts, "leaves", lambda *a, **k: branched.append(k) or plain(*a, **k))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_texts.near_duplicates(frame, width=3, percent=85).collect()}
+    assert got == brute_texts(rows, 3, 85) and len(branched) == 2
+
+
 def test_near_texts_odd_rows(spark, docs):
     got = near_texts.near_duplicates(docs).collect()
     assert len(got) == docs.count() and all(r.kept for r in got if r.doc_id is None)
