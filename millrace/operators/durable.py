@@ -75,10 +75,11 @@ BYTES_A_CORE = 32 << 20
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """``frame`` dealt to all cores if its files are too few or too small to feed them; as it is otherwise.
+    """``frame`` dealt to all cores if it is small and its files are fewer than cores; as it is otherwise.
 
     A file that cannot be split is one task's work. A table that can keep every core busy is never shuffled for this.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(cores) if size < cores * BYTES_A_CORE else frame
+    # Only the files of a small table are listed.
+    return frame.repartition(cores) if size < cores * BYTES_A_CORE and len(frame.inputFiles()) < cores else frame

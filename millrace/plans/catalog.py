@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
+
 from ..operators import classify, consolidate, conversations, dedup, overlap, relational, sampling, training, validate
+from ..operators.durable import spread
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -185,7 +187,7 @@ _CLEAN = f"trim(regexp_replace(translate(lower(text), '{_PUNCTUATION}', ''), '[
 
 @query(f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
 def clean_text(t):
-    return t.documents.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("SELECT doc_id, md5(text) AS hash, sha256(text) AS sha, strlen(text)::BIGINT AS bytes FROM documents")
@@ -195,7 +197,7 @@ def text_hashes(t):
 
 @query()
 def arrow_hashes(t):
-    return t.documents.select("doc_id", hashing.xxh3_64("text").alias("xxh3_64"), hashing.xxh3_128("text").alias("xxh3_128"), hashing.blake2b("text").alias("blake2b"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", hashing.xxh3_64("text").alias("xxh3_64"), hashing.xxh3_128("text").alias("xxh3_128"), hashing.blake2b("text").alias("blake2b"))
 
 
 @query("SELECT conv_id, turn, coalesce(CASE WHEN turn > 0 THEN conv_id::VARCHAR END, md5(text)) AS id FROM conversations")
@@ -241,7 +243,7 @@ def length_filter(t):
 
 @query()
 def compression_quality(t):
-    return t.documents.select("doc_id", F.round(classify.scorer("compression-v1")(F.col("text")), 6).alias("score"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.round(classify.scorer("compression-v1")(F.col("text")), 6).alias("score"))
 
 
 # Deduplication.
@@ -429,7 +431,7 @@ def choice_questions(t):
 
 
 def _word_lengths(t) -> DataFrame:
-    return t.documents.select("doc_id", "source", F.transform(text.words(F.col("text")), lambda w: F.length(w).cast("long")).alias("ids"))
+    return spread(t.documents.select("doc_id", "source", "text")).select("doc_id", "source", F.transform(text.words(F.col("text")), lambda w: F.length(w).cast("long")).alias("ids"))
 
 
 @query("""WITH w AS (SELECT source, doc_id, i, length(x)::BIGINT AS v FROM (SELECT source, doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS x, generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM documents)),
