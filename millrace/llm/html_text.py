@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.durable import materialise
+from ..operators.durable import materialise, spread
 from .batches import sliced
 from .url_filter import host_and_path
 
@@ -318,7 +318,7 @@ SALTS = 32
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_seen: int = LEAST_SEEN, low: float = LOW) -> DataFrame:
     """``id, url, text, n_chars`` of every row of ``pages``."""
     host = host_and_path(F.coalesce(F.col(url_column).cast("string"), F.lit("")))[0]
-    own = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html"))
+    own = spread(pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html")))
     nodes = materialise(_low_nodes(own, least_seen, low))
     bytes_of = F.aggregate("low", F.lit(64), lambda a, x: a + 8 * F.size(x["contents"]) + 48)
     size = nodes.agg(F.sum(F.length("host") + bytes_of)).first()[0] or 0

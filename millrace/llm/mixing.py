@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.durable import materialise, tasks_for
+from ..operators.durable import materialise, spread, tasks_for
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -133,7 +133,7 @@ def times_taken() -> Column:
     return sum((F.coalesce((F.col("hash") <= F.col(f"last_{t}")).cast("long"), F.lit(0).cast("long")) for t in range(PASSES)), F.lit(0).cast("long"))
 
 
-def _queued(docs: DataFrame, seed: str, id_column: str, text_column: str, source_column: str) -> list[Column]:
+def _queued(seed: str, id_column: str, text_column: str, source_column: str) -> list[Column]:
     text = F.col(text_column).cast("string")
     return [source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"), words(text).alias("size")]
 
@@ -145,7 +145,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     budget is ``share`` times all words. ``taken`` is the document's words that the mix has,
     0, 1 or 2 times its size.
     """
-    rows = materialise(docs.select(F.col(id_column).alias("__id"), *_queued(docs, seed, id_column, text_column, source_column)))
+    own = spread(docs.select(*dict.fromkeys([id_column, text_column, source_column])))
+    rows = materialise(own.select(F.col(id_column).alias("__id"), *_queued(seed, id_column, text_column, source_column)))
     out = with_sources(rows, last_taken(rows, weights, share))
     return out.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
 
@@ -155,7 +156,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
 
     Rows without words are not taken.
     """
-    queues = materialise(docs.select(*_queued(docs, seed, id_column, text_column, source_column)))
+    queues = materialise(docs.select(*_queued(seed, id_column, text_column, source_column)))
     sources = last_taken(queues, weights, share)
     text = F.col(text_column).cast("string")
     own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"))

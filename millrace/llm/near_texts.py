@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.durable import materialise, tasks_for
+from ..operators.durable import materialise, spread, tasks_for
 from .batches import sliced
 
 #: Minwise tokens of a class, independent trees, tokens chosen at a node that branches, levels.
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, mi
                 names += ["sketch", "tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _texts(docs, id_column, text_column).mapInArrow(run, "id long, text_hash long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
+    return spread(_texts(docs, id_column, text_column)).mapInArrow(run, "id long, text_hash long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

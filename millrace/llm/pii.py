@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.durable import spread
 from .batches import sliced
 
 
@@ -231,7 +232,7 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             spans = [find(x) if x else [] for x in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sink(texts, spans)], names=schema.names)
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
+    return spread(docs.select(*kept, F.col(text_column).cast("string").alias("__text"))).mapInArrow(run, schema)
 
 
 def redacted_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.durable import materialise, stored, tasks_for
+from ..operators.durable import materialise, spread, stored, tasks_for
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -127,7 +127,9 @@ def accepted_cutoffs(holdout: DataFrame, cutoffs: Mapping[str, Sequence[float]]
 def counted_and_measured(docs: DataFrame, id_column: str, text_column: str, stratum_column: str, keep: Sequence[str] = ()) -> DataFrame:
     """``measured`` with ``stratum``, ``base_failed`` and the measures; one pass, no shuffle."""
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_column).cast("string")), F.lit("null"))
-    counted = measured(docs.withColumn("__stratum", stratum), id_column, text_column, (*keep, "__stratum")).withColumnRenamed("__keep___stratum", "stratum")
+    needed = dict.fromkeys([id_column, text_column, *keep])
+    own = spread(docs.select(*needed, stratum.alias("__stratum")))
+    counted = measured(own, id_column, text_column, (*keep, "__stratum")).withColumnRenamed("__keep___stratum", "stratum")
     return counted.withColumns({"base_failed": base_failed(), **measures()})
 
 

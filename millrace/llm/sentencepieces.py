@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.durable import spread
 from .batches import sliced
 
 SPACE = "▁".encode()
@@ -196,4 +197,5 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
             decoded = loaded.model.decode(ids, num_threads=1)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), *sink(loaded, texts, ids, spans, decoded)], names=schema.names)
 
-    return docs.select(F.col(id_column), F.col(text_column).cast("string").alias(text_column)).mapInArrow(run, schema)
+    own = spread(docs.select(F.col(id_column), F.col(text_column).cast("string").alias(text_column)))
+    return own.mapInArrow(run, schema)
