@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-
 from ..operators import classify, consolidate, conversations, dedup, overlap, relational, sampling, training, validate
 from ..operators.durable import spread
 
