@@ -53,9 +53,9 @@ def char_shingles(text: Column, k: int) -> Column:
     return let(F.array_remove(F.split(text, ""), ""), lambda c: F.when(F.size(c) >= k, cut(c)).when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(none))
 
 
-def record_id(identifier: Column, text: Column) -> Column:
-    """The identifier, or where it is null a hash of the text; null when both are."""
-    return F.coalesce(identifier.cast("string"), F.md5(text))
+def record_id(identifier: Column, text: Column, hashed: Callable[[Column], Column] = F.md5) -> Column:
+    """The identifier, or where it is null a hash of the text; null when both are. ``hashed`` may be another hash, such as XXH3."""
+    return F.coalesce(identifier.cast("string"), hashed(text))
 
 
 def remove_spans(text: Column, spans: Column) -> Column:

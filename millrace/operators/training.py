@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from .durable import materialise
 from .folds import packs, running_sums
+from .sampling import draw
 
 
 def sequence_chunks(tokens: DataFrame, length: int, order: str = "doc_id", ids: str = "ids", group: Sequence[str] = ()) -> DataFrame:
@@ -156,6 +157,26 @@ def mixture_blocks(spark: SparkSession, weights: dict[str, float], lengths: dict
     return rows.select("idx", "block", name.alias("dataset"), item.alias("item"))
 
 
+def staged_mixture(spark: SparkSession, stages: Sequence[tuple[int, dict[str, float]]], lengths: dict[str, int], blocks: int, block: int = 2048) -> DataFrame:
+    """``mixture_blocks`` whose weights change at given blocks; items go on where the stage before ended."""
+    if not stages or stages[0][0] != 0 or [s for s, _ in stages] != sorted({s for s, _ in stages}):
+        raise ValueError("stages must begin at block 0 and ascend")
+    out, used = None, dict.fromkeys(lengths, 0)
+    for k, (first, weights) in enumerate(stages):
+        last = stages[k + 1][0] if k + 1 < len(stages) else blocks
+        if last <= first:
+            break
+        own = mixture_blocks(spark, weights, {n: 1 << 62 for n in weights}, last - first, block)
+        item = F.lit(None).cast("long")
+        counts = {r["dataset"]: r["n"] for r in own.where("block = 0").groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a dataset
+        for name in counts:
+            item = F.when(F.col("dataset") == name, (F.col("item") + used[name]) % lengths[name]).otherwise(item)
+            used[name] += counts[name] * (last - first)
+        placed = own.select((F.col("idx") + first * block).alias("idx"), (F.col("block") + first).alias("block"), "dataset", item.alias("item"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 def interpolated_weights(mixtures: Sequence[dict[str, float]], shares: Sequence[float]) -> dict[str, float]:
     """A weighted sum of normalised weights."""
     if abs(sum(shares) - 1) > 1e-9:
@@ -229,17 +250,37 @@ def curriculum_weights(lessons: DataFrame, success: str, samples: str, least: fl
     return floored.withColumn("weight", F.col("__floor") / F.sum("__floor").over(every)).drop("__raw", "__floor")
 
 
-def replay_buffer(rollouts: DataFrame, capacity: int, step: int, most_delay: int, group: Sequence[str], at: str = "weight_step", order: Sequence[str] = ()) -> DataFrame:
-    """The newest ``capacity`` rollouts of each group that are not older than ``most_delay`` steps."""
+def replay_buffer(rollouts: DataFrame, capacity: int, step: int, most_delay: int, group: Sequence[str], at: str = "weight_step", order: Sequence[str] = (), time: str | None = None, since: Column | None = None) -> DataFrame:
+    """The newest ``capacity`` rollouts of each group that are not older than ``most_delay`` steps, nor than ``since`` in ``time``."""
     fresh = rollouts.where((F.col(at) >= step - most_delay) & (F.col(at) <= step))
+    if time is not None:
+        fresh = fresh.where(F.col(time) > since)
     newest = Window.partitionBy(*group).orderBy(*(F.col(c).desc() for c in (at, *order)))
     return fresh.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= capacity)
 
 
+def replay_sample(buffer: DataFrame, n: int, group: Sequence[str], identifier: str, order: Sequence[str], alpha: float = 1.0, seed: str = "replay") -> DataFrame:
+    """Some ``n`` rollouts: of each group in proportion to its size, within it by recency, the k-th oldest with weight ``k ** alpha``."""
+    sizes = buffer.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.round(n * F.col("__n") / F.sum("__n").over(Window.partitionBy(F.lit(0))))  # a row a group
+    oldest = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    # A group with a missing name is a group.
+    same = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in group]
+    counts = sizes.select(*(F.col(c).alias(f"__{c}") for c in group), share.alias("__share"))
+    ranked = buffer.withColumn("__age", oldest).join(counts, same)
+    key = [F.ln(F.greatest(draw(seed, F.col(identifier)), F.lit(1e-12))) / F.pow("__age", F.lit(float(alpha))), F.col(identifier)]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(key[0].desc(), key[1]))
+    return ranked.withColumn("__place", place).where("__place <= __share").select(buffer.columns)
+
+
+def unretired(buffer: DataFrame, uses: DataFrame, identifier: str, most: int) -> DataFrame:
+    """The rollouts that ``uses``, a row a use, has fewer than ``most`` times."""
+    worn = uses.groupBy(identifier).agg(F.count(F.lit(1)).alias("__uses")).where(F.col("__uses") >= most)
+    return buffer.join(worn.select(identifier), identifier, "left_anti")
+
+
 def weighted_draw(frame: DataFrame, k: int, group: Sequence[str], weight: Column, identifier: str, seed: str = "replay") -> DataFrame:
     """``k`` rows of each group without replacement, by weight: those with the greatest ``log(u) / weight``."""
-    from .sampling import draw
-
     score = F.ln(F.greatest(draw(seed, F.col(identifier)), F.lit(1e-12))) / weight
     ranked = frame.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(score.desc(), identifier)))
     return ranked.where(F.col("__rank") <= k).drop("__rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,18 @@ def corpus_size(tokens: DataFrame, n_tokens: str, length: int, group: Sequence[s
     """Documents, tokens, full sequences, and the share of tokens that cutting to ``length`` would drop."""
     cut = F.sum(F.greatest(F.col(n_tokens) - length, F.lit(0)))
     return tokens.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.sum(n_tokens).alias("tokens"), F.floor(F.sum(n_tokens) / length).cast("long").alias("sequences"), (cut / F.sum(n_tokens)).alias("truncated"))
+
+
+def summary(frame: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``groups, rows, shards``: rows and files of every combination, with subtotals whose groups are null."""
+    own = frame.select(*groups, F.input_file_name().alias("__file"))
+    return own.rollup(*groups).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("__file").alias("shards"))
+
+
+def corpus_shares(sizes: DataFrame, tokens: str, sequences: str, length: int) -> DataFrame:
+    """Adds to a row a corpus ``padding``, the share of its last sequence that stays empty if none is dropped, ``weight``, its
+    share of all tokens, and ``epoch_tokens``, the tokens that full sequences hold."""
+    every = Window.partitionBy(F.lit(0))  # a row a corpus
+    used = F.ceil(F.col(tokens) / length) * length
+    padding = F.when(F.col(tokens) > 0, (used - F.col(tokens)) / used).otherwise(0.0)
+    return sizes.withColumns({"padding": padding, "weight": F.col(tokens) / F.sum(tokens).over(every), "epoch_tokens": F.col(sequences) * length})

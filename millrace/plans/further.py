@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashing, markup, text
-from ..operators import bloom, classify, consolidate, conversations, dedup, metrics, overlap, packing, questions, relational, sampling, tokens, training
+from ..operators import bloom, classify, consolidate, conversations, dedup, metrics, overlap, packing, questions, relational, sampling, tokens, training, validate
 from ..operators.durable import shared_folder, spread
 from ..sources import readers, writers
 from ..streaming import rollouts
@@ -506,3 +506,76 @@ def benchmark_features(t):
 @query("SELECT count(*) AS lines FROM (SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE line <> '')")
 def feature_counts(t):
     return overlap.feature_keys(t.benchmark, "text", 1_000_000).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def latest_release(t):
+    dated = t.orders.select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_totalprice", "o_orderkey").alias("v"))
+    return relational.latest(dated, ["o_custkey"], "v").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT lang, source, count(*) AS rows, 1::BIGINT AS shards FROM documents GROUP BY ROLLUP (lang, source)")
+def summary_rollup(t):
+    return validate.summary(t.documents, ["lang", "source"])
+
+
+@query("""WITH c AS (SELECT source, sum(n_chars)::BIGINT AS tokens, (sum(n_chars) // 2048)::BIGINT AS sequences FROM documents GROUP BY source)
+SELECT source, round((ceil(tokens / 2048.0) * 2048 - tokens) / (ceil(tokens / 2048.0) * 2048), 9) AS padding, round(tokens::DOUBLE / sum(tokens) OVER (), 9) AS weight, sequences * 2048 AS epoch_tokens FROM c""")
+def corpus_shares(t):
+    shares = validate.corpus_shares(validate.corpus_size(t.documents, "n_chars", 2048, ["source"]), "tokens", "sequences", 2048)
+    return shares.select("source", F.round("padding", 9).alias("padding"), F.round("weight", 9).alias("weight"), "epoch_tokens")
+
+
+@query(f"""WITH s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS age FROM events),
+n AS (SELECT event_type, round(200 * count(*) / sum(count(*)) OVER ()) AS share FROM events GROUP BY event_type),
+d AS (SELECT s.event_type, event_id, share, row_number() OVER (PARTITION BY s.event_type ORDER BY ln(greatest({_DRAW('recent', 'event_id')}, 1e-12)) / pow(age::DOUBLE, 2.0) DESC, event_id) AS r FROM s JOIN n USING (event_type))
+SELECT event_type, event_id FROM d WHERE r <= share""")
+def replay_by_recency(t):
+    return training.replay_sample(t.events.select("event_type", "event_id"), 200, ["event_type"], "event_id", ["event_id"], 2.0, "recent")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12)")
+def unretired(t):
+    return training.unretired(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 12)
+
+
+@query("""WITH s AS (SELECT range AS idx, range // 10 AS block, CASE WHEN range < 30 THEN (1000003 * (range % 10) + (range // 10) * 7919) % 10 ELSE (1000003 * (range % 10) + ((range // 10) - 3) * 7919) % 10 END AS slot FROM range(60))
+SELECT idx, block, CASE WHEN block < 3 THEN CASE WHEN slot < 5 THEN 'a' ELSE 'b' END ELSE CASE WHEN slot < 2 THEN 'a' ELSE 'b' END END AS dataset,
+CASE WHEN block < 3 THEN CASE WHEN slot < 5 THEN (block * 5 + slot) % 6 ELSE (block * 5 + slot - 5) % 9 END ELSE CASE WHEN slot < 2 THEN ((block - 3) * 2 + slot + 15) % 6 ELSE ((block - 3) * 8 + slot - 2 + 15) % 9 END END AS item FROM s""")
+def staged_mixture(t):
+    return training.staged_mixture(t.spark, [(0, {"a": 0.5, "b": 0.5}), (3, {"a": 0.2, "b": 0.8})], {"a": 6, "b": 9}, 6, 10)
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def scored_in_parts(t):
+    path = f"{shared_folder(t.spark, 'scores')}/out"
+    docs = t.documents.select("doc_id", "n_chars")
+    classify.score_missing(docs.where("doc_id % 3 = 0"), path, "doc_id", lambda own: own)  # a run that was cut short
+    classify.score_missing(docs, path, "doc_id", lambda own: own, parts=2)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT '__label__' || quality || ' ' || translate(text, chr(10) || chr(13), '') AS line FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL")
+def training_files(t):
+    path = f"{shared_folder(t.spark, 'lines')}/out"
+    labelled = t.documents.where("text is not null").join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    classify.training_file([labelled.where("doc_id % 2 = 0"), labelled.where("doc_id % 2 = 1")], path, split=0.2, identifier="doc_id")
+    return readers.load_text(t.spark, f"{path}/*/part-*", "line")
+
+
+@query("SELECT n_name, n_regionkey, 'nation-' || (row_number() OVER (ORDER BY n_nationkey) - 1) AS id FROM nation")
+def numbered_jsonl(t):
+    path = writers.to_jsonl_with_ids(t.spark, f"{t.sf_dir}/nation.parquet", f"{shared_folder(t.spark, 'jsonl')}/out", "x")
+    made = t.spark.read.json(path)
+    return made.select("n_name", "n_regionkey", F.regexp_replace("id", "^x-", "").alias("id"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def orc_round_trip(t):
+    path = writers.write_orc(t.nation, f"{shared_folder(t.spark, 'orc')}/out")
+    return readers.load(t.spark, f"{path}/*.orc", ["n_nationkey", "n_name"])
+
+
+@query("SELECT conv_id, turn, coalesce(CASE WHEN turn > 0 THEN conv_id::VARCHAR END, sha256(text)) AS id FROM conversations")
+def record_ids_sha(t):
+    return t.conversations.select("conv_id", "turn", text.record_id(F.when(F.col("turn") > 0, F.col("conv_id")), F.col("text"), lambda c: F.sha2(c, 256)).alias("id"))

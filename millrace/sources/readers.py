@@ -48,6 +48,11 @@ def files(spark: SparkSession, pattern: str, empty_ok: bool = False) -> list[str
     return sorted(set(found))
 
 
+def with_name_parts(paths: Sequence[str], parts: int = 3) -> list[str]:
+    """The paths whose file names have as many parts between dots."""
+    return [p for p in paths if p.rsplit("/", 1)[-1].count(".") == parts - 1]
+
+
 def file_subset(paths: Sequence[str], k: int, seed: int = 42) -> list[str]:
     """``k`` of some files, drawn with a seed."""
     drawn = sorted(paths)

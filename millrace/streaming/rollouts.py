@@ -35,3 +35,15 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").start(path)
     query.awaitTermination()
     return query
+
+
+def write_rollouts(frame: DataFrame, path: str, keep: int = 32) -> None:
+    """Appends rollouts as one file and leaves the newest ``keep`` files; readers that began earlier have read the others."""
+    frame.coalesce(1).write.mode("append").parquet(path)
+    spark = frame.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for s in files.listStatus(at) if s.isFile() and s.getPath().getName().startswith("part-")]
+    found.sort(key=lambda s: (s.getModificationTime(), s.getPath().getName()))
+    for old in found[: max(0, len(found) - keep)]:
+        files.delete(old.getPath(), False)

@@ -152,3 +152,26 @@ def test_caches_are_merged(spark, tmp_path):
         assert r.token_offset == total
         total += r.tokens
     assert total == 21 and sum(r.rows for r in merged) == 6
+
+
+def test_rollout_files_and_names(spark, tmp_path):
+    import os
+
+    for i in range(5):
+        rollouts.write_rollouts(spark.range(i, i + 1), f"{tmp_path}/r", keep=3)
+    kept = [f for f in os.listdir(tmp_path / "r") if f.startswith("part-")]
+    assert len(kept) == 3 and sorted(r.id for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [2, 3, 4]
+    assert readers.with_name_parts(["/x/a.b.json", "/x.y/a.json", "a.b.c.d"]) == ["/x/a.b.json"]
+
+
+def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
+    from millrace.operators import durable
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    frame = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    assert durable.spread(frame).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(durable, "BYTES_A_CORE", 1)
+    assert durable.spread(frame) is frame
+    held = durable.stored(frame)
+    assert held.count() == 100 and held.schema == frame.schema

@@ -92,3 +92,17 @@ def test_permutations_of_very_long_tables(spark):
             spark.range(10, 11).select(make(F.col("id"))).collect()
     with pytest.raises(ValueError):
         training.era_permutation(F.col("i"), 10, 4, 2, 0)
+
+
+def test_replay_limits_and_stages(spark):
+    rows = spark.createDataFrame([("e", i, i, f"2024-01-{i + 1:02d} 00:00:00") for i in range(10)], "g string, id int, weight_step int, t string").withColumn("t", F.to_timestamp("t"))
+    kept = training.replay_buffer(rows, 4, 9, 20, ["g"], time="t", since=F.to_timestamp(F.lit("2024-01-05 00:00:00")))
+    assert sorted(r.id for r in kept.collect()) == [6, 7, 8, 9]
+    assert training.replay_buffer(rows, 40, 9, 20, ["g"], time="t", since=F.to_timestamp(F.lit("2024-01-05 00:00:00"))).count() == 5
+    drawn = training.replay_sample(rows.withColumn("g", F.lit(None).cast("string")), 3, ["g"], "id", ["id"], 4.0)
+    assert drawn.count() == 3 and drawn.columns == rows.columns
+    with pytest.raises(ValueError):
+        training.staged_mixture(spark, [(1, {"a": 1.0})], {"a": 3}, 4)
+    one = {(r.idx, r.item) for r in training.staged_mixture(spark, [(0, {"a": 1.0}), (2, {"a": 3.0})], {"a": 100}, 4, 10).collect()}
+    plain = {(r.idx, r.item) for r in training.mixture_blocks(spark, {"a": 1.0}, {"a": 100}, 4, 10).collect()}
+    assert sorted(i for _, i in one) == sorted(i for _, i in plain) == list(range(40))
