@@ -14,9 +14,9 @@ that unrelated vectors seldom share a cell, and work grows as about the power 1.
 Equal vectors are one class at once, with a weight. A first pass over a few blocks links each
 class to the least one of its cell only. Classes that the first pass has joined are not
 compared again in the full pass: a group of thousands of near copies gives as many links, not
-their square. There a cell is cut into chunks, and every two chunks are a tile that compares
-sketches and lets candidates out, so that a crowded cell is dealt over many tasks. All links
-lie inside components, so links are counted there in the end, exactly and by weight, over
+their square. There a crowded cell is cut into chunks, and every two chunks are a tile that
+compares sketches and lets candidates out, so that it is dealt over many tasks. All links lie
+inside components, so links are counted there in the end, exactly and by weight, over
 tiles of two chunks of a component.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have
@@ -42,6 +42,8 @@ from ..operators.durable import materialise, tasks_for
 SIDE = 2.0
 #: Vectors in one chunk of a component while links are counted.
 CHUNK = 512
+#: Cells with more vectors are crowded.
+CROWD = 64
 #: Sketch bits, and how many of them a candidate may differ in: over six standard deviations above the mean at a cosine of
 #: 0.95, where a bit differs with a chance of 0.101. A recall parameter: at most one pair in 1e9 at the threshold is lost by it.
 SKETCH_BITS, SKETCH_DIFFER = 128, 42
@@ -170,8 +172,13 @@ def links(vectors: DataFrame, length: int, cosine: float, recall: float) -> Data
     rows = _cell_rows(known, length, of, made.rotations, ["group"])
     # Within a cell only vectors of different groups meet; most cells with company are one group, and drop out here.
     mixed = rows.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("cell", "n")
-    crowded = rows.join(mixed, "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    more = _verified(materialise(_candidates(crowded).distinct()), vectors, cosine)
+    rows = materialise(rows.join(mixed, "cell"))
+    crowded = rows.where(F.col("n") > CROWD).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    # Of a small cell the engine makes all pairs, at most CROWD for each row.
+    one, two = (rows.where(F.col("n") <= CROWD).alias(name) for name in ("one", "two"))
+    met = one.join(two, F.col("one.cell") == F.col("two.cell")).where((F.col("one.id") < F.col("two.id")) & (F.col("one.group") != F.col("two.group")))
+    pairs = met.where(_alike("one", "two")).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
+    more = _verified(pairs.unionByName(_candidates(crowded)).distinct(), vectors, cosine)
     return found.unionByName(more)
 
 

@@ -168,6 +168,7 @@ def brute_rows(rows, cosine=0.95):
 def test_near_vectors_of_repeated_and_missing_ids(spark, monkeypatch, bound):
     monkeypatch.setattr(near_vectors, "MOST_BROADCAST", bound)
     monkeypatch.setattr(near_vectors, "CHUNK", 8)
+    monkeypatch.setattr(near_vectors, "CROWD", 5)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
     rows = []
