@@ -315,7 +315,10 @@ MOST_BROADCAST_BYTES = 16 << 20
 SALTS = 32
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_seen: int = LEAST_SEEN, low: float = LOW) -> DataFrame:
+def extract(
+    pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
+    least_seen: int = LEAST_SEEN, low: float = LOW,
+) -> DataFrame:
     """``id, url, text, n_chars`` of every row of ``pages``."""
     host = host_and_path(F.coalesce(F.col(url_column).cast("string"), F.lit("")))[0]
     own = spread(pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html")))

@@ -138,7 +138,10 @@ def _queued(seed: str, id_column: str, text_column: str, source_column: str) ->
     return [source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"), words(text).alias("size")]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix",
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
     """``id, size, source_size, target, taken`` of every row.
 
     ``weights`` are dealt to the sources in the order of their names, repeating. The total
@@ -151,7 +154,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
     return out.select(F.col("__id").alias(id_column), "size", "source_size", "target", (F.col("size") * times_taken()).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, seed: str = "mix",
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns: one map over them.
 
     Rows without words are not taken.

@@ -281,7 +281,10 @@ def count_links(members: DataFrame, cosine: float) -> DataFrame:
     return tiles.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99999, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, cosine: float = 0.95, recall: float = 0.99999, id_column: str = "vec_id",
+    vector_column: str = "embedding",
+) -> DataFrame:
     """``id, n_links, component_id, kept`` of every row of ``vectors``."""
     rows = fingerprinted(vectors, id_column, vector_column)
     # Copies are combined inside tasks before the shuffle; classes are numbered, and the numbers stored.

@@ -218,7 +218,10 @@ def redact_sink(texts, spans) -> list[pa.Array]:
     return [pa.array([None if t is None else redact(t, s) if s else t for t, s in zip(texts, spans)], pa.string())]
 
 
-def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sink: Sink = spans_sink, sink_schema: T.StructType = SPANS, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_pii(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sink: Sink = spans_sink,
+    sink_schema: T.StructType = SPANS, keep: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per row of ``docs``: its id, the columns in ``keep``, and what ``sink`` makes of its spans.
 
     A map over the scan, without shuffle.

@@ -102,7 +102,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, 1.0).otherwise(F.aggregate(steps, start, add, lambda acc: acc["sum"]))
 
 
-def accepted_cutoffs(holdout: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
+def accepted_cutoffs(
+    holdout: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED,
+    failure: float = FAILURE,
+) -> DataFrame:
     """``stratum`` and one cutoff for each measure, null where none is accepted.
 
     ``holdout`` has ``stratum`` and the measures, for good documents only. Counts are
@@ -133,7 +136,10 @@ def counted_and_measured(docs: DataFrame, id_column: str, text_column: str, stra
     return counted.withColumns({"base_failed": base_failed(), **measures()})
 
 
-def fit(counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id") -> DataFrame:
+def fit(
+    counted: DataFrame, labels: DataFrame, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS,
+    tolerated: float = TOLERATED, failure: float = FAILURE, id_column: str = "doc_id",
+) -> DataFrame:
     """The cutoffs of every stratum that has any."""
     known = labels.select(F.col(id_column).alias("__id"), F.col("quality")).where("__id is not null and quality is not null")
     good = known.groupBy("__id").agg(F.min("quality").alias("quality")).where("quality = 1")
@@ -156,7 +162,11 @@ def verdicts(counted: DataFrame, fitted: DataFrame, cutoffs: Mapping[str, Sequen
     return judged.withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED,
+    failure: float = FAILURE,
+) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every row of ``docs``, then the measures.
 
     The counts, a few numbers a row, are materialised: holdout and verdicts both read them.
@@ -166,7 +176,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return judged.select(F.col("__id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *cutoffs)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED, failure: float = FAILURE) -> DataFrame:
+def good_documents(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    stratum_column: str = "lang", cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, tolerated: float = TOLERATED,
+    failure: float = FAILURE,
+) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
     Rows and their counts are stored once, by column: the cutoffs read the counts only, the

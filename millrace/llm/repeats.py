@@ -349,7 +349,10 @@ def remaining(batch: Batch, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
 REMAINING_DDL = "id long, kept binary, spans array<struct<begin: long, end: long>>"
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", span: int = SPAN, width: int = WIDTH, finish=remaining, finish_ddl: str = REMAINING_DDL, batch_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", span: int = SPAN, width: int = WIDTH,
+    finish=remaining, finish_ddl: str = REMAINING_DDL, batch_bytes: int = 8 << 20,
+) -> DataFrame:
     """One row per row of ``docs``: its id and what ``finish`` makes of its removed runs.
 
     The text is dealt to batches once and that exchange is read by the three passes over it;

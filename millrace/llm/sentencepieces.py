@@ -179,7 +179,10 @@ def digest_sink(codec_, _texts, ids, spans, decoded) -> list[pa.Array]:
     return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join([names[i] for i in x])) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string()), pa.array(covered, pa.int64())]
 
 
-def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", sink: Sink = pieces_sink, sink_schema: T.StructType = PIECES) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", sink: Sink = pieces_sink,
+    sink_schema: T.StructType = PIECES,
+) -> DataFrame:
     """One row per row of ``docs``: its id and what ``sink`` makes of its pieces.
 
     Encoding adds no begin or end id and does not sample. Everything is one map over

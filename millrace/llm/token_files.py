@@ -148,7 +148,10 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """``id_column``, the columns in ``keep`` and ``ids array<int>`` of every row, in the order of the input."""
     kept = [id_column, *keep]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -163,7 +166,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: s
     return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text", stripe_mb: int = 64, stride: int = 1000, file_bytes: int = FILE_BYTES) -> None:
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id",
+    text_column: str = "text", stripe_mb: int = 64, stride: int = 1000, file_bytes: int = FILE_BYTES,
+) -> None:
     """Encode ``docs`` and write ORC files in ascending id order under ``path``.
 
     The text is dealt by id range before it is encoded: the sample that finds the ranges
@@ -211,7 +217,9 @@ def digests(tokens: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return placed.join(before, "file").select(id_column, (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def through_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def through_files(
+    docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
     """Write ``docs`` to token files in the shared folder, read them back, digest them."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark, 'tokens')}/files"

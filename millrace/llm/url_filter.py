@@ -108,7 +108,9 @@ def _join(left: DataFrame, right: DataFrame, on: str, broadcast: bool) -> DataFr
     return left.withColumn("__salt", F.pmod(F.xxhash64("__url"), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"]).drop("__salt")
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame, url_column: str = "url", listed_column: str = "url", bits_per_key: int = 24) -> DataFrame:
+def listed_urls(
+    urls: DataFrame, listed: DataFrame, url_column: str = "url", listed_column: str = "url", bits_per_key: int = 24,
+) -> DataFrame:
     """The distinct ``__url`` of ``urls`` that the list covers."""
     keys = listed.select(canonical(F.col(listed_column).cast("string")).alias("key")).where(F.col("key") != "/").distinct()
     labels, folders = shape(F.col("key"))
@@ -127,7 +129,10 @@ def listed_urls(urls: DataFrame, listed: DataFrame, url_column: str = "url", lis
     return _join(hits, keys, "key", small).select("__url").distinct()
 
 
-def judge(pages: DataFrame, listed: DataFrame, id_column: str = "page_id", url_column: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(
+    pages: DataFrame, listed: DataFrame, id_column: str = "page_id", url_column: str = "url",
+    rules: Sequence[tuple[str, str, str]] = RULES,
+) -> DataFrame:
     """``id, host, path, rule, verdict`` of every row of ``pages``."""
     own = pages.select(F.col(id_column), F.col(url_column).cast("string").alias("__url"))
     parsed = own.select(id_column, "__url", *(c.alias(n) for c, n in zip(host_and_path(F.coalesce(F.col("__url"), F.lit(""))), ("host", "path"))))
