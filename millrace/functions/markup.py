@@ -604,7 +604,10 @@ def title(root: Element) -> str | None:
     return " ".join(re.sub(r"<[^>]*>", "", found.text()).split()) or None if found is not None else None
 
 
-def page(html: str, clean: Callable[[Element], Element] | None = None, unwanted: Sequence[str] = (), prepend_title: bool = True, links: bool = True, images: bool = True) -> tuple[str | None, str]:
+def page(
+    html: str, clean: Callable[[Element], Element] | None = None, unwanted: Sequence[str] = (),
+    prepend_title: bool = True, links: bool = True, images: bool = True,
+) -> tuple[str | None, str]:
     """The title of a page and its main content as Markdown."""
     root = parse(html)
     name = title(root)

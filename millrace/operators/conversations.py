@@ -115,7 +115,10 @@ def parsed_arguments(arguments: Column) -> Column:
 RESERVED = frozenset("id source messages added created metadata".split())
 
 
-def chat_records(rows: DataFrame, messages: Column, source: str, metadata: Sequence[str] = (), remap: Mapping[str, str] | None = None, replacements: Mapping[str, str] | None = None) -> DataFrame:
+def chat_records(
+    rows: DataFrame, messages: Column, source: str, metadata: Sequence[str] = (),
+    remap: Mapping[str, str] | None = None, replacements: Mapping[str, str] | None = None,
+) -> DataFrame:
     """``id, source, messages, created, metadata`` of every row with messages, then remapped columns.
 
     The id is a hash of the messages before replacements. Metadata columns that a row lacks are

@@ -144,7 +144,10 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
                 begin, held, size = at + 1, [], 0
 
 
-def lsh_buckets(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 5, permutations: int = 286, bands: int = 26) -> DataFrame:
+def lsh_buckets(
+    docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 5, permutations: int = 286,
+    bands: int = 26,
+) -> DataFrame:
     """``id, band, bucket`` for every band of the MinHash signature of a cleaned text; a map, without shuffle.
 
     A text shorter than ``shingle`` is its own shingle; empty texts share their buckets, null ones have none.

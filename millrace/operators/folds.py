@@ -24,7 +24,10 @@ def in_order(frame: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
     return dealt.sortWithinPartitions("__group", *group, *order)
 
 
-def packs(frame: DataFrame, closes: Callable[[int, float, float], bool], size: str, group: Sequence[str], order: Sequence[str], names: tuple[str, str, str]) -> DataFrame:
+def packs(
+    frame: DataFrame, closes: Callable[[int, float, float], bool], size: str, group: Sequence[str],
+    order: Sequence[str], names: tuple[str, str, str],
+) -> DataFrame:
     """``group`` and three columns, named by ``names``: a pack's number, its rows, and the sum of their sizes.
 
     ``closes(rows, total, size)`` says whether a pack that is not empty ends before a row of that size.

@@ -28,7 +28,9 @@ def without_zeros(frame: DataFrame, column: str) -> DataFrame:
     return frame.where((F.col(column) != 0) | F.col(column).isNull())
 
 
-def aggregated_steps(steps: DataFrame, run: str, step: str, columns: Sequence[str], how: str, step_range: tuple[int, int] = (1, 5)) -> DataFrame:
+def aggregated_steps(
+    steps: DataFrame, run: str, step: str, columns: Sequence[str], how: str, step_range: tuple[int, int] = (1, 5),
+) -> DataFrame:
     """``run`` and its columns: ``average`` over the last steps counted from the end in ``step_range``, ``last`` or ``all`` steps."""
     if how == "all":
         return steps.select(run, step, *columns)
@@ -43,7 +45,10 @@ def aggregated_steps(steps: DataFrame, run: str, step: str, columns: Sequence[st
     return chosen.groupBy(run).agg(*(F.avg(c).alias(c) for c in columns))
 
 
-def leaderboard(results: DataFrame, run: str, metric: str, value: str, metrics: Sequence[str], order: str, descending: bool = True) -> DataFrame:
+def leaderboard(
+    results: DataFrame, run: str, metric: str, value: str, metrics: Sequence[str], order: str,
+    descending: bool = True,
+) -> DataFrame:
     """``rank, run`` and a column for each metric: the best value of each run, ordered by one metric."""
     wide = results.groupBy(run).pivot(metric, list(metrics)).agg(F.max(value))
     by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
@@ -89,7 +94,10 @@ def _p_value(slope: float | None, r2: float | None, n: int) -> float | None:
     return two_sided_p(t, n - 2)
 
 
-def plateaus(history: DataFrame, group: Sequence[str], order: str, value: str, window: int = 100, slope: float = 0.01, variation: float = 0.1, p: float = 0.1) -> DataFrame:
+def plateaus(
+    history: DataFrame, group: Sequence[str], order: str, value: str, window: int = 100, slope: float = 0.01,
+    variation: float = 0.1, p: float = 0.1,
+) -> DataFrame:
     """``group, plateaued``: whether the last ``window`` values are flat, stable, and without a significant trend.
 
     A line is fitted by the engine's regression aggregates; the p value is computed once a group.
@@ -107,7 +115,10 @@ def plateaus(history: DataFrame, group: Sequence[str], order: str, value: str, w
     return stats.select(*group, ((F.col("n") >= window) & F.coalesce(flat, F.lit(True)) & stable & ~trend).alias("plateaued"))
 
 
-def minimised(loss: Callable[[np.ndarray], float], start: Sequence[float], bounds: Sequence[tuple[float | None, float | None]], rounds: int = 4000) -> np.ndarray:
+def minimised(
+    loss: Callable[[np.ndarray], float], start: Sequence[float], bounds: Sequence[tuple[float | None, float | None]],
+    rounds: int = 4000,
+) -> np.ndarray:
     """A minimum near ``start`` inside bounds, by a simplex that restarts until it no longer improves."""
     low, high = (np.array([fallback if b[i] is None else b[i] for b in bounds]) for i, fallback in ((0, -np.inf), (1, np.inf)))
     inside = lambda x: np.clip(x, low, high)

@@ -42,7 +42,10 @@ def _hits(rows: DataFrame, known: DataFrame, count: int) -> DataFrame:
     return Bloom.build(known, "gram", count).stored().ask(rows, "gram").where("may_contain").drop("may_contain").join(known, "gram")
 
 
-def ngram_overlap(target: DataFrame, reference: DataFrame, n: int, target_id: str, target_text: str, reference_id: str, reference_text: str, stride: int = 0) -> DataFrame:
+def ngram_overlap(
+    target: DataFrame, reference: DataFrame, n: int, target_id: str, target_text: str, reference_id: str,
+    reference_text: str, stride: int = 0,
+) -> DataFrame:
     """``id, begin, end, score``: paragraphs of ``target`` that share n-grams with ``reference``, and the share.
 
     A paragraph of fewer than ``n`` words is looked for whole among those of ``reference``.
@@ -64,7 +67,9 @@ def exact_overlap(target: DataFrame, reference: DataFrame, target_id: str, targe
     return _hits(rows, known, known.count()).select(F.col("id").alias(target_id), "begin", "end", F.lit(1.0).alias("score"))
 
 
-def contamination_matrix(train: DataFrame, evaluation: DataFrame, n: int, train_group: str, eval_id: str, train_text: str, eval_text: str) -> DataFrame:
+def contamination_matrix(
+    train: DataFrame, evaluation: DataFrame, n: int, train_group: str, eval_id: str, train_text: str, eval_text: str,
+) -> DataFrame:
     """``train, overlapping, eval_size, fraction``: evaluation items that share an n-gram with each train set, and with any of them."""
     items = evaluation.where(F.col(eval_text).isNotNull()).select(F.col(eval_id).alias("item"), F.explode(F.split(eval_text, "\n")).alias("line"))
     items = materialise(items.select("item", F.explode(ngrams(words(F.col("line")), n)).alias("g")).select("item", F.md5("g").alias("gram")).distinct())

@@ -37,7 +37,10 @@ class _Open:
         return number, self.documents, cut(self.tokens, pad), cut(self.weights, 0.0), cut(self.segments, -1)
 
 
-def _packed(examples: DataFrame, length: int, pad: int, most_segments: int, most_open: int, group: Sequence[str], identifier: str, ids: str, prompt: str) -> DataFrame:
+def _packed(
+    examples: DataFrame, length: int, pad: int, most_segments: int, most_open: int, group: Sequence[str],
+    identifier: str, ids: str, prompt: str,
+) -> DataFrame:
     schema = T.StructType([*(examples.schema[c] for c in group), *EXAMPLE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,10 @@ def _batch(done: list[tuple], first: pa.RecordBatch, schema: T.StructType) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=schema.names)
 
 
-def first_fit_packs(examples: DataFrame, length: int, pad: int = 0, most_segments: int = 64, most_open: int = 64, group: Sequence[str] = (), identifier: str = "doc_id", ids: str = "ids", prompt: str = "prompt") -> DataFrame:
+def first_fit_packs(
+    examples: DataFrame, length: int, pad: int = 0, most_segments: int = 64, most_open: int = 64,
+    group: Sequence[str] = (), identifier: str = "doc_id", ids: str = "ids", prompt: str = "prompt",
+) -> DataFrame:
     """``group, pack, documents, tokens, loss_weights, segments``: each example goes to the first open pack that has room.
 
     A pack closes when it is full of segments, when too many packs are open, the oldest first,
@@ -99,12 +105,18 @@ def first_fit_packs(examples: DataFrame, length: int, pad: int = 0, most_segment
     return _packed(examples, length, pad, most_segments, most_open, group, identifier, ids, prompt)
 
 
-def contiguous_packs(examples: DataFrame, length: int, pad: int = 0, most_segments: int = 64, group: Sequence[str] = (), identifier: str = "doc_id", ids: str = "ids", prompt: str = "prompt") -> DataFrame:
+def contiguous_packs(
+    examples: DataFrame, length: int, pad: int = 0, most_segments: int = 64, group: Sequence[str] = (),
+    identifier: str = "doc_id", ids: str = "ids", prompt: str = "prompt",
+) -> DataFrame:
     """The same columns for packs of examples that follow each other; one longer than a pack stands alone, by its last tokens."""
     return _packed(examples, length, pad, most_segments, 1, group, identifier, ids, prompt)
 
 
-def segment_losses(packs: DataFrame, key: Sequence[str], losses: str, weights: str = "loss_weights", segments: str = "segments", correct: str | None = None) -> DataFrame:
+def segment_losses(
+    packs: DataFrame, key: Sequence[str], losses: str, weights: str = "loss_weights", segments: str = "segments",
+    correct: str | None = None,
+) -> DataFrame:
     """``key, segment, loss`` and with ``correct`` whether all weighed tokens are right: sums over each segment of each pack."""
     columns = [F.col(segments).alias("segment"), F.col(weights).alias("weight"), F.col(losses).alias("value")]
     if correct is not None:

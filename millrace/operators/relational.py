@@ -131,12 +131,18 @@ def filter_rows(frame: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) ->
     return frame.mapInArrow(run, frame.schema)
 
 
-def map_shards(frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+def map_shards(
+    frame: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+) -> DataFrame:
     """What a function makes of each partition's batches, read as a stream."""
     return frame.mapInArrow(function, schema)
 
 
-def map_batches(frame: DataFrame, functions: Sequence[Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str, size: int = 2048) -> DataFrame:
+def map_batches(
+    frame: DataFrame, functions: Sequence[Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str,
+    size: int = 2048,
+) -> DataFrame:
     """Batch functions one after the other, in one pass over slices of up to ``size`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,7 +68,10 @@ class TextTokenizer:
         return rows
 
 
-def tokenized(docs: DataFrame, tokenizer: TextTokenizer, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = 64) -> DataFrame:
+def tokenized(
+    docs: DataFrame, tokenizer: TextTokenizer, text: str = "text", keep: Sequence[str] = ("doc_id",),
+    window: int = 64,
+) -> DataFrame:
     """The columns in ``keep`` and ``ids`` of every row, in batches of ``window`` texts; a null text has none."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -84,7 +87,10 @@ def tokenized(docs: DataFrame, tokenizer: TextTokenizer, text: str = "text", kee
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def token_cache(docs: DataFrame, path: str, tokenizer: TextTokenizer, text: str = "text", keep: Sequence[str] = ("doc_id",), sample: float | None = None, seed: int = 0) -> DataFrame:
+def token_cache(
+    docs: DataFrame, path: str, tokenizer: TextTokenizer, text: str = "text", keep: Sequence[str] = ("doc_id",),
+    sample: float | None = None, seed: int = 0,
+) -> DataFrame:
     """Tokenizes ``docs`` into a cache with a ledger, which is returned; a finished cache is not computed again.
 
     ``sample`` keeps that share of the rows, by a hash of the kept columns.
@@ -122,7 +128,10 @@ class ChatTemplate:
         return text, spans
 
 
-def tokenized_chats(chats: DataFrame, path: str, template: ChatTemplate = ChatTemplate(), messages: str = "messages", system: str | None = None, template_column: str | None = None, keep: Sequence[str] = ("conv_id",)) -> DataFrame:
+def tokenized_chats(
+    chats: DataFrame, path: str, template: ChatTemplate = ChatTemplate(), messages: str = "messages",
+    system: str | None = None, template_column: str | None = None, keep: Sequence[str] = ("conv_id",),
+) -> DataFrame:
     """The columns in ``keep``, ``ids`` and ``assistant_mask``, 1 for the tokens that hold some of a learnt content; a chat without any raises.
 
     ``system`` names a column with a prompt that goes before the messages of a row, and

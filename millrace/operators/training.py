@@ -53,7 +53,10 @@ def train_batches(indexed: DataFrame, batches: int, size: int, index: str = "idx
     return indexed.where(F.col(index) < batches * size)
 
 
-def greedy_packs(lengths: DataFrame, most_tokens: int, most_documents: int, group: Sequence[str], order: str, length: str, allow_long: bool = True) -> DataFrame:
+def greedy_packs(
+    lengths: DataFrame, most_tokens: int, most_documents: int, group: Sequence[str], order: str, length: str,
+    allow_long: bool = True,
+) -> DataFrame:
     """``group, pack, documents, tokens``: documents in order, packed greedily.
 
     A pack closes when the next document would not fit in tokens or number. A document longer
@@ -133,7 +136,10 @@ def era_permutation(index: Column, n: int, era: int, a: int, b: int) -> Column:
     return _in_range(index, n, block * era + turned)
 
 
-def mixture_blocks(spark: SparkSession, weights: dict[str, float], lengths: dict[str, int], blocks: int, block: int = 2048, a: int = 1_000_003) -> DataFrame:
+def mixture_blocks(
+    spark: SparkSession, weights: dict[str, float], lengths: dict[str, int], blocks: int, block: int = 2048,
+    a: int = 1_000_003,
+) -> DataFrame:
     """``idx, block, dataset, item``: every block holds each dataset by weight, the remainder goes to the largest.
 
     Positions inside a block are permuted by a key of the block; used-up datasets start again.
@@ -157,7 +163,10 @@ def mixture_blocks(spark: SparkSession, weights: dict[str, float], lengths: dict
     return rows.select("idx", "block", name.alias("dataset"), item.alias("item"))
 
 
-def staged_mixture(spark: SparkSession, stages: Sequence[tuple[int, dict[str, float]]], lengths: dict[str, int], blocks: int, block: int = 2048) -> DataFrame:
+def staged_mixture(
+    spark: SparkSession, stages: Sequence[tuple[int, dict[str, float]]], lengths: dict[str, int], blocks: int,
+    block: int = 2048,
+) -> DataFrame:
     """``mixture_blocks`` whose weights change at given blocks; items go on where the stage before ended."""
     if not stages or stages[0][0] != 0 or [s for s, _ in stages] != sorted({s for s, _ in stages}):
         raise ValueError("stages must begin at block 0 and ascend")
@@ -250,7 +259,10 @@ def curriculum_weights(lessons: DataFrame, success: str, samples: str, least: fl
     return floored.withColumn("weight", F.col("__floor") / F.sum("__floor").over(every)).drop("__raw", "__floor")
 
 
-def replay_buffer(rollouts: DataFrame, capacity: int, step: int, most_delay: int, group: Sequence[str], at: str = "weight_step", order: Sequence[str] = (), time: str | None = None, since: Column | None = None) -> DataFrame:
+def replay_buffer(
+    rollouts: DataFrame, capacity: int, step: int, most_delay: int, group: Sequence[str], at: str = "weight_step",
+    order: Sequence[str] = (), time: str | None = None, since: Column | None = None,
+) -> DataFrame:
     """The newest ``capacity`` rollouts of each group that are not older than ``most_delay`` steps, nor than ``since`` in ``time``."""
     fresh = rollouts.where((F.col(at) >= step - most_delay) & (F.col(at) <= step))
     if time is not None:
@@ -259,7 +271,10 @@ def replay_buffer(rollouts: DataFrame, capacity: int, step: int, most_delay: int
     return fresh.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= capacity)
 
 
-def replay_sample(buffer: DataFrame, n: int, group: Sequence[str], identifier: str, order: Sequence[str], alpha: float = 1.0, seed: str = "replay") -> DataFrame:
+def replay_sample(
+    buffer: DataFrame, n: int, group: Sequence[str], identifier: str, order: Sequence[str], alpha: float = 1.0,
+    seed: str = "replay",
+) -> DataFrame:
     """Some ``n`` rollouts: of each group in proportion to its size, within it by recency, the k-th oldest with weight ``k ** alpha``."""
     sizes = buffer.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     share = F.round(n * F.col("__n") / F.sum("__n").over(Window.partitionBy(F.lit(0))))  # a row a group

@@ -80,7 +80,10 @@ def copy_files(spark: SparkSession, paths: Sequence[str], folder: str) -> list[s
     return sorted(r[0] for r in rows.mapInArrow(run, "path string").collect())
 
 
-def load(spark: SparkSession, pattern: str, columns: Sequence[str] | None = None, schema: T.StructType | None = None, empty_ok: bool = False) -> DataFrame:
+def load(
+    spark: SparkSession, pattern: str, columns: Sequence[str] | None = None, schema: T.StructType | None = None,
+    empty_ok: bool = False,
+) -> DataFrame:
     """All files of a pattern, by extension; columns that a file lacks are null."""
     paths = files(spark, pattern, empty_ok)
     kinds: dict[str, list[str]] = {}

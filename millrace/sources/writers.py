@@ -56,7 +56,9 @@ def append(frame: DataFrame, path: str, kind: str = "parquet") -> None:
     frame.write.mode("append").format(kind).save(path)
 
 
-def write_token_cache(tokens: DataFrame, path: str, ids: str = "ids", metadata: dict | None = None, skip_existing: bool = False) -> DataFrame:
+def write_token_cache(
+    tokens: DataFrame, path: str, ids: str = "ids", metadata: dict | None = None, skip_existing: bool = False,
+) -> DataFrame:
     """Token arrays as Parquet, and a ledger of rows and tokens by file with running offsets, which is returned."""
     spark = tokens.sparkSession
     write_parquet(tokens, f"{path}/data", skip_existing)
