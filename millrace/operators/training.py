@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let
 from .durable import materialise
-from .folds import packs, running_sums
+from .folds import in_order, packs, running_sums
 from .sampling import draw
 
 
@@ -301,10 +303,32 @@ def weighted_draw(frame: DataFrame, k: int, group: Sequence[str], weight: Column
     return ranked.where(F.col("__rank") <= k).drop("__rank")
 
 
-def moving_average(frame: DataFrame, group: Sequence[str], order: str, value: str, alpha: float = 0.1, prior: float = 0.5) -> DataFrame:
-    """``group, average``: an exponential moving average of each group's values in order."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double"))
-    return frame.groupBy(*group).agg(F.aggregate(values, F.lit(prior), lambda acc, x: (1 - alpha) * acc + alpha * x).alias("average"))
+def moving_average(
+    frame: DataFrame, group: Sequence[str], order: str, value: str, alpha: float = 0.1, prior: float = 0.5,
+) -> DataFrame:
+    """``group, average``: an exponential moving average of each group's values in order; values stream by, only the average is held."""
+    schema = T.StructType([*(frame.schema[c] for c in group), T.StructField("average", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, average, named = None, prior, None
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*named.columns, pa.array([average])], names=schema.names)
+
+        for batch in batches:
+            keys = batch.column("__group").to_numpy()
+            for i, x in enumerate(batch.column("__value").to_pylist()):
+                if named is None or keys[i] != at:
+                    if named is not None:
+                        yield close()
+                    at, average, named = keys[i], prior, batch.select(list(group)).slice(i, 1)
+                if x is not None:
+                    average = (1 - alpha) * average + alpha * x
+        if named is not None:
+            yield close()
+
+    own = frame.select(*dict.fromkeys([*group, order]), F.col(value).cast("double").alias("__value"))
+    return in_order(own, group, [order]).mapInArrow(run, schema)
 
 
 def packed_readout(packs: DataFrame, length: int, pad: int = 0) -> DataFrame:
