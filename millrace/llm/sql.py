@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import PASSES
+from .quality import CUTOFFS, FAILURE, TOLERATED
 from .url_filter import LISTED, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,5 +63,39 @@ FROM ruled
 """
 
 
+def _quality() -> str:
+    word, per = "[^\\x20\\x09-\\x0D]", lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
+    measures = {"symbols_per_word": per("n_symbols", "n_words"), "chars_per_word": per("word_chars", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
+    steps = ", ".join(f"('{m}', {i}, {c:.17g}::DOUBLE)" for m, cutoffs in CUTOFFS.items() for i, c in enumerate(cutoffs))
+    value = "CASE measure " + " ".join(f"WHEN '{m}' THEN {m}" for m in CUTOFFS) + " END"
+    p, level = TOLERATED / len(CUTOFFS), FAILURE / len(CUTOFFS)
+    chance = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}) + (n - j) * ln(1 - {p!r}))"
+    return f"""
+WITH base AS (
+  SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, regexp_extract_all(coalesce(text, ''), '{word}+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM documents),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS times FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base)),
+repeated AS (SELECT doc_id, sum(least(5, coalesce(following - i, 5)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM windows WHERE times > 1) GROUP BY doc_id),
+counted AS (
+  SELECT b.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM base b LEFT JOIN repeated r ON b.doc_id = r.doc_id),
+measured AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"{sql} AS {m}" for m, sql in measures.items())} FROM counted),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+holdout AS (SELECT * FROM measured WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+steps AS (SELECT * FROM (VALUES {steps}) v(measure, step, cutoff)),
+counts AS (SELECT stratum, measure, step, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM holdout, steps GROUP BY ALL),
+tested AS (
+  SELECT *, k < n * {p!r} AND list_sum(list_transform(range(0, k + 1), lambda j: {chance})) <= {level!r} / (SELECT count(DISTINCT stratum) FROM holdout) AS passes FROM counts),
+chosen AS (
+  SELECT stratum, measure, arg_max(cutoff, step) AS cutoff FROM (SELECT *, min(CASE WHEN passes THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, measure ORDER BY step) AS so_far FROM tested)
+  WHERE so_far = 1 GROUP BY stratum, measure),
+beyond AS (SELECT DISTINCT doc_id FROM measured JOIN chosen USING (stratum) WHERE {value} > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept, {", ".join(CUTOFFS)} FROM measured
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _mixing(), "op8_url_filter": _url_filter()}
+    return {"op3_quality_rules": _quality(), "op7_mixing": _mixing(), "op8_url_filter": _url_filter()}
