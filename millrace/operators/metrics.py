@@ -85,7 +85,7 @@ def two_sided_p(t: float, degrees: float) -> float:
 
 
 @F.udf(T.DoubleType())
-def _p_value(slope: float | None, r2: float | None, n: int) -> float | None:
+def _p_value(slope, r2, n):
     if slope is None or r2 is None:
         return 1.0  # a constant history has no trend
     if n <= 2:
