@@ -15,8 +15,8 @@ What leaves a node is links that join groups, fewer than its texts, and never it
 Nodes that stay large are cut into chunks, and each chunk is compared in itself first. If most
 of a node is then one component, a group of near copies, the texts outside it meet every
 chunk, while those inside it have nothing left to find among each other. If not, its texts
-share a passage and little more: such a node branches on, by further tokens, until its parts
-are small or alike.
+share a passage and little more: such a node, if it is a crowd, branches on by further tokens,
+until its parts are small or alike.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links;
 a text with fewer words than a shingle has one shingle, the sequence of its words; a null id
@@ -48,6 +48,8 @@ SMALL = 256
 SHRINKS = 0.3
 #: A node is alike when one component is more than this share of it, or one child; others branch on, by so many levels.
 ALIKE, MORE_LEVELS = 0.6, 7
+#: A node up to this size may meet all its chunks, alike or not: some 1e8 comparisons of sketches, dealt over thousands of tiles.
+CROWD = 1 << 14
 #: Classes that are broadcast at most to pick their texts, some 8 MB; beyond it all texts are shuffled to them.
 MOST_BROADCAST_IDS = 250_000
 #: Minwise tokens in which a pair may fall short of the threshold, in standard deviations, before it is compared on full
@@ -399,7 +401,7 @@ def links(classes: DataFrame, texts: Texts, width: int, percent: int) -> DataFra
     if not large.take(1):
         return found
     grouped, mixed = _mixed(large, found)
-    crowds = mixed.where(F.col("most") < ALIKE * F.col("all")).select("node")
+    crowds = mixed.where((F.col("most") < ALIKE * F.col("all")) & (F.col("all") > CROWD)).select("node")
     if crowds.take(1):
         members = grouped.join(crowds, "node", "left_semi").select("node", "id").join(classes.select("id", "tokens"), "id")
         # The nodes' own numbers choose other tokens from here on.

@@ -325,6 +325,7 @@ def test_near_texts(spark, width, percent):
 
 def test_near_texts_that_share_a_passage(spark, monkeypatch):
     monkeypatch.setattr(near_texts, "SMALL", 16)
+    monkeypatch.setattr(near_texts, "CROWD", 40)
     rng = np.random.default_rng(9)
     word = lambda: "w" + str(int(rng.integers(0, 50_000)))
     passage, rows = [word() for _ in range(60)], []
