@@ -394,7 +394,17 @@ def validate_fields(t):
 def classify_quality(t):
     labelled = t.documents.join(t.labels, "doc_id")
     model = classify.LinearModel.fit(labelled, "text", "quality", "doc_id")
-    return classify.predictions(t.documents, model, "doc_id", "text").select("doc_id", F.round("score", 4).alias("score"))
+    docs = spread(t.documents.select("doc_id", "text"))
+    return classify.predictions(docs, model, "doc_id", "text").select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def classify_toxic(t):
+    labelled = t.documents.join(t.labels, "doc_id")
+    model = classify.LinearModel.fit(labelled, "text", "toxic", "doc_id", balanced=True)
+    docs = spread(t.documents.select("doc_id", "text"))
+    scored = classify.predictions(docs, model, "doc_id", "text")
+    return scored.select("doc_id", F.round("score", 4).alias("score"), (F.col("score") > 0.5).alias("toxic"))
 
 
 # Conversations and questions.

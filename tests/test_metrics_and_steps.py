@@ -130,3 +130,19 @@ def test_steps(spark, tmp_path):
     object.__setattr__(loop, "inputs", (loop,))
     with pytest.raises(ValueError):
         steps.ordered([loop])
+
+
+def test_classifier_on_held_out_texts(spark):
+    rng = np.random.default_rng(11)
+    bad = [f"bad{i}" for i in range(12)]
+    rows = []
+    for i in range(1200):
+        words = [f"w{int(rng.zipf(1.3)) % 3000}" for _ in range(int(rng.integers(20, 200)))]
+        toxic = int(rng.random() < 0.1)
+        if toxic:
+            words[:: max(1, len(words) // 4)] = rng.choice(bad, len(words[:: max(1, len(words) // 4)])).tolist()
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = classify.LinearModel.fit(docs.where("doc_id < 800"), "text", "toxic", "doc_id", balanced=True)
+    got = classify.predictions(docs.where("doc_id >= 800"), model, "doc_id", "text").join(docs, "doc_id").collect()
+    assert np.mean([(r.score > 0.5) == bool(r.toxic) for r in got]) > 0.97 and np.mean([r.score > 0.5 for r in got if r.toxic]) > 0.9
