@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import PASSES
 from .quality import CUTOFFS, FAILURE, TOLERATED
+from .repeats import SPAN
 from .url_filter import LISTED, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +64,52 @@ FROM ruled
 """
 
 
+def _repeats(span: int = SPAN) -> str:
+    return f"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * span}) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {span - 1})) AS p FROM bytes)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {span} THEN 1 ELSE 0 END AS new FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM hits),
+runs AS (SELECT doc_id, min(p) AS b, max(p) + {span} AS e FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS prev FROM runs),
+kept AS (
+  SELECT c.doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * prev + 1, 2 * (b - prev)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS k
+  FROM cuts c JOIN bytes USING (doc_id) GROUP BY c.doc_id)
+SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM bytes b LEFT JOIN kept USING (doc_id)
+"""
+
+
+#: Closes ``links (a, b)`` into ``comp (node, component)`` over ``nodes (node)``.
+_CLOSED = """ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+def _near_vectors(cosine: float = 0.95) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+fine AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
+nodes AS (SELECT vec_id AS node FROM embeddings), {_CLOSED},
+degree AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, component = node AS kept FROM comp LEFT JOIN degree ON a = node
+"""
+
+
+def _near_texts(width: int = 3, percent: int = 85) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+items AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM items a JOIN items b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * n >= {percent} * (na + nb - n)),
+nodes AS (SELECT doc_id AS node FROM documents), {_CLOSED}
+SELECT node AS doc_id, len(g)::BIGINT AS n_shingles, component AS component_id, component = node AS kept FROM comp JOIN sets ON doc_id = node
+"""
+
+
 def _quality() -> str:
     word, per = "[^\\x20\\x09-\\x0D]", lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END"
     measures = {"symbols_per_word": per("n_symbols", "n_words"), "chars_per_word": per("word_chars", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
@@ -98,4 +145,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op7_mixing": _mixing(), "op8_url_filter": _url_filter()}
+    return {
+        "op1_repeats": _repeats(), "op2_near_vectors": _near_vectors(), "op3_quality_rules": _quality(), "op4_near_texts": _near_texts(),
+        "op7_mixing": _mixing(), "op8_url_filter": _url_filter(),
+    }
