@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .conversations import answer_index, choice_prompt, choice_response
+from .relational import fold_batches
 
 
 def nested(record: Column, path: str, default: str | None = None) -> Column:
@@ -70,14 +71,9 @@ def lettered_question(question: Column, options: Sequence[Column], right: Column
 
 def chunked_texts(parts: DataFrame, most: int, group: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
     """``group, chunk, text``: texts in order, each with a line feed, gathered until they are longer than ``most``; the rest is the last chunk."""
-    from .folds import packs
-
-    sized = parts.withColumn("__n", (F.length(text) + 1).cast("long"))
-    closes = lambda rows, total, n: total > most
-    cuts = packs(sized, closes, "__n", group, order, ("chunk", "__rows", "__total"))
-    ends = F.sum("__rows").over(Window.partitionBy(*group).orderBy("chunk"))
-    cuts = cuts.withColumn("__end", ends).withColumn("__begin", F.col("__end") - F.col("__rows"))
-    placed = sized.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-    joined = placed.join(cuts, [*group]).where("__at >= __begin and __at < __end")
-    ordered = F.array_sort(F.collect_list(F.struct("__at", text)))
-    return joined.groupBy(*group, "chunk").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x[text], F.lit("\n"))), "").alias("text"))
+    def fold(held, row):
+        return (False, None) if held is not None and held > most else (True, (held or 0) + len(row[text] or "") + 1)
+
+    numbered = fold_batches(parts.select(*group, *order, text), fold, group, order, "chunk")
+    ordered = F.array_sort(F.collect_list(F.struct(*order, text)))
+    return numbered.groupBy(*group, "chunk").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x[text], F.lit("\n"))), "").alias("text"))
