@@ -50,7 +50,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset("head script style noscript template nav header footer aside form iframe object svg canvas button select textarea dialog menu title xmp noembed noframes".split())
-CLOSED_BY = {"p": frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+CLOSED_BY = {
+    "p": frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]),
+    "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])
+}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promotion related share sharing sidebar social sponsor sponsored subscribe widget widgets".split())
 #: Parts of a name that say that the element is about one of the above, or that it has none.
@@ -321,7 +326,10 @@ def extract(
 ) -> DataFrame:
     """``id, url, text, n_chars`` of every row of ``pages``."""
     host = host_and_path(F.coalesce(F.col(url_column).cast("string"), F.lit("")))[0]
-    own = spread(pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html")))
+    own = spread(pages.select(
+        F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"),
+        F.col(html_column).cast("string").alias("html")
+    ))
     nodes = materialise(_low_nodes(own, least_seen, low))
     bytes_of = F.aggregate("low", F.lit(64), lambda a, x: a + 8 * F.size(x["contents"]) + 48)
     size = nodes.agg(F.sum(F.length("host") + bytes_of)).first()[0] or 0
@@ -330,7 +338,10 @@ def extract(
     else:
         salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = own.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    schema = T.StructType([pages.schema[id_column], pages.schema[url_column], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([
+        pages.schema[id_column], pages.schema[url_column], T.StructField("text", T.StringType()),
+        T.StructField("n_chars", T.LongType())
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):

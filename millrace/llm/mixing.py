@@ -99,7 +99,9 @@ def last_taken(queues: DataFrame, weights: Sequence[float], share: float) -> Dat
     inside = Window.partitionBy("skey", "range").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
     queued = F.col("before") + F.sum("size").over(inside)
     placed = base.where("size > 0").join(ranges, ["skey", "range"]).where("target > 0").withColumn("queued", queued)
-    turns = F.array(*(F.struct(F.lit(t).alias("turn"), ((F.col("queued") + t * F.col("source_size")) / F.col("target")).alias("finish")) for t in range(PASSES)))
+    turns = F.array(*(F.struct(
+        F.lit(t).alias("turn"), ((F.col("queued") + t * F.col("source_size")) / F.col("target")).alias("finish")
+    ) for t in range(PASSES)))
     entries = placed.select("skey", "hash", "size", F.explode(turns).alias("at")).select("skey", "hash", "size", "at.*")
     entries = materialise(entries.withColumn("bin", F.floor(F.col("finish") * bins)).coalesce(tasks))
     budget = share * (goals.agg(F.sum("source_size")).first()[0] or 0)
@@ -165,7 +167,10 @@ def mixed_documents(
     queues = materialise(docs.select(*_queued(seed, id_column, text_column, source_column)))
     sources = last_taken(queues, weights, share)
     text = F.col(text_column).cast("string")
-    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), source_key(F.col(source_column)).alias("skey"), queue_hash(seed, F.col(id_column), text).alias("hash"))
+    own = docs.select(
+        F.struct(*(F.col(c) for c in docs.columns)).alias("row"), source_key(F.col(source_column)).alias("skey"),
+        queue_hash(seed, F.col(id_column), text).alias("hash")
+    )
     found = with_sources(own, sources).withColumn("times", times_taken()).where(F.col("times") > 0)
     found = found.where(F.col(f"row.`{text_column}`").cast("string").rlike(WORD))
     copies = found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

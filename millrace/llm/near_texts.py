@@ -152,7 +152,10 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, mi
             sets = [shingles(t or b"", width) for t in texts]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            columns = [
+                batch.column("id"), batch.column("text_hash"), pa.array(map(len, sets), pa.int64()),
+                pa.array(keys[:, 0]), pa.array(keys[:, 1])
+            ]
             names = ["id", "text_hash", "n_shingles", "k0", "k1"]
             if minwise:
                 tokens, sketches = [None] * len(sets), [None] * len(sets)
@@ -166,7 +169,9 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, width: int, mi
                 names += ["sketch", "tokens"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spread(_texts(docs, id_column, text_column)).mapInArrow(run, "id long, text_hash long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise)
+    return spread(_texts(docs, id_column, text_column)).mapInArrow(
+        run, "id long, text_hash long, n_shingles long, k0 long, k1 long" + ", sketch binary, tokens binary" * minwise
+    )
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -418,7 +423,9 @@ def links(classes: DataFrame, texts: Texts, width: int, percent: int) -> DataFra
     chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     slot = F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot")
     targets = mixed.select("node", own.alias("chunk"), slots, "id", "group", F.lit(False).alias("probe"), always.alias("target"), "sketch", "leaves")
-    probes = mixed.where(F.col("group") != F.col("largest")).select("node", chunks, slot, "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch", "leaves")
+    probes = mixed.where(F.col("group") != F.col("largest")).select(
+        "node", chunks, slot, "id", "group", always.alias("probe"), F.lit(False).alias("target"), "sketch", "leaves"
+    )
     more = _linked(materialise(_involved(targets.unionByName(probes), least)), texts, width, percent)
     return found.unionByName(more)
 
@@ -440,7 +447,10 @@ def _sketched(ends: DataFrame, classes: DataFrame) -> DataFrame:
 def _inside_chunks(sketched: DataFrame, group, least: float, texts: Texts, width: int, percent: int) -> DataFrame:
     """Links inside the chunks of nodes."""
     always = F.lit(True)
-    rows = sketched.select("node", _own_chunk().alias("chunk"), F.lit(0).alias("slot"), "id", group.alias("group"), always.alias("probe"), always.alias("target"), "sketch", "leaves")
+    rows = sketched.select(
+        "node", _own_chunk().alias("chunk"), F.lit(0).alias("slot"), "id", group.alias("group"),
+        always.alias("probe"), always.alias("target"), "sketch", "leaves"
+    )
     return materialise(_linked(materialise(_involved(rows, least)), texts, width, percent))
 
 
@@ -464,7 +474,10 @@ def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percen
     # One row a class, of its least document; equal rows are combined before the shuffle. Classes are numbered, and the numbers stored.
     least = full.groupBy("k0", "k1").agg(F.min(F.struct("id", "text_hash", "sketch", "tokens")).alias("least"))
     number = F.monotonically_increasing_id().alias("id")
-    classes = materialise(least.select("k0", "k1", number, F.col("least.id").alias("doc"), *(F.col(f"least.{c}") for c in ("text_hash", "sketch", "tokens"))))
+    classes = materialise(least.select(
+        "k0", "k1", number, F.col("least.id").alias("doc"),
+        *(F.col(f"least.{c}") for c in ("text_hash", "sketch", "tokens"))
+    ))
     heads = classes.select("id", "doc", "text_hash")
     rows = _texts(docs, id_column, text_column).where("text is not null").withColumnRenamed("id", "doc")
     components = connected_components(links(classes.select("id", "sketch", "tokens"), Texts(rows, heads), width, percent))
@@ -474,12 +487,17 @@ def judged(docs: DataFrame, id_column: str, text_column: str, width: int, percen
     few = leasts.count() <= MOST_BROADCAST_IDS
     of_class = components.join(F.broadcast(leasts) if few else leasts, "component").select(F.col("node").alias("id"), "head")
     own = F.struct("doc", "text_hash")
-    named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select("k0", "k1", F.coalesce("head", "own").alias("head")).coalesce(tasks))
+    named = materialise(classes.select("id", "k0", "k1", own.alias("own")).join(of_class, "id", "left").select(
+        "k0", "k1", F.coalesce("head", "own").alias("head")
+    ).coalesce(tasks))
     signed = signatures(docs, id_column, text_column, width, False)
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     out = signed.join(named, ["k0", "k1"], "left")
     named_by = lambda field, alone: F.when(linked, F.col(f"head.{field}")).otherwise(F.col(alone))
-    return out.select("id", "text_hash", "n_shingles", named_by("doc", "id").alias("component_id"), named_by("text_hash", "text_hash").alias("head_hash"))
+    return out.select(
+        "id", "text_hash", "n_shingles", named_by("doc", "id").alias("component_id"),
+        named_by("text_hash", "text_hash").alias("head_hash")
+    )
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -489,7 +507,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes with a proposed neighbour only.
     """
     out = judged(docs, id_column, text_column, width, percent)
-    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_column), "n_shingles", "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -504,7 +525,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     counts = found.where(stays).groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).count()
     repeated = materialise(counts.where("count > 1").select("__id", "__hash"))
     key = ["__id", "__hash"]
-    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col(id_column).cast("long").alias("__id"), F.xxhash64(F.col(text_column).cast("string")).alias("__hash"))
+    own = docs.select(
+        F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col(id_column).cast("long").alias("__id"),
+        F.xxhash64(F.col(text_column).cast("string")).alias("__hash")
+    )
     stay = own.join(gone, key, "left_anti")
     if repeated.take(1):
         once = stay.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))

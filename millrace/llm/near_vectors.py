@@ -104,7 +104,9 @@ def plan(*of) -> Plan:
 
 
 def _units(column: pa.Array, length: int) -> np.ndarray:
-    rows = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[len(column)].as_py()].astype(np.float64).reshape(-1, length)
+    rows = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[len(column)].as_py()].astype(np.float64).reshape(
+        -1, length
+    )
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -145,7 +147,9 @@ def _alike(a: str, b: str):
 
 def _verified(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     """The pairs ``a, b`` whose cosine reaches the threshold."""
-    left, right = vectors.select(F.col("id").alias("a"), F.col("vector").alias("x")), vectors.select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    left, right = vectors.select(
+        F.col("id").alias("a"), F.col("vector").alias("x")
+    ), vectors.select(F.col("id").alias("b"), F.col("vector").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,18 +169,26 @@ def links(vectors: DataFrame, length: int, cosine: float, recall: float) -> Data
     first = min(made.rotations, max(1, 8 // made.blocks))
     rows = _cell_rows(vectors, length, of, first, [])
     least = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s0", "s1")).alias("head")).where("n > 1")
-    stars = rows.join(least, "cell").select(F.col("head.id").alias("a"), F.col("id").alias("b"), "head", F.struct("s0", "s1").alias("own")).where("a < b").where(_alike("head", "own"))
+    stars = rows.join(least, "cell").select(
+        F.col("head.id").alias("a"), F.col("id").alias("b"), "head", F.struct("s0", "s1").alias("own")
+    ).where("a < b").where(_alike("head", "own"))
     found = materialise(_verified(stars.select("a", "b").distinct(), vectors, cosine))
     joined = connected_components(found)
-    known = vectors.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "vector", F.coalesce("component", "id").alias("group"))
+    known = vectors.join(
+        joined.select(F.col("node").alias("id"), "component"), "id", "left"
+    ).select("id", "vector", F.coalesce("component", "id").alias("group"))
     rows = _cell_rows(known, length, of, made.rotations, ["group"])
     # Within a cell only vectors of different groups meet; most cells with company are one group, and drop out here.
-    mixed = rows.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("cell", "n")
+    mixed = rows.groupBy("cell").agg(
+        F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")
+    ).where("low <> high").select("cell", "n")
     rows = materialise(rows.join(mixed, "cell"))
     crowded = rows.where(F.col("n") > CROWD).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     # Of a small cell the engine makes all pairs, at most CROWD for each row.
     one, two = (rows.where(F.col("n") <= CROWD).alias(name) for name in ("one", "two"))
-    met = one.join(two, F.col("one.cell") == F.col("two.cell")).where((F.col("one.id") < F.col("two.id")) & (F.col("one.group") != F.col("two.group")))
+    met = one.join(
+        two, F.col("one.cell") == F.col("two.cell")
+    ).where((F.col("one.id") < F.col("two.id")) & (F.col("one.group") != F.col("two.group")))
     pairs = met.where(_alike("one", "two")).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
     more = _verified(pairs.unionByName(_candidates(crowded)).distinct(), vectors, cosine)
     return found.unionByName(more)
@@ -288,8 +300,13 @@ def near_duplicates(
     """``id, n_links, component_id, kept`` of every row of ``vectors``."""
     rows = fingerprinted(vectors, id_column, vector_column)
     # Copies are combined inside tasks before the shuffle; classes are numbered, and the numbers stored.
-    grouped = rows.where("h0 is not null").groupBy("h0", "h1").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
-    classes = materialise(grouped.select(F.monotonically_increasing_id().alias("id"), "h0", "h1", "doc", "weight", F.size("vector").alias("length"), "vector"))
+    grouped = rows.where("h0 is not null").groupBy("h0", "h1").agg(
+        F.min("id").alias("doc"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")
+    )
+    classes = materialise(grouped.select(
+        F.monotonically_increasing_id().alias("id"), "h0", "h1", "doc", "weight", F.size("vector").alias("length"),
+        "vector"
+    ))
     # One plan of rotations for each length that at least two vectors have; a table of embeddings has few.
     lengths = [r["length"] for r in classes.groupBy("length").count().where("count > 1").select("length").collect()]
     edges = None
@@ -305,11 +322,16 @@ def near_duplicates(
         heads = materialise(known.groupBy("component").agg(F.min("doc").alias("head")).coalesce(tasks_for(classes.count())))
         few = heads.count() <= MOST_BROADCAST
         counts = count_links(known.drop("doc"), cosine)
-        joined = members.join(F.broadcast(heads) if few else heads, "component").join(counts, "id").select("id", F.col("n_links").alias("own_links"), "head")
+        joined = members.join(
+            F.broadcast(heads) if few else heads, "component"
+        ).join(counts, "id").select("id", F.col("n_links").alias("own_links"), "head")
         placed = classes.select("id", "h0", "h1", "doc", "weight").join(joined, "id", "left")
         placed = placed.select("h0", "h1", F.coalesce("own_links", F.col("weight") - 1).alias("n_links"), F.coalesce("head", "doc").alias("doc"))
     placed = materialise(placed)
     small = placed.count() <= MOST_BROADCAST
     out = rows.select("id", "h0", "h1").join(F.broadcast(placed) if small else placed, ["h0", "h1"], "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("doc", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_column), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_column), "n_links", "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )

@@ -192,9 +192,15 @@ def redact(text: str, spans: list[Span]) -> str:
 #: What a sink makes of the texts and their spans: one Arrow array for each field of its schema.
 Sink = Callable[[list[str | None], list[list[Span]]], list[pa.Array]]
 
-SPANS = T.StructType([T.StructField("pii", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])))])
+SPANS = T.StructType([T.StructField(
+    "pii",
+    T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
+)])
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-DIGESTS = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("scores", T.StringType())])
+DIGESTS = T.StructType([
+    *(T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS), T.StructField("base_sha256", T.StringType()),
+    T.StructField("spans", T.StringType()), T.StructField("scores", T.StringType())
+])
 REDACTED = T.StructType([T.StructField("redacted", T.StringType())])
 
 
@@ -246,5 +252,7 @@ def redacted_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     if length_column in docs.columns:
         # Only where spans changed the text does its length change.
         kind = docs.schema[length_column].dataType
-        columns[length_column] = F.when(F.col("redacted").isNull(), F.col(length_column)).otherwise(F.length("redacted")).cast(kind).alias(length_column)
+        columns[length_column] = F.when(
+            F.col("redacted").isNull(), F.col(length_column)
+        ).otherwise(F.length("redacted")).cast(kind).alias(length_column)
     return out.select(*(columns[c] for c in docs.columns))

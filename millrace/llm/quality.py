@@ -84,7 +84,10 @@ def base_failed() -> Column:
 def measures() -> dict[str, Column]:
     """The measures that cutoffs apply to; 0 where there is nothing to measure."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return {"symbols_per_word": per("n_symbols", "n_words"), "chars_per_word": per("word_chars", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
+    return {
+        "symbols_per_word": per("n_symbols", "n_words"), "chars_per_word": per("word_chars", "n_words"),
+        "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words")
+    }
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -98,7 +101,9 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
         log = acc["log"] + F.ln((n - j + 1) / j) + odds
         return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
-    steps = F.when((k > 0) & (k < n * p), F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    steps = F.when(
+        (k > 0) & (k < n * p), F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long")))
+    ).otherwise(F.array().cast("array<bigint>"))
     return F.when(k >= n * p, 1.0).otherwise(F.aggregate(steps, start, add, lambda acc: acc["sum"]))
 
 
@@ -112,11 +117,16 @@ def accepted_cutoffs(
     aggregated before anything is shuffled.
     """
     names = [(m, i, c) for m, cs in cutoffs.items() for i, c in enumerate(cs)]
-    counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col(m) > c, 1)).alias(f"k_{m}_{i}") for m, i, c in names))
+    counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(
+        F.count(F.when(F.col(m) > c, 1)).alias(f"k_{m}_{i}") for m, i, c in names
+    ))
     level = failure / len(cutoffs)
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
     counts = counts.join(F.broadcast(strata))  # one row
-    tests = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{m}_{i}").alias("k")) for m, i, c in names))
+    tests = F.array(*(
+        F.struct(F.lit(m).alias("measure"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{m}_{i}").alias("k")) for m,
+        i, c in names
+    ))
     rows = counts.select("stratum", "n", "strata", F.explode(tests).alias("r")).select("stratum", "n", "strata", "r.*")
     tested = rows.withColumn("passes", binomial_tail(F.col("k"), F.col("n"), tolerated / len(cutoffs)) <= level / F.col("strata"))
     failed = F.min(F.when(~F.col("passes"), F.col("step")))
@@ -155,7 +165,9 @@ def verdicts(counted: DataFrame, fitted: DataFrame, cutoffs: Mapping[str, Sequen
         judged = counted.join(F.broadcast(fitted), "stratum", "left")
     else:
         salted = fitted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        judged = counted.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "__salt"], "left").drop("__salt")
+        judged = counted.withColumn(
+            "__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")
+        ).join(salted, ["stratum", "__salt"], "left").drop("__salt")
     beyond = F.lit(False)
     for m in cutoffs:
         beyond = beyond | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
@@ -173,7 +185,10 @@ def judge(
     """
     counted = materialise(counted_and_measured(docs, id_column, text_column, stratum_column))
     judged = verdicts(counted, fit(counted, labels, cutoffs, tolerated, failure, id_column), cutoffs)
-    return judged.select(F.col("__id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *cutoffs)
+    return judged.select(
+        F.col("__id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", *cutoffs
+    )
 
 
 def good_documents(

@@ -78,4 +78,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repeats, op2_near_vectors, op3_quality_rules, op4_near_texts, op5_html_text, op6_token_files, op7_mixing, op8_url_filter, op9_pii, op10_sentencepiece)}
+    return {f.__name__: f for f in (
+        op1_repeats, op2_near_vectors, op3_quality_rules, op4_near_texts, op5_html_text, op6_token_files, op7_mixing,
+        op8_url_filter, op9_pii, op10_sentencepiece
+    )}

@@ -109,7 +109,9 @@ class Batch:
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_binary())
         texts = texts.fill_null(b"")
-        self.offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.offsets = np.frombuffer(
+            texts.buffers()[1], np.int64
+        )[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         data = texts.buffers()[2] if len(texts) else None
         self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         self._parse()
@@ -164,8 +166,14 @@ class Batch:
             last = valid.copy()
             last[:-1] &= ~valid[1:] | (trigger[1:] != trigger[:-1])
             first, final = np.flatnonzero(new), np.flatnonzero(last)
-            phrase = _mix((sums[final + span] - sums[first]) * inverse[first] + (final - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 0x51)
-            parts.append((_mix(grams[trigger[first]], 0xA5), phrase, s.docs[np.searchsorted(s.starts, first, "right") - 1], first, final, np.full(len(first), number)))
+            phrase = _mix(
+                (sums[final + span] - sums[first]) * inverse[first] + (final - first).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F),
+                0x51
+            )
+            parts.append((
+                _mix(grams[trigger[first]], 0xA5), phrase, s.docs[np.searchsorted(s.starts, first, "right") - 1],
+                first, final, np.full(len(first), number)
+            ))
         if not parts:
             parts.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))))
         triggers, phrases, self.run_doc, self.first, self.final, self.run_slice = (np.concatenate(x) for x in zip(*parts))
@@ -187,7 +195,10 @@ class Batch:
         form_heads = np.flatnonzero(new_form)
         least_doc[order] = d[form_heads][np.cumsum(new_form) - 1] if len(p) else d
         self.group, self.least_doc, self.several, self.run_id = group, least_doc, several, ids
-        self.entries = _Entries(p[heads] & _LOW32, np.where(several, _SEVERAL, f[heads]), np.where(several, 0, d[heads]), np.searchsorted(p[heads] >> np.uint64(32), np.arange(self.buckets + 1, dtype=np.uint64)))
+        self.entries = _Entries(
+            p[heads] & _LOW32, np.where(several, _SEVERAL, f[heads]), np.where(several, 0, d[heads]),
+            np.searchsorted(p[heads] >> np.uint64(32), np.arange(self.buckets + 1, dtype=np.uint64))
+        )
 
     def decide(self, dup: np.ndarray, several: np.ndarray) -> None:
         """Use the answers for phrases: ``gone`` runs are removed whole, ``open`` ones by suffix."""
@@ -229,8 +240,12 @@ class Batch:
         run, start = self.suffix_run[hit], self.suffix_start[hit]
         gone = np.flatnonzero(self.gone)
         docs = np.concatenate([self.run_doc[gone], self.run_doc[run]])
-        begins = np.concatenate([base[self.run_slice[gone]] + self.first[gone], base[self.run_slice[run]] + start]) if len(base) else np.zeros(0, np.int64)
-        ends = np.concatenate([base[self.run_slice[gone]] + self.final[gone], base[self.run_slice[run]] + start]) + self.span if len(base) else np.zeros(0, np.int64)
+        begins = np.concatenate([
+            base[self.run_slice[gone]] + self.first[gone], base[self.run_slice[run]] + start
+        ]) if len(base) else np.zeros(0, np.int64)
+        ends = np.concatenate([
+            base[self.run_slice[gone]] + self.final[gone], base[self.run_slice[run]] + start
+        ]) + self.span if len(base) else np.zeros(0, np.int64)
         order = np.argsort(begins, kind="stable")
         docs, begins, ends = docs[order], begins[order], ends[order]
         new = np.ones(len(docs), bool)
@@ -260,7 +275,10 @@ def _sent(batch: int, entries: _Entries, kind: int) -> pa.Table:
     return pa.table(rows, schema=_SENT)
 
 
-_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int32()), ("least", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("forms", pa.binary()), ("docs", pa.binary())])
+_SENT = pa.schema([
+    ("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int32()), ("least", pa.int64()), ("n", pa.int32()),
+    ("keys", pa.binary()), ("forms", pa.binary()), ("docs", pa.binary())
+])
 _SENT_DDL = "kind int, bucket int, batch int, least long, n int, keys binary, forms binary, docs binary"
 _ANSWER = pa.schema([("kind", pa.int32()), ("batch", pa.int32()), ("bucket", pa.int32()), ("dup", pa.binary()), ("several", pa.binary())])
 _ANSWER_DDL = "kind int, batch int, bucket int, dup binary, several binary"
@@ -274,7 +292,10 @@ def answer(sent: pa.Table) -> pa.Table:
     columns = {n: sent.column(n).to_pylist() for n in sent.column_names}
     kind, sizes = columns["kind"][0], columns["n"]
     keys = np.concatenate([np.frombuffer(x, "<u4" if kind == 0 else "<u8") for x in columns["keys"]]).astype(np.uint64)
-    docs = np.concatenate([np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8").astype(np.int64) + least for x, n, least in zip(columns["docs"], sizes, columns["least"])])
+    docs = np.concatenate([
+        np.frombuffer(x, "<u4" if len(x) == 4 * n else "<u8").astype(np.int64) + least for x, n,
+        least in zip(columns["docs"], sizes, columns["least"])
+    ])
     forms = np.concatenate([np.frombuffer(x, "<u4", n).astype(np.uint64) for x, n in zip(columns["forms"], sizes)])
     if kind == 0:
         forms |= np.concatenate([np.frombuffer(x, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32) for x, n in zip(columns["forms"], sizes)])
@@ -292,7 +313,10 @@ def answer(sent: pa.Table) -> pa.Table:
     several[order] = many[np.cumsum(new_key) - 1]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     pack = lambda x: [np.packbits(x[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"kind": columns["kind"], "batch": columns["batch"], "bucket": columns["bucket"], "dup": pack(dup), "several": pack(several) if kind == 0 else [b""] * len(sizes)}, schema=_ANSWER)
+    return pa.table(
+        {"kind": columns["kind"], "batch": columns["batch"], "bucket": columns["bucket"], "dup": pack(dup), "several": pack(several) if kind == 0 else [b""] * len(sizes)},
+        schema=_ANSWER
+    )
 
 
 def _bits(answers: pa.Table, kind: int, column: str, entries: _Entries) -> np.ndarray:
@@ -323,7 +347,10 @@ def digest(batch: Batch, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.
         sha.update(view[at : int(batch.offsets[i + 1])])
         removed.append(gone)
         shas.append(sha.hexdigest())
-    return pa.table([batch.ids, pa.array(np.diff(batch.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(shas, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.table(
+        [batch.ids, pa.array(np.diff(batch.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(shas, pa.string())],
+        names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    )
 
 
 DIGEST_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -343,7 +370,10 @@ def remaining(batch: Batch, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
             at = e
         kept.append(b"".join([*out, data[at : int(batch.offsets[i + 1])]]))
         spans.append(own)
-    return pa.table([batch.ids, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=["id", "kept", "spans"])
+    return pa.table(
+        [batch.ids, pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
+        names=["id", "kept", "spans"]
+    )
 
 
 REMAINING_DDL = "id long, kept binary, spans array<struct<begin: long, end: long>>"

@@ -162,13 +162,22 @@ def codec(path: str) -> Codec:
 #: What a sink gets: the codec, the texts, and per text the ids, first bytes, end bytes and the decoded text.
 Sink = Callable[[Codec, list[str], list[list[int]], list[tuple[np.ndarray, np.ndarray]], list[str]], list[pa.Array]]
 
-PIECES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("begins", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())])
-DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_covered_bytes", T.LongType())])
+PIECES = T.StructType([
+    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("begins", T.ArrayType(T.LongType())),
+    T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())
+])
+DIGESTS = T.StructType([
+    T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+    T.StructField("decoded_sha256", T.StringType()), T.StructField("n_covered_bytes", T.LongType())
+])
 
 
 def pieces_sink(_codec, _texts, ids, spans, decoded) -> list[pa.Array]:
     """Ids, spans and decoded text as columns."""
-    return [pa.array(ids, pa.list_(pa.int32())), pa.array([b for b, _ in spans], pa.list_(pa.int64())), pa.array([e for _, e in spans], pa.list_(pa.int64())), pa.array(decoded, pa.string())]
+    return [
+        pa.array(ids, pa.list_(pa.int32())), pa.array([b for b, _ in spans], pa.list_(pa.int64())),
+        pa.array([e for _, e in spans], pa.list_(pa.int64())), pa.array(decoded, pa.string())
+    ]
 
 
 def digest_sink(codec_, _texts, ids, spans, decoded) -> list[pa.Array]:
@@ -176,7 +185,11 @@ def digest_sink(codec_, _texts, ids, spans, decoded) -> list[pa.Array]:
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     names = codec_.names
     covered = [int((e - b).sum()) for b, e in spans]
-    return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join([names[i] for i in x])) for x in ids], pa.string()), pa.array([sha(x) for x in decoded], pa.string()), pa.array(covered, pa.int64())]
+    return [
+        pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([sha(",".join([names[i] for i in x])) for x in ids], pa.string()),
+        pa.array([sha(x) for x in decoded], pa.string()), pa.array(covered, pa.int64())
+    ]
 
 
 def encode_documents(

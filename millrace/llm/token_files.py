@@ -110,7 +110,9 @@ class WordEncoder:
         if len(self.words) > self.most_words:
             self._forget()
         unusual = pc.match_substring_regex(texts, self.unusual)
-        whole = {k: self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()}
+        whole = {k: self.tokenizer.encode(
+            texts[k].as_py(), add_special_tokens=False
+        ).ids for k in np.flatnonzero(unusual.to_numpy(zero_copy_only=False)).tolist()}
         plain = pc.binary_join_element_wise(_FIRST, pc.if_else(unusual, "", texts), "")
         words = pc.split_pattern(pc.replace_substring(plain, "\n", " " + _LINE), " ")
         coded = words.flatten().dictionary_encode()

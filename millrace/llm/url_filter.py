@@ -28,7 +28,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 #: Listed sites.
-LISTED = tuple(f"http://{name}.example.{zone}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org"))
+LISTED = tuple(f"http://{name}.example.{zone}/" for name in (
+    "ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"
+) for zone in ("com", "net", "org"))
 
 #: A filter up to this size is broadcast; a larger one is joined by shuffling both sides.
 MOST_BROADCAST_BYTES = 16 << 20
@@ -114,7 +116,9 @@ def listed_urls(
     """The distinct ``__url`` of ``urls`` that the list covers."""
     keys = listed.select(canonical(F.col(listed_column).cast("string")).alias("key")).where(F.col("key") != "/").distinct()
     labels, folders = shape(F.col("key"))
-    shaped = keys.groupBy(labels.alias("labels"), folders.alias("folders")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("key")).alias("longest")).collect()
+    shaped = keys.groupBy(labels.alias("labels"), folders.alias("folders")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("key")).alias("longest")
+    ).collect()
     count, longest = sum(r["n"] for r in shaped), max((r["longest"] for r in shaped), default=0)
     blocks = max(1, -(-count * bits_per_key // 256))
     small = blocks * 48 <= MOST_BROADCAST_BYTES and count * (longest + 64) <= MOST_BROADCAST_BYTES
