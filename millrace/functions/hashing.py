@@ -112,4 +112,6 @@ def blake2b_64(text: pa.Array) -> pa.Array:
     import decimal
 
     data = (None if x is None else x.encode() if isinstance(x, str) else x for x in text.to_pylist())
-    return pa.array([None if x is None else decimal.Decimal(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big")) for x in data], pa.decimal128(20, 0))
+    return pa.array([None if x is None else decimal.Decimal(int.from_bytes(
+        hashlib.blake2b(x, digest_size=8).digest(), "big"
+    )) for x in data], pa.decimal128(20, 0))

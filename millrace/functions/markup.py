@@ -23,7 +23,10 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SILENT = frozenset("head script style noscript template svg iframe object canvas button select textarea".split())
 NO_CONTENT = frozenset("nav header footer aside form dialog menu".split())
 #: What an element's begin closes, if it is the nearest open one of these.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"),
+    "th": ("td", "th"), "option": ("option",)
+}
 SCOPES = frozenset("ul ol dl table tr tbody thead tfoot body html div section article td th".split())
 
 
@@ -226,12 +229,18 @@ OPERATORS = dict(
 ∣ \mid
 ℏ \hslash""".splitlines()
 )
-GREEK_EXCEPTIONS = {"ϵ": r"\varepsilon", "ϑ": r"\vartheta", "ϖ": r"\varpi", "ϱ": r"\varrho", "ς": r"\varsigma", "ϕ": r"\varphi", "ο": "o", "λ": r"\lambda", "Λ": r"\Lambda", "Χ": r"{\rm X}", "Ι": "I", "Κ": "K", "Ο": "O", "ℏ": r"\hslash"}
+GREEK_EXCEPTIONS = {
+    "ϵ": r"\varepsilon", "ϑ": r"\vartheta", "ϖ": r"\varpi", "ϱ": r"\varrho", "ς": r"\varsigma", "ϕ": r"\varphi",
+    "ο": "o", "λ": r"\lambda", "Λ": r"\Lambda", "Χ": r"{\rm X}", "Ι": "I", "Κ": "K", "Ο": "O", "ℏ": r"\hslash"
+}
 GREEK_CAPITALS = frozenset("ΓΔΘΛΞΠΣΥΦΨΩ")
 FUNCTIONS = frozenset("sin cos tan csc sec cot sinh cosh tanh log ln exp lim det dim min max".split())
 VARIANTS = {"bold": "mathbf", "double-struck": "mathbb", "script": "mathcal", "fraktur": "mathfrak", "sans-serif": "mathsf", "monospace": "mathtt"}
 #: Patterns of elements with a fixed number of children.
-SHAPES = {"mfrac": (2, r"\frac{%s}{%s}"), "msup": (2, "{%s}^{%s}"), "msub": (2, "{%s}_{%s}"), "msubsup": (3, "{%s}_{%s}^{%s}"), "munderover": (3, "{%s}_{%s}^{%s}")}
+SHAPES = {
+    "mfrac": (2, r"\frac{%s}{%s}"), "msup": (2, "{%s}^{%s}"), "msub": (2, "{%s}_{%s}"),
+    "msubsup": (3, "{%s}_{%s}^{%s}"), "munderover": (3, "{%s}_{%s}^{%s}")
+}
 
 
 def greek(letter: str) -> str | None:
@@ -299,7 +308,9 @@ def _latex(node: Element | str) -> str:
     if tag == "mphantom":
         return f"\\phantom{{{_sequence(children)}}}"
     if tag == "mtable":
-        rows = [[_latex(c) for c in row.children if isinstance(c, Element) and c.tag == "mtd"] for row in children if isinstance(row, Element) and row.tag == "mtr"]
+        rows = [[_latex(c) for c in row.children if isinstance(c, Element) and c.tag == "mtd"] for row in children if isinstance(
+            row, Element
+        ) and row.tag == "mtr"]
         return f"\\begin{{matrix}} {' \\\\ '.join(' & '.join(r) for r in rows)} \\end{{matrix}}"
     if tag == "mfenced":
         signs, inner = node.attributes.get("separators", ","), ""
@@ -475,7 +486,10 @@ class Renderer:
             return False
         if table.attributes.get("role") == "presentation" or sum(x.tag == "td" for x in table.walk()) == 1:
             return True
-        return bool(inner & {"div", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "table", "video", "address", "hr", "section", "main", "nav", "aside"})
+        return bool(inner & {
+            "div", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "dl", "table", "video",
+            "address", "hr", "section", "main", "nav", "aside"
+        })
 
     def table(self, table: Element, depth: int) -> list[str]:
         rows = [[c for c in row.children if isinstance(c, Element) and c.tag in ("td", "th") and not self.hidden(c)] for row in self.rows(table)]
@@ -542,7 +556,9 @@ def clean_encyclopedia(root: Element, references: bool = False) -> Element:
         if span is None or span.parent is None:
             continue
         entry = next((a for a in span.above() if a.tag == "dd"), None)
-        alone = entry is not None and any(a.tag == "dl" for a in entry.above()) and not any(c.strip() if isinstance(c, str) else "mwe-math-element" not in c.classes for c in entry.children)
+        alone = entry is not None and any(a.tag == "dl" for a in entry.above()) and not any(c.strip() if isinstance(
+            c, str
+        ) else "mwe-math-element" not in c.classes for c in entry.children)
         tex = plain_tex(note.text())
         if alone:
             span.replace(_display(tex))
@@ -570,7 +586,10 @@ def clean_paper(root: Element, references: bool = False) -> Element:
     for x in find_all(root, "div.ltx_authors"):
         if x.parent is not None:
             del x.parent.children[: x.place() + 1]
-    drop(root, "div.ltx_titlepage", "span.ltx_tag_item", "span.ltx_tag_listingline", "section#bib", "div.ltx_role_footnote", "footer", "figcaption.ltx_caption")
+    drop(
+        root, "div.ltx_titlepage", "span.ltx_tag_item", "span.ltx_tag_listingline", "section#bib",
+        "div.ltx_role_footnote", "footer", "figcaption.ltx_caption"
+    )
     for x in find_all(root, "a.ltx_ref"):
         x.unwrap()
     for x in find_all(root, "div.ltx_listingline"):

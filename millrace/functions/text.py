@@ -50,7 +50,10 @@ def char_shingles(text: Column, k: int) -> Column:
     """All windows of ``k`` characters, repeated ones too; a shorter text is its own shingle, an empty one has none."""
     none = F.array().cast("array<string>")
     cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.array_join(F.slice(c, i, k), ""))
-    return let(F.array_remove(F.split(text, ""), ""), lambda c: F.when(F.size(c) >= k, cut(c)).when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(none))
+    return let(
+        F.array_remove(F.split(text, ""), ""),
+        lambda c: F.when(F.size(c) >= k, cut(c)).when(F.size(c) > 0, F.array(F.array_join(c, ""))).otherwise(none)
+    )
 
 
 def record_id(identifier: Column, text: Column, hashed: Callable[[Column], Column] = F.md5) -> Column:

@@ -85,7 +85,9 @@ class Bloom:
             joined = asked.join(F.broadcast(rows), "__block", "left")
         else:
             salted = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            joined = asked.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["__block", "__salt"], "left")
+            joined = asked.withColumn(
+                "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+            ).join(salted, ["__block", "__salt"], "left")
         found = F.lit(True)
         for w, mask in zip(WORDS, _masks(key)):
             found = found & (F.col(f"__{w}").bitwiseAND(mask) == mask)

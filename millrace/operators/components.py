@@ -20,13 +20,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = materialise(pairs.select(F.explode(ways).alias("way")).select("way.*").distinct())
     # A few labels need few tasks and files; the number follows the edges.
     parts = tasks_for(both.count())
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("component")).coalesce(parts))
+    labels = materialise(both.groupBy("u").agg(F.min("v").alias("least")).select(
+        F.col("u").alias("node"), F.least("u", "least").alias("component")
+    ).coalesce(parts))
     while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels["node"] == near["u"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
+        moved = labels.join(near, labels["node"] == near["u"]).select(
+            "node", F.col("component").alias("was"), F.least("component", "near").alias("now")
+        )
         moved = materialise(moved.coalesce(parts))
         target = moved.select(F.col("node").alias("at"), F.col("now").alias("jump"))
-        jumped = materialise(moved.join(target, moved["now"] == target["at"], "left").select("node", "was", F.least(F.col("now"), F.coalesce("jump", "now")).alias("component")).coalesce(parts))
+        jumped = materialise(moved.join(target, moved["now"] == target["at"], "left").select(
+            "node", "was", F.least(F.col("now"), F.coalesce("jump", "now")).alias("component")
+        ).coalesce(parts))
         changed = jumped.where("was <> component").count()
         labels = jumped.select("node", "component")
         if not changed:

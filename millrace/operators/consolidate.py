@@ -45,7 +45,9 @@ def sketch_quantile(frame: DataFrame, column: str, q: float, accuracy: float = 0
     gamma = (1 + accuracy) / (1 - accuracy)
     value = F.col(column).cast("double")
     size = F.ceil(F.ln(F.abs(value)) / math.log(gamma))
-    bucketed = frame.where(value.isNotNull() & ~F.isnan(value)).select(F.signum(value).cast("int").alias("sign"), F.when(value != 0, size).alias("bucket"))
+    bucketed = frame.where(value.isNotNull() & ~F.isnan(value)).select(
+        F.signum(value).cast("int").alias("sign"), F.when(value != 0, size).alias("bucket")
+    )
     counts = bucketed.groupBy("sign", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None

@@ -22,7 +22,10 @@ def mapped_messages(messages: Column, role: str = "role", content: str = "conten
 
 def instruction_response(instruction: Column, response: Column) -> Column:
     """A two-message chat; null when either side is."""
-    pair = F.array(F.struct(F.lit("user").alias("role"), instruction.alias("content")), F.struct(F.lit("assistant").alias("role"), response.alias("content")))
+    pair = F.array(
+        F.struct(F.lit("user").alias("role"), instruction.alias("content")),
+        F.struct(F.lit("assistant").alias("role"), response.alias("content"))
+    )
     return F.when(instruction.isNotNull() & response.isNotNull(), pair)
 
 
@@ -79,13 +82,22 @@ def answer_index(options: Column, labels: Column, answer: Column) -> Column:
 
 def question_page(title: Column, question: Column, answers: Column, tags: Column) -> Column:
     """A page of a question and its answers, best votes first, as Markdown; answers have ``votes`` and ``body``."""
-    ordered = F.array_sort(answers, lambda a, b: F.when(a["votes"] > b["votes"], -1).when(a["votes"] < b["votes"], 1).otherwise(F.when(a["body"] < b["body"], -1).when(a["body"] > b["body"], 1).otherwise(0)))
+    ordered = F.array_sort(
+        answers, lambda a,
+        b: F.when(a["votes"] > b["votes"], -1).when(a["votes"] < b["votes"], 1).otherwise(F.when(a["body"] < b["body"], -1).when(a["body"] > b["body"], 1).otherwise(0))
+    )
     parts = F.transform(ordered, lambda a: F.concat(F.lit("# Answer\n\n"), a["body"], F.lit("\n\n> "), a["votes"].cast("string"), F.lit(" votes")))
-    return F.concat(F.lit("# "), title, F.lit("\n\n"), question, F.lit("\n\n"), F.array_join(parts, "\n\n"), F.lit("\n\nTags: "), F.array_join(tags, ", "))
+    return F.concat(
+        F.lit("# "), title, F.lit("\n\n"), question, F.lit("\n\n"), F.array_join(parts, "\n\n"), F.lit("\n\nTags: "),
+        F.array_join(tags, ", ")
+    )
 
 
 def _chat(user: Column, assistant: Column) -> Column:
-    return F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), assistant.alias("content")))
+    return F.array(
+        F.struct(F.lit("user").alias("role"), user.alias("content")),
+        F.struct(F.lit("assistant").alias("role"), assistant.alias("content"))
+    )
 
 
 def first_response(instruction: Column, responses: Column, content: str = "content") -> Column:
@@ -129,7 +141,10 @@ def chat_records(
     extra = [F.col(old).alias(new) for old, new in (remap or {}).items() if old in rows.columns and new not in RESERVED]
     final = replaced(F.col("__messages"), replacements) if replacements else F.col("__messages")
     fields = F.struct(*known) if known else F.lit(None).cast("struct<>")
-    return kept.select(content_id(F.col("__messages")).alias("id"), F.lit(source).alias("source"), final.alias("messages"), F.lit("").alias("created"), fields.alias("metadata"), *extra)
+    return kept.select(
+        content_id(F.col("__messages")).alias("id"), F.lit(source).alias("source"), final.alias("messages"),
+        F.lit("").alias("created"), fields.alias("metadata"), *extra
+    )
 
 
 def with_system(messages: Column, system: Column) -> Column:

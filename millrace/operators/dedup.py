@@ -27,12 +27,18 @@ def exact_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     hashed = spread(docs.select(identifier, text)).select(identifier, F.md5(text).alias("hash"))
     counts = hash_counts(hashed.where("hash is not null"), "hash", identifier)
     joined = hashed.join(counts, "hash", "left")
-    return joined.select(identifier, F.coalesce((F.col("cnt") > 1) & (F.col("canonical") != F.col(identifier)), F.lit(False)).alias("exact_duplicate"))
+    return joined.select(
+        identifier,
+        F.coalesce((F.col("cnt") > 1) & (F.col("canonical") != F.col(identifier)), F.lit(False)).alias("exact_duplicate")
+    )
 
 
 def paragraph_lines(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, pos, begin, end, line`` of the non-empty lines; spans in characters. A map: a line's place is a sum over its own text's lines."""
-    schema = T.StructType([docs.schema[identifier], *(T.StructField(c, T.LongType()) for c in ("pos", "begin", "end")), T.StructField("line", T.StringType())])
+    schema = T.StructType([
+        docs.schema[identifier], *(T.StructField(c, T.LongType()) for c in ("pos", "begin", "end")),
+        T.StructField("line", T.StringType())
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +77,10 @@ def duplicate_counters(counts: DataFrame) -> DataFrame:
     """One row: ``total, dups, unique_items, dup_clusters`` over ``cnt``."""
     pick = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("long")
     more = F.col("cnt") > 1
-    return counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"), pick(more, F.col("cnt")).alias("dups"), pick(F.col("cnt") == 1, F.lit(1)).alias("unique_items"), pick(more, F.lit(1)).alias("dup_clusters"))
+    return counts.agg(
+        F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"), pick(more, F.col("cnt")).alias("dups"),
+        pick(F.col("cnt") == 1, F.lit(1)).alias("unique_items"), pick(more, F.lit(1)).alias("dup_clusters")
+    )
 
 
 #: A prime; shingles and permutations are numbers below it.
@@ -161,9 +170,14 @@ def lsh_buckets(
             buckets = [hashlib.md5(",".join(map(str, x)).encode()).hexdigest() for x in signed]
             places = np.repeat(np.arange(len(texts)), bands)
             numbers = np.tile(np.arange(bands), len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(identifier).take(pa.array(places)), pa.array(numbers), pa.array(buckets, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(identifier).take(pa.array(places)), pa.array(numbers), pa.array(buckets, pa.string())],
+                names=schema.names
+            )
 
-    return spread(docs.select(identifier, text)).select(identifier, clean_text(F.col(text)).alias("__cleaned")).where("__cleaned is not null").mapInArrow(run, schema)
+    return spread(docs.select(identifier, text)).select(
+        identifier, clean_text(F.col(text)).alias("__cleaned")
+    ).where("__cleaned is not null").mapInArrow(run, schema)
 
 
 def fuzzy_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -171,7 +185,9 @@ def fuzzy_documents(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     buckets = materialise(lsh_buckets(docs, identifier, text, **options))
     # A star around the least id joins a bucket with one edge a member.
     heads = buckets.groupBy("band", "bucket").agg(F.min(identifier).alias("head"))
-    edges = buckets.join(heads, ["band", "bucket"]).where(F.col(identifier) != F.col("head")).select(F.col("head").alias("a"), F.col(identifier).alias("b"))
+    edges = buckets.join(heads, ["band", "bucket"]).where(F.col(identifier) != F.col("head")).select(
+        F.col("head").alias("a"), F.col(identifier).alias("b")
+    )
     components = connected_components(edges)
     joined = docs.select(identifier).join(components, F.col(identifier) == F.col("node"), "left")
     component = F.coalesce("component", identifier)

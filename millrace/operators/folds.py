@@ -45,7 +45,9 @@ def packs(
             if done and (last or len(done) > 10_000):
                 columns = zip(*done)
                 types = [f.type for f in first.schema] if first is not None else []
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.int64(), pa.int64(), pa.int64() if whole else pa.float64()])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    columns, [*types, pa.int64(), pa.int64(), pa.int64() if whole else pa.float64()]
+                )], names=schema.names)
                 done.clear()
 
         def close() -> None:

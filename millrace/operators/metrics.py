@@ -106,7 +106,9 @@ def plateaus(
     recent = history.withColumn("__x", rank.cast("double")).where(F.col("__x") <= window)
     y, x = F.col(value), -F.col("__x")
     stats = recent.groupBy(*group).agg(
-        F.count(value).alias("n"), F.avg(F.abs(y)).alias("mean"), F.stddev_pop(y).alias("std"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2")
+        F.count(value).alias("n"), F.avg(F.abs(y)).alias("mean"), F.stddev_pop(y).alias("std"), F.regr_slope(
+            y, x
+        ).alias("slope"), F.regr_r2(y, x).alias("r2")
     )
     big = F.col("mean") > 1e-6
     flat = ~big | (F.abs("slope") / F.col("mean") < slope)
@@ -189,7 +191,9 @@ def fit_sigmoid(task_loss: np.ndarray, accuracy: np.ndarray) -> tuple[float, ...
 
 def scaling_fit(runs: DataFrame, parameters: str, tokens: str, loss: str) -> tuple[float, ...]:
     """The power law through a table with one row a run; rows without tokens are left out."""
-    rows = without_zeros(runs, tokens).select(*(F.col(c).cast("double").alias(c) for c in (parameters, tokens, loss))).dropna().limit(MOST_RUNS + 1).collect()
+    rows = without_zeros(runs, tokens).select(*(F.col(c).cast("double").alias(c) for c in (
+        parameters, tokens, loss
+    ))).dropna().limit(MOST_RUNS + 1).collect()
     if len(rows) > MOST_RUNS:
         raise ValueError("a fit is over one row a run; aggregate the steps first")
     return fit_power_law(*(np.array([r[c] for r in rows]) for c in (parameters, tokens, loss)))

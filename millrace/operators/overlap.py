@@ -72,9 +72,13 @@ def contamination_matrix(
 ) -> DataFrame:
     """``train, overlapping, eval_size, fraction``: evaluation items that share an n-gram with each train set, and with any of them."""
     items = evaluation.where(F.col(eval_text).isNotNull()).select(F.col(eval_id).alias("item"), F.explode(F.split(eval_text, "\n")).alias("line"))
-    items = materialise(items.select("item", F.explode(ngrams(words(F.col("line")), n)).alias("g")).select("item", F.md5("g").alias("gram")).distinct())
+    items = materialise(items.select(
+        "item", F.explode(ngrams(words(F.col("line")), n)).alias("g")
+    ).select("item", F.md5("g").alias("gram")).distinct())
     known = materialise(items.select("gram").distinct())
-    lines = spread(train.select(train_group, train_text)).where(F.col(train_text).isNotNull()).select(F.col(train_group).cast("string").alias("train"), F.explode(F.split(train_text, "\n")).alias("line"))
+    lines = spread(train.select(train_group, train_text)).where(F.col(train_text).isNotNull()).select(
+        F.col(train_group).cast("string").alias("train"), F.explode(F.split(train_text, "\n")).alias("line")
+    )
     # Only grams that the evaluation side has go on from the train side.
     grams = lines.select("train", F.explode(ngrams(words(F.col("line")), n)).alias("g")).select("train", F.md5("g").alias("gram"))
     hits = materialise(_hits(grams, known, known.count()).distinct().join(items, "gram").select("train", "item").distinct())

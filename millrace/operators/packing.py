@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 from .folds import in_order
 
-EXAMPLE = [T.StructField("pack", T.LongType()), T.StructField("documents", T.ArrayType(T.LongType())), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("loss_weights", T.ArrayType(T.DoubleType())), T.StructField("segments", T.ArrayType(T.LongType()))]
+EXAMPLE = [
+    T.StructField("pack", T.LongType()), T.StructField("documents", T.ArrayType(T.LongType())),
+    T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("loss_weights", T.ArrayType(T.DoubleType())),
+    T.StructField("segments", T.ArrayType(T.LongType()))
+]
 _ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
 
 

@@ -66,7 +66,10 @@ def lettered_question(question: Column, options: Sequence[Column], right: Column
     letters = [chr(97 + i) for i in range(len(options))]
     lines = [F.concat(F.lit(f"{letter}. "), o, F.lit("\n")) for letter, o in zip(letters, options)]
     letter = F.get(F.array(*map(F.lit, letters)), right.cast("int"))
-    return strip(F.concat(question, F.lit("\n\nAnswer choices: \n"), *lines, F.lit("Answer: "), letter, F.lit("\n"), F.coalesce(explanation, F.lit(""))))
+    return strip(F.concat(
+        question, F.lit("\n\nAnswer choices: \n"), *lines, F.lit("Answer: "), letter, F.lit("\n"),
+        F.coalesce(explanation, F.lit(""))
+    ))
 
 
 def chunked_texts(parts: DataFrame, most: int, group: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:

@@ -137,8 +137,15 @@ def tokenized_chats(
     ``system`` names a column with a prompt that goes before the messages of a row, and
     ``template_column`` one with the row's own text before a message, for rows that have it.
     """
-    schema = T.StructType([*(chats.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("assistant_mask", T.ArrayType(T.IntegerType()))])
-    given = [F.col(messages).alias("__messages"), (F.col(system) if system else F.lit(None).cast("string")).alias("__system"), (F.col(template_column) if template_column else F.lit(None).cast("string")).alias("__before")]
+    schema = T.StructType([
+        *(chats.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("assistant_mask", T.ArrayType(T.IntegerType()))
+    ])
+    given = [
+        F.col(messages).alias("__messages"),
+        (F.col(system) if system else F.lit(None).cast("string")).alias("__system"),
+        (F.col(template_column) if template_column else F.lit(None).cast("string")).alias("__before")
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)

@@ -40,7 +40,9 @@ def causal_examples(chunks: DataFrame, ids: str = "ids", end_id: int | None = No
     if end_id is None:
         return out
     ends = F.array_compact(F.transform(ids, lambda x, i: F.when(x == end_id, i)))
-    return out.withColumn("__ends", ends).withColumn("segments", F.transform(ids, lambda x, i: F.size(F.filter("__ends", lambda e: e < i)))).drop("__ends")
+    return out.withColumn("__ends", ends).withColumn(
+        "segments", F.transform(ids, lambda x, i: F.size(F.filter("__ends", lambda e: e < i)))
+    ).drop("__ends")
 
 
 def validation_tail(indexed: DataFrame, n: int, validation: int, index: str = "idx") -> tuple[DataFrame, DataFrame]:
@@ -156,12 +158,16 @@ def mixture_blocks(
     factor = a
     while math.gcd(factor, block) != 1:
         factor += 1
-    rows = spark.range(blocks * block).select(F.col("id").alias("idx"), F.floor(F.col("id") / block).alias("block"), (F.col("id") % block).alias("pos"))
+    rows = spark.range(blocks * block).select(
+        F.col("id").alias("idx"), F.floor(F.col("id") / block).alias("block"), (F.col("id") % block).alias("pos")
+    )
     rows = rows.withColumn("slot", F.pmod(F.lit(factor) * F.col("pos") + F.col("block") * 7919, F.lit(block)))
     name, item = F.lit(None).cast("string"), F.lit(None).cast("long")
     for dataset, low, high, count in edges:
         here = (F.col("slot") >= low) & (F.col("slot") < high)
-        name, item = F.when(here, dataset).otherwise(name), F.when(here, (F.col("block") * count + F.col("slot") - low) % lengths[dataset]).otherwise(item)
+        name, item = F.when(here, dataset).otherwise(name), F.when(
+            here, (F.col("block") * count + F.col("slot") - low) % lengths[dataset]
+        ).otherwise(item)
     return rows.select("idx", "block", name.alias("dataset"), item.alias("item"))
 
 
@@ -225,7 +231,9 @@ def numbered(frame: DataFrame, order: str, out: str = "idx") -> tuple[DataFrame,
     Rows are dealt by range and numbered inside tasks; a task's first number is the count of rows in the tasks before.
     """
     place = F.monotonically_increasing_id()
-    dealt = frame.repartitionByRange(order).sortWithinPartitions(order).withColumns({"__task": F.shiftright(place, 33), "__row": place.bitwiseAND((1 << 33) - 1)})
+    dealt = frame.repartitionByRange(order).sortWithinPartitions(order).withColumns({
+        "__task": F.shiftright(place, 33), "__row": place.bitwiseAND((1 << 33) - 1)
+    })
     dealt = materialise(dealt)
     firsts, n = [], 0
     for task, count in sorted(map(tuple, dealt.groupBy("__task").count().collect())):
@@ -237,7 +245,9 @@ def numbered(frame: DataFrame, order: str, out: str = "idx") -> tuple[DataFrame,
 
 def epochs(indexed: DataFrame, n: int, rows: int, index: str = "idx") -> DataFrame:
     """``rows`` rows that run through ``n`` indexed ones again and again, with ``position`` and ``epoch``."""
-    positions = indexed.sparkSession.range(rows).select(F.col("id").alias("position"), (F.col("id") % n).alias(index), F.floor(F.col("id") / n).alias("epoch"))
+    positions = indexed.sparkSession.range(rows).select(
+        F.col("id").alias("position"), (F.col("id") % n).alias(index), F.floor(F.col("id") / n).alias("epoch")
+    )
     return positions.join(indexed, index)
 
 

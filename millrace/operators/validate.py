@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 def length_statistics(docs: DataFrame, group: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Documents, UTF-8 bytes and characters: numbers, means and population deviations."""
     sized = docs.select(*group, F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("chars"))
-    aggregates = [F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("total_bytes"), F.avg("bytes").alias("mean_bytes"), F.stddev_pop("bytes").alias("std_bytes"), F.avg("chars").alias("mean_chars")]
+    aggregates = [
+        F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("total_bytes"), F.avg("bytes").alias("mean_bytes"),
+        F.stddev_pop("bytes").alias("std_bytes"), F.avg("chars").alias("mean_chars")
+    ]
     return sized.groupBy(*group).agg(*aggregates)
 
 
@@ -25,14 +28,21 @@ def pooled(parts: DataFrame, n: str, mean: str, std: str) -> DataFrame:
 
 def required_fields(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``field, missing``: rows whose required field is null, or all rows where there is no such column."""
-    rows = docs.agg(F.count(F.lit(1)).alias("all"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"m_{c}") if c in docs.columns else F.count(F.lit(1)).alias(f"m_{c}") for c in fields))
-    return rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"m_{c}").alias("missing")) for c in fields))).alias("r")).select("r.field", "r.missing")
+    rows = docs.agg(F.count(F.lit(1)).alias("all"), *(F.count(F.when(
+        F.col(c).isNull(), 1
+    )).alias(f"m_{c}") if c in docs.columns else F.count(F.lit(1)).alias(f"m_{c}") for c in fields))
+    return rows.select(F.explode(F.array(*(F.struct(
+        F.lit(c).alias("field"), F.col(f"m_{c}").alias("missing")
+    ) for c in fields))).alias("r")).select("r.field", "r.missing")
 
 
 def corpus_size(tokens: DataFrame, n_tokens: str, length: int, group: Sequence[str] = ()) -> DataFrame:
     """Documents, tokens, full sequences, and the share of tokens that cutting to ``length`` would drop."""
     cut = F.sum(F.greatest(F.col(n_tokens) - length, F.lit(0)))
-    return tokens.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.sum(n_tokens).alias("tokens"), F.floor(F.sum(n_tokens) / length).cast("long").alias("sequences"), (cut / F.sum(n_tokens)).alias("truncated"))
+    return tokens.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(n_tokens).alias("tokens"),
+        F.floor(F.sum(n_tokens) / length).cast("long").alias("sequences"), (cut / F.sum(n_tokens)).alias("truncated")
+    )
 
 
 def summary(frame: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -92,7 +92,10 @@ def load(
         if not match:
             raise ValueError(f"no reader for {path}")
         name = match[0]
-        kinds.setdefault("parquet" if name == ".parquet" else "orc" if name == ".orc" else "xz" if name.endswith(".xz") else "zst" if name.endswith((".zst", ".zstd")) else "json", []).append(path)
+        kinds.setdefault(
+            "parquet" if name == ".parquet" else "orc" if name == ".orc" else "xz" if name.endswith(".xz") else "zst" if name.endswith((".zst", ".zstd")) else "json",
+            []
+        ).append(path)
     out = None
     for kind, own in kinds.items():
         if kind in ("parquet", "orc"):
@@ -163,9 +166,14 @@ def zip_members(spark: SparkSession, pattern: str, member: str = "*") -> DataFra
                         continue
                     with archive.open(entry) as opened:
                         content = b"".join(iter(lambda: opened.read(PIECE), b""))
-                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([entry.filename]), pa.array([content], pa.binary())], names=["archive", "filename", "content"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path.as_py()]), pa.array([entry.filename]), pa.array([content], pa.binary())],
+                        names=["archive", "filename", "content"]
+                    )
 
-    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(run, "archive string, filename string, content binary")
+    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(
+        run, "archive string, filename string, content binary"
+    )
 
 
 def tar_members(spark: SparkSession, pattern: str, member: str = "*") -> DataFrame:
@@ -178,9 +186,14 @@ def tar_members(spark: SparkSession, pattern: str, member: str = "*") -> DataFra
                 with tarfile.open(fileobj=io.BytesIO(packed.as_py())) as archive:
                     for entry in archive:
                         if entry.isfile() and wanted.match(entry.name):
-                            yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([entry.name]), pa.array([archive.extractfile(entry).read()], pa.binary())], names=["archive", "filename", "content"])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([path.as_py()]), pa.array([entry.name]), pa.array([archive.extractfile(entry).read()], pa.binary())],
+                                names=["archive", "filename", "content"]
+                            )
 
-    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(run, "archive string, filename string, content binary")
+    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(
+        run, "archive string, filename string, content binary"
+    )
 
 
 def member_group(filename: Column) -> Column:
@@ -212,7 +225,9 @@ def warc_records(spark: SparkSession, pattern: str) -> DataFrame:
                     columns = [pa.array([path]), *(pa.array([v], pa.string()) for v in row.values()), pa.array([content], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["archive", *row, "content"])
 
-    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(run, "archive string, type string, id string, url string, date string, content binary")
+    return spark.read.format("binaryFile").load(files(spark, pattern)).select("path", "content").mapInArrow(
+        run, "archive string, type string, id string, url string, date string, content binary"
+    )
 
 
 def load_json(spark: SparkSession, pattern: str, schema: T.StructType | None = None) -> DataFrame:

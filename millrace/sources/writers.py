@@ -62,7 +62,9 @@ def write_token_cache(
     """Token arrays as Parquet, and a ledger of rows and tokens by file with running offsets, which is returned."""
     spark = tokens.sparkSession
     write_parquet(tokens, f"{path}/data", skip_existing)
-    counts = spark.read.parquet(f"{path}/data").select(F.input_file_name().alias("file"), F.size(ids).alias("n")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
+    counts = spark.read.parquet(f"{path}/data").select(F.input_file_name().alias("file"), F.size(ids).alias("n")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")
+    )
     from ..operators.relational import prefix_sums
 
     ledger = prefix_sums(prefix_sums(counts, "rows", [F.col("file")], out="row_offset"), "tokens", [F.col("file")], out="token_offset")
