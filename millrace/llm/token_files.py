@@ -30,7 +30,7 @@ from ..operators.durable import materialise, shared_folder
 from .batches import sliced
 
 #: Bytes of text that a worker encodes at a time, and that a file holds at most, about; the column beside the id.
-SLICE_BYTES, FILE_BYTES, HASH = 8 << 20, 128 << 20, "text_hash"
+SLICE_BYTES, FILE_BYTES, HASH = 4 << 20, 128 << 20, "text_hash"
 #: White space after a space or line feed, and characters for which word boundaries are left to the library itself.
 _UNUSUAL = "[ \n][ \n\t\r]|[^\t\n\r -~¡-ɏ]"
 #: Marks the word that begins a text, and stands for a line feed at the beginning of a word; both are unusual in a text.
@@ -55,7 +55,7 @@ class WordEncoder:
     feed go to the library whole. ``most_words`` bounds the memory for words already met.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
