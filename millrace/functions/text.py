@@ -143,10 +143,15 @@ def any_text(record: Column, fields: Sequence[str], lists: Sequence[str] = ()) -
     return F.coalesce(*plain, *joined, page, F.when(strip(title) != "", title), record)
 
 
-def any_id(record: Column, fields: Sequence[str], fallback: str, index: Column) -> Column:
-    """The first identifier of a JSON record or of its metadata, else a name with a six-digit number."""
+def six_digits(index: Column) -> Column:
+    """A number with zeros before it up to six digits; longer ones stay whole."""
+    return F.format_string("%06d", index)
+
+
+def any_id(record: Column, fields: Sequence[str], fallback: str, index: Column, padded: Callable[[Column], Column] = six_digits) -> Column:
+    """The first identifier of a JSON record or of its metadata, else a name with a ``padded`` number."""
     found = [F.get_json_object(record, f"${path}['{n}']") for path in ("", ".metadata") for n in fields]
-    return F.coalesce(*(F.when(c != "", c) for c in found), F.format_string(f"{fallback}_%06d", index))
+    return F.coalesce(*(F.when(c != "", c) for c in found), F.concat(F.lit(f"{fallback}_"), padded(index)))
 
 
 #: Names of collections that are not for training.
