@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,11 @@ def corpus_size(tokens: DataFrame, n_tokens: str, length: int, group: Sequence[s
     )
 
 
-def summary(frame: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """``groups, rows, shards``: rows and files of every combination, with subtotals whose groups are null."""
-    own = frame.select(*groups, F.input_file_name().alias("__file"))
-    return own.rollup(*groups).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("__file").alias("shards"))
+def summary(frame: DataFrame, groups: Sequence[str], shard: Column | None = None) -> DataFrame:
+    """``groups, rows, shards``: rows and shards of every combination, with subtotals whose groups are null. ``shard`` names
+    the shard of a row, by default its file."""
+    own = frame.select(*groups, (F.input_file_name() if shard is None else shard).alias("__shard"))
+    return own.rollup(*groups).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("__shard").alias("shards"))
 
 
 def corpus_shares(sizes: DataFrame, tokens: str, sequences: str, length: int) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import text
+from millrace.operators import validate
 
 
 def both(spark, name, folder, table, pattern):
@@ -25,3 +26,16 @@ def test_record_texts_numbers_beyond_six_digits(spark, tmp_path):
     # The operator itself cuts no number.
     kept = spark.range(1).select(text.any_id(F.lit("{}"), ["id"], "b_2024", F.lit(12_345_678))).first()[0]
     assert kept == "b_2024_12345678"
+
+
+def test_summary_of_a_table_in_several_files(spark, tmp_path):
+    rows = [(i, ("en", "de", None)[i % 3], f"s{i % 2}" if i % 5 else None) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string").repartition(6, "doc_id")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = both(spark, "summary_rollup", tmp_path, "documents", "documents.parquet/*.parquet")
+    assert got == want and (None, None, 90, 1) in got
+    # The operator itself counts files, or the shards it is given.
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    files = len(list((tmp_path / "documents.parquet").glob("*.parquet")))
+    assert files > 1 and validate.summary(stored, ["lang"]).where("rows = 90").first().shards == files
+    assert validate.summary(stored, ["lang"], F.col("doc_id") % 4).where("rows = 90").first().shards == 4
